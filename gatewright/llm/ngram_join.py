@@ -116,24 +116,54 @@ def _prefixes(order: Order, keys: list[int]):
     return run
 
 
-LISTS = "token long, id long, n long, match int, pos long, hub long, hub_n long"
+LISTS = "token long, id long, n long, match int, pos long, hub long, hub_n long, hub_match int, hub_pos long"
 
 
 def _lists(batches):
-    """Entries of shingles that several documents' prefixes have, each with its list's hub."""
+    """Entries of shingles that several documents' prefixes have, each with its list's hub.
+
+    Entries that no other entry of the list can be paired with are left out: where the next smaller and the next larger
+    set are too far off in size, or the shingle stands too late for the smallest partner."""
     e = unpack(batches, ENTRY, DOC)
     if e is None:
         return
+    order = np.lexsort((e["id"], e["n"], e["token"]))
+    e = {k: v[order] for k, v in e.items()}
+    n = e["n"].astype(np.int64)
+    starts, sizes = runs(e["token"])
+    near = (e["token"][1:] == e["token"][:-1]) & (DEN * n[:-1] >= NUM * n[1:])
+    fit = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+    partner = np.maximum(np.repeat(n[starts], sizes), (NUM * n + DEN - 1) // DEN)
+    fit &= e["pos"].astype(np.int64) < n - -(-NUM * (n + partner) // (NUM + DEN)) + e["match"]
+    e = {k: v[fit] for k, v in e.items()}
     order = np.lexsort((e["id"], -e["weight"].astype(np.int64), e["token"]))
     e = {k: v[order] for k, v in e.items()}
     starts, sizes = runs(e["token"])
     many = np.repeat(sizes > 1, sizes)
     first = np.repeat(starts, sizes)[many]
-    cols = [e["token"].view(np.int64)[many], e["id"][many], e["n"][many].astype(np.int64), e["match"][many].astype(np.int32), e["pos"][many].astype(np.int64), e["id"][first], e["n"][first].astype(np.int64)]
-    names = ("token", "id", "n", "match", "pos", "hub", "hub_n")
+    wide = {k: e[k].astype(np.int32 if k == "match" else np.int64) for k in ("id", "n", "match", "pos")}
+    cols = [e["token"].view(np.int64)[many], *(v[many] for v in wide.values()), *(v[first] for v in wide.values())]
+    names = ("token", "id", "n", "match", "pos", "hub", "hub_n", "hub_match", "hub_pos")
     yield from in_pieces(int(many.sum()), 200_000, lambda x: pa.RecordBatch.from_arrays([pa.array(c[x]) for c in cols], names=names))
 
 
+def _within(a: str, b: str):
+    """Whether sets of sizes a_n and b_n can be close enough, and the places of a shared shingle are in the prefixes that
+    this pair's overlap asks for."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    match = F.least(f"{a}match", f"{b}match")
+    room = match - F.ceil(NUM * (n + m) / (NUM + DEN))
+    return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (F.col(f"{a}pos") < n + room) & (F.col(f"{b}pos") < m + room)
+
+
+def _candidates(met: DataFrame, a: str, b: str, u: str, v: str) -> DataFrame:
+    """Pairs (u, v) of met (a row for each shared shingle) that share enough, early enough."""
+    cols = [F.count("*").alias("k"), F.min(F.least(f"{a}match", f"{b}match")).alias("match"), F.max(f"{a}n").alias("n"), F.max(f"{b}n").alias("m"), F.min(f"{a}pos").alias("i"), F.min(f"{b}pos").alias("j")]
+    pairs = met.groupBy(F.col(u).alias("u"), F.col(v).alias("v")).agg(*cols)
+    enough = (NUM + DEN) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= NUM * (F.col("n") + F.col("m"))
+    return pairs.where((F.col("k") >= F.col("match")) & enough).select("u", "v")
+
+
 def _sets(batches):
     cache = WordHashes()
     for batch in batches:
@@ -195,20 +225,20 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     packed = single.mapInArrow(_prefixes(order, part_keys(spark, parts)), pack_fields(ENTRY, DOC))
     lists = stored(deal(packed, parts).mapInArrow(_lists, LISTS), "lists")
 
-    fits = lambda a, b: DEN * F.least(a, b) >= NUM * F.greatest(a, b)
-    stars = lists.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("id").alias("v"), F.col("hub").alias("u")).distinct()
-    near = stored(verified(stored(stars, "stars"), single), "near")
+    met = lists.where((F.col("id") != F.col("hub")) & _within("", "hub_"))
+    stars = stored(_candidates(met, "", "hub_", "hub", "id"), "stars")
+    near = stored(verified(stars, single), "near")
     label = components(near)
 
-    known = lists.join(label.select(F.col("v").alias("id"), "label"), "id", "left").select("token", "id", "n", "match", "pos", F.coalesce("label", "id").alias("label"))
-    known = stored(known, "known")
+    of = label.select(F.col("v").alias("id"), "label")
+    few = of.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    known = lists.join(F.broadcast(of) if few else of, "id", "left").select("token", "id", "n", "match", "pos", F.coalesce("label", "id").alias("label"))
     apart = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     open_ = stored(known.join(apart, "token", "left_semi"), "open")
     a, b = (open_.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "match", "pos", "label")]) for s in "ab")
-    met = a.join(b, "token").where((F.col("a_id") < F.col("b_id")) & (F.col("a_label") != F.col("b_label")) & fits(F.col("a_n"), F.col("b_n")))
-    pairs = met.groupBy(F.col("a_id").alias("u"), F.col("b_id").alias("v")).agg(F.count("*").alias("k"), F.min(F.least("a_match", "b_match")).alias("match"), F.first("a_n").alias("n"), F.first("b_n").alias("m"), F.min("a_pos").alias("i"), F.min("b_pos").alias("j"))
-    room = (NUM + DEN) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= NUM * (F.col("n") + F.col("m"))
-    across = stored(pairs.where((F.col("k") >= F.col("match")) & room).select("u", "v"), "across")
+    met = a.join(b, "token").where((F.col("a_id") < F.col("b_id")) & (F.col("a_label") != F.col("b_label")) & _within("a_", "b_"))
+    tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    across = stored(_candidates(met, "a_", "b_", "a_id", "b_id").join(tried, ["u", "v"], "left_anti"), "across")
     if not across.isEmpty():
         label = components(stored(near.unionByName(verified(across, single)), "all_links"))
     of = label.select(F.col("v").alias("class_id"), "label")
