@@ -165,10 +165,12 @@ def _candidates(met: DataFrame, a: str, b: str, u: str, v: str) -> DataFrame:
 
 
 def _sets(batches):
+    """The set of each text, after the columns before it."""
     cache = WordHashes()
     for batch in batches:
         sets = [np.unique(shingle_hashes(words(raw.as_py()), cache, WIDTH)).tobytes() for raw in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], names=("id", "set"))
+        keep = [i for i, c in enumerate(batch.schema.names) if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sets, pa.binary())], names=[*(batch.schema.names[i] for i in keep), "set"])
 
 
 def _verify(batches):
@@ -206,12 +208,16 @@ def with_few(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    """Those pairs (u, v) of documents whose sets reach the threshold."""
-    ids = stored(pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
-    sets = stored(with_few(base, ids, "left_semi").mapInArrow(_sets, "id long, set binary"), "sets")
-    one = pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
-    two = one.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u")
-    return two.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
+    """Those pairs (u, v) of documents whose sets reach the threshold.
+
+    Sets are made where the texts are read: that of v goes to each u that it is paired with, that of u there once."""
+    few = pairs.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    at = F.broadcast if few else (lambda df: df)
+    partners = pairs.groupBy(F.col("v").alias("doc_id")).agg(F.collect_list("u").alias("us"))
+    one = base.join(at(partners), "doc_id").select(F.col("doc_id").alias("v"), "us", "text").mapInArrow(_sets, "v long, us array<long>, set binary")
+    two = base.join(at(pairs.select(F.col("u").alias("doc_id")).distinct()), "doc_id").select(F.col("doc_id").alias("u"), "text").mapInArrow(_sets, "u long, set binary")
+    both = one.select(F.explode("us").alias("u"), "v", F.col("set").alias("b")).join(two.select("u", F.col("set").alias("a")), "u")
+    return both.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
