@@ -47,7 +47,7 @@ def referential(v: Views) -> DataFrame:
     wrong = {"giver_npc": "INVALID_QUEST_GIVER_TYPE", "start_location": "INVALID_START_LOCATION_TYPE"}
     code = F.when(F.col("entity_type").isNull(), "UNKNOWN_ENTITY").when(~F.array_contains("want", F.col("entity_type")), reduce(lambda c, x: c.when(F.col("path") == x[0], x[1]), wrong.items(), F.when(F.lit(False), "")).otherwise("INVALID_REWARD_ITEM_TYPE"))
     refs = known.select("quest_id", F.lit("referential").alias("validator"), code.alias("code"), F.lit("error").alias("severity"), "path", F.col("ref").alias("detail")).where("code is not null")
-    duplicate = v.objective.groupBy("quest_id", "step_no").count().where("count > 1")
+    duplicate = stated_steps(v).groupBy("quest_id", "step_no").count().where("count > 1")
     target = resolve(v.objective, v, "target")
     actions = v.compat.groupBy("action").agg(F.collect_set("entity_type").alias("allowed"))
     action = F.lower(py_strip(F.col("action")))
@@ -57,9 +57,19 @@ def referential(v: Views) -> DataFrame:
     return union([refs, _issue(duplicate, "referential", "DUPLICATE_STEP_ID", "error", F.lit("objectives"), F.col("step_no")), targets])
 
 
+def dependencies(v: Views) -> DataFrame:
+    """quest_id, pos, step_no, dep_no, explicit."""
+    return v.dependency if v.dependency is not None else v.objective.where("dep_no != 0").select("quest_id", "pos", "step_no", "dep_no", F.lit(True).alias("explicit"))
+
+
+def stated_steps(v: Views) -> DataFrame:
+    """Objectives whose step has a name of its own."""
+    return v.objective.where("named") if "named" in v.objective.columns else v.objective
+
+
 def dependency_edges(v: Views) -> DataFrame:
     """Distinct (quest_id, src, dst) from explicit dependencies; dep_no 0 means none."""
-    return v.objective.where("dep_no != 0").select("quest_id", F.col("dep_no").alias("src"), F.col("step_no").alias("dst")).distinct()
+    return dependencies(v).select("quest_id", F.col("dep_no").alias("src"), F.col("step_no").alias("dst")).distinct()
 
 
 def chain_edges(v: Views) -> DataFrame:
@@ -70,12 +80,17 @@ def chain_edges(v: Views) -> DataFrame:
 
 
 def missing_dependencies(v: Views) -> DataFrame:
-    steps = v.objective.select("quest_id", F.col("step_no").alias("dep_no")).distinct()
-    return v.objective.where("dep_no != 0").join(steps, ["quest_id", "dep_no"], "left_anti").select("quest_id", "pos", "dep_no")
+    steps = stated_steps(v).select("quest_id", F.col("step_no").alias("dep_no")).distinct()
+    return dependencies(v).where("explicit").join(steps, ["quest_id", "dep_no"], "left_anti").select("quest_id", "pos", "dep_no")
 
 
 def edge_arrays(v: Views) -> DataFrame:
     """For each artifact with objectives: its nodes (phantoms included) and edges, as small arrays."""
+    if v.dependency is not None:
+        edges = v.dependency.groupBy("quest_id").agg(F.collect_set(F.struct(F.col("dep_no").alias("src"), F.col("step_no").alias("dst"))).alias("edges"))
+        g = v.objective.groupBy("quest_id").agg(F.collect_set("step_no").alias("steps")).join(edges, "quest_id", "left")
+        g = g.withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<src: string, dst: string>>)")))
+        return g.select("quest_id", "edges", F.array_distinct(F.concat("steps", F.transform("edges", lambda e: e["src"]))).alias("nodes"))
     edge = F.when(F.col("dep_no") != 0, F.struct(F.col("dep_no").alias("src"), F.col("step_no").alias("dst")))
     g = v.objective.groupBy("quest_id").agg(F.collect_set("step_no").alias("steps"), F.collect_set(edge).alias("edges"))
     return g.select("quest_id", "edges", F.array_distinct(F.concat("steps", F.transform("edges", lambda e: e["src"]))).alias("nodes"))

@@ -1,7 +1,8 @@
 """Relational views of artifacts: the same columns whether they come from artifact JSON or from business tables.
 
 artifact(quest_id, quest_type, giver, start, set_id, ord), objective(quest_id, pos, step_no, action, target, dep_no),
-reward(quest_id, pos, type, value), entity(entity_id, entity_type), action_compat(action, entity_type).
+reward(quest_id, pos, type, value), dependency(quest_id, pos, step_no, dep_no, explicit; where it is not given, each
+objective's own dep_no counts), entity(entity_id, entity_type), action_compat(action, entity_type).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ class Views:
     giver_type: str
     start_type: str
     item_types: tuple[str, ...]
+    dependency: DataFrame | None = None
 
 
 def compat_table(spark: SparkSession, compat: dict[str, tuple[str, ...]]) -> DataFrame:
