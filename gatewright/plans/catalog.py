@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import ascii_slug, slug
 from ..operators import diversity, faults, gates
+from ..operators.schema_gate import schema_gate
 from ..sources.views import TABLE_COMPAT, Views, from_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +205,26 @@ def content_short(d: DataFrame) -> DataFrame:
     return d.select("doc_id", F.length(F.trim("text")).cast("long").alias("n")).where("n < 120")
 
 
+# The general schema gate over VARIANT rows
+
+#: A schema for orders and their lines as JSON.
+ORDER_SCHEMA = {"type": "object", "required": ["quest_type", "objectives"], "properties": {"quest_type": {"enum": ["1-URGENT", "2-HIGH"]}, "objectives": {"type": "array", "minItems": 2, "maxItems": 5, "items": {"type": "object", "additionalProperties": False, "properties": {"action": {"type": "string", "pattern": "^[AR]F$"}, "dep": {"type": "integer", "maximum": 5}}}}}}
+
+
+@over_views("""SELECT quest_id, 'quest_type' AS path, 'enum' AS keyword FROM artifact WHERE quest_type NOT IN ('1-URGENT', '2-HIGH')
+    UNION ALL SELECT quest_id, '', 'required' FROM artifact a WHERE NOT EXISTS (SELECT 1 FROM objective o WHERE o.quest_id = a.quest_id)
+    UNION ALL SELECT quest_id, 'objectives', 'minItems' FROM objective GROUP BY quest_id HAVING count(*) < 2
+    UNION ALL SELECT quest_id, 'objectives', 'maxItems' FROM objective GROUP BY quest_id HAVING count(*) > 5
+    UNION ALL SELECT quest_id, 'objectives.' || pos || '.action', 'pattern' FROM objective WHERE action NOT IN ('AF', 'RF')
+    UNION ALL SELECT quest_id, 'objectives.' || pos || '.dep', 'maximum' FROM objective WHERE dep_no > 5""")
+def schema_gate_json(v: Views) -> DataFrame:
+    step = F.struct("pos", F.struct("action", F.col("dep_no").alias("dep")).alias("o"))
+    steps = v.objective.groupBy("quest_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: s["o"]).alias("objectives"))
+    rows = v.artifact.select("quest_id", "quest_type").join(steps, "quest_id", "left")
+    json = rows.select("quest_id", F.parse_json(F.to_json(F.struct("quest_type", "objectives"))).alias("v"))
+    return schema_gate(json, ORDER_SCHEMA).select("quest_id", "path", "keyword")
+
+
 # Schema gate on typed rows: one row for each violated keyword
 
 
