@@ -238,11 +238,14 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     of = label.select(F.col("v").alias("id"), "label")
     few = of.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    known = lists.join(F.broadcast(of) if few else of, "id", "left").select("token", "id", "n", "match", "pos", F.coalesce("label", "id").alias("label"))
+    is_hub = (F.col("id") == F.col("hub")) & (F.col("n") == F.col("hub_n")) & (F.col("match") == F.col("hub_match")) & (F.col("pos") == F.col("hub_pos"))
+    known = lists.join(F.broadcast(of) if few else of, "id", "left").select("token", "id", "n", "match", "pos", is_hub.alias("hub"), F.coalesce("label", "id").alias("label"))
     apart = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     open_ = stored(known.join(apart, "token", "left_semi"), "open")
-    a, b = (open_.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "match", "pos", "label")]) for s in "ab")
-    met = a.join(b, "token").where((F.col("a_id") < F.col("b_id")) & (F.col("a_label") != F.col("b_label")) & _within("a_", "b_"))
+    a, b = (open_.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "match", "pos", "hub", "label")]) for s in "ab")
+    # A pair that one shared shingle suffices for was tried if either is the hub here: within implies enough for it.
+    new = ~((F.col("a_hub") | F.col("b_hub")) & (F.least("a_match", "b_match") == 1))
+    met = a.join(b, "token").where((F.col("a_id") < F.col("b_id")) & (F.col("a_label") != F.col("b_label")) & new & _within("a_", "b_"))
     tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     across = stored(_candidates(met, "a_", "b_", "a_id", "b_id").join(tried, ["u", "v"], "left_anti"), "across")
     if not across.isEmpty():
