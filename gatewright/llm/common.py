@@ -68,7 +68,7 @@ def words(raw: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for reuse up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -29,6 +29,7 @@ from .common import stored
 
 WEIGHTS, RATIO, CAP = (3, 1, 2), 1.5, 2.0
 BLOCKS, MAX_SLOTS, MAX_SOURCES = 1000, 200_000_000, 10_000
+MAX_BROADCAST_IDS = 1_000_000
 RUN = 4096
 GOLDEN = 0.6180339887498949
 
@@ -119,9 +120,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = RA
 
 
 def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: float = RATIO, cap: float = CAP) -> DataFrame:
-    """docs with each row as often as the mix reads any of it: not at all, once, or again in the second reading."""
-    docs = stored(docs, "mixed")
+    """docs with each row as often as the mix reads any of it: not at all, once, or again in the second reading.
+
+    docs is read three times. Texts are moved only where there are more than MAX_BROADCAST_IDS ids."""
     again = F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))
-    copies = mix(docs, weights, ratio, cap).groupBy("doc_id").agg(F.max(again).alias("copies")).where("copies > 0")
-    key = docs["doc_id"].cast("long").eqNullSafe(copies["doc_id"])
-    return docs.join(copies, key).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    copies = stored(mix(docs, weights, ratio, cap).groupBy("doc_id").agg(F.max(again).cast("int").alias("copies")).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")), "copies")
+    few = copies.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    key = docs["doc_id"].cast("long").eqNullSafe(copies["_id"])
+    return docs.join(F.broadcast(copies) if few else copies, key).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies["_copies"])).alias("_copy")).drop("_copy")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTRIES_PER_PART, CHUNK_ENTRIES = 2_000_000, 2_000_000
+ENTRIES_PER_PART, CHUNK_ENTRIES = 1_000_000, 1_000_000
 
 
 def parts_for(spark: SparkSession, entries: int) -> int:
