@@ -36,7 +36,7 @@ from .packing import Packer, deal, in_pieces, pack_fields, part_keys, parts_for,
 
 WIDTH, NUM, DEN = 5, 75, 100
 MAX_MATCH, MAX_FREQUENT, MIN_FREQUENT, VERIFY_COST = 4, 300_000, 4, 16.0
-MAX_BROADCAST_IDS, CHUNK = 1_000_000, 3_000_000
+MAX_BROADCAST_IDS, CHUNK = 1_000_000, 1_000_000
 STATS = "doc_id long, n long, sig binary, token long, count long"
 ENTRY, DOC = {"pos": "u2"}, {"id": "i8", "n": "u4", "match": "u1", "weight": "u4"}
 
