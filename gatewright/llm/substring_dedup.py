@@ -8,8 +8,8 @@ hold it. Frequent shingles come last in every order, so that a common line is th
 
 In the list of a min-hash, each document meets the list's hub (its smallest doc_id), not every other one; equal texts
 meet only through their class. A pair's matching windows are joined by their places: matches on near diagonals are
-chained into passages, which are kept if an exact run has MIN_WORDS words, or if at least ENOUGH of the orders match
-within them and the passages' shingle sets have similarity 0.75 or more. A window whose passages of MIN_WORDS words are
+chained into passages, which are kept if an exact run has MIN_WORDS words, or if
+the passages' shingle sets have similarity 0.75 or more; where a chain fails as a whole, its longest stretches are judged. A window whose passages of MIN_WORDS words are
 not all covered with its hub is left over; where several of a list are, they are compared by all their passages of MIN_WORDS words, grouped by hash, so that
 no exact repeat is lost and no list is capped.
 
@@ -22,6 +22,8 @@ doc_ids are left out; rows that repeat a doc_id are one document; an empty table
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ from .common import WordHashes, mix, shingle_hashes, stored, whole, word_hashes,
 from .ngram_join import STATS, chunk_stats, classes, frequent_shingles, with_few
 from .packing import Packer, deal, in_pieces, pack_fields, part_keys, parts_for, runs, unpack
 
-MIN_WORDS, WIDTH, HASHES, ENOUGH, SIMILARITY = 50, 5, 4, 3, 0.75
+MIN_WORDS, WIDTH, HASHES, SIMILARITY = 50, 5, 4, 0.75
 DRIFT, GAP = 8, 12
 ENTRY, DOC = {"at": "u4", "order": "u1"}, {"id": "i8", "n": "u4"}
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -118,38 +120,101 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """Repeated passages (start, end, other start, other end, similarity) of x in y, from matches (place, other place, order)."""
-    runs_of: dict[tuple[int, int], list] = {}
-    same: dict[int, np.ndarray] = {}
-    for i, j, order in sorted(matches):
-        d = i - j
-        if d not in same:  # places where the texts differ on this diagonal, with the ends
-            lo, hi = max(0, d), min(len(x), len(y) + d)
-            same[d] = np.concatenate([[lo - 1], lo + np.flatnonzero(x[lo:hi] != y[lo - d : hi - d]), [hi]])
-        at = int(np.searchsorted(same[d], i, "right"))
-        lo, hi = int(same[d][at - 1]) + 1, int(same[d][at])
-        if i < lo or hi - lo < WIDTH:
-            continue
-        runs_of.setdefault((lo, d), [hi, set()])[1].add(order)
-    chains: list[list] = []
-    for (lo, d), (hi, orders) in sorted(runs_of.items()):
-        for c in chains[-6:]:
-            if abs(c[4] - d) <= DRIFT and lo - c[1] <= GAP and hi > c[1] and lo - d >= c[2] and hi - d > c[3]:
-                c[1], c[3], c[4], c[6] = hi, hi - d, d, max(c[6], hi - lo)
-                c[5] |= orders
-                break
-        else:
-            chains.append([lo, hi, lo - d, hi - d, d, set(orders), hi - lo])
-    out = []
-    for lo, hi, lo2, hi2, _, orders, longest in chains:
-        if min(hi - lo, hi2 - lo2) < MIN_WORDS:
+class _Runs:
+    """Exact runs of at least WIDTH words of x and y, by diagonal (place in x less place in y)."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.x, self.y, self.of = x, y, {}
+
+    def on(self, d: int) -> tuple[list[int], list[int]]:
+        if d not in self.of:
+            lo, hi = max(0, d), min(len(self.x), len(self.y) + d)
+            ends = np.concatenate([[lo - 1], lo + np.flatnonzero(self.x[lo:hi] != self.y[lo - d : hi - d]), [hi]]) if lo < hi else np.zeros(1, np.int64)
+            long = np.flatnonzero(np.diff(ends) > WIDTH)
+            self.of[d] = (ends[long] + 1).tolist(), ends[long + 1].tolist()
+        return self.of[d]
+
+    def at(self, d: int, i: int) -> tuple[int, int] | None:
+        starts, ends = self.on(d)
+        k = bisect_right(starts, i) - 1
+        return (starts[k], ends[k]) if k >= 0 and i < ends[k] else None
+
+    def after(self, lo: int, hi: int, d: int) -> tuple[int, int, int] | None:
+        """The run that carries (lo, hi, d) on to the right: the one that begins first, on the nearest diagonal."""
+        best = None
+        for e in range(d - DRIFT, d + DRIFT + 1):
+            starts, ends = self.on(e)
+            k = bisect_right(ends, max(hi, hi - d + e))
+            if k < len(starts) and lo < starts[k] <= hi + GAP and lo - d < starts[k] - e <= hi - d + GAP:
+                best = min(best or (starts[k] + 1,), (starts[k], abs(e - d), e, ends[k]))
+        return best and (best[0], best[3], best[2])
+
+    def before(self, lo: int, hi: int, d: int) -> tuple[int, int, int] | None:
+        best = None
+        for e in range(d - DRIFT, d + DRIFT + 1):
+            starts, ends = self.on(e)
+            k = bisect_left(starts, min(lo, lo - d + e)) - 1
+            if k >= 0 and lo - GAP <= ends[k] < hi and lo - d - GAP <= ends[k] - e < hi - d:
+                best = min(best or (1 - ends[k],), (-ends[k], abs(e - d), e, starts[k]))
+        return best and (best[3], -best[0], best[2])
+
+
+def _stretches(chain: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(first, last) runs of the longest stretches whose aligned shingles reach SIMILARITY."""
+    lo, hi, d = np.array(chain, np.int64).T
+    shared = np.concatenate([[0], np.cumsum(hi - lo - WIDTH + 1)])
+    out, best = [], -1
+    for a in range(len(chain)):
+        both = (hi[a:] - lo[a]) + (hi[a:] - d[a:] - lo[a] + d[a]) - 2 * (WIDTH - 1)
+        m = shared[a + 1 :] - shared[a]
+        good = np.flatnonzero(m >= SIMILARITY * (both - m))
+        if len(good) and a + int(good[-1]) > best:
+            best = a + int(good[-1])
+            out.append((a, best))
+    return out
+
+
+def passages(x: np.ndarray, y: np.ndarray, matches: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """Repeated passages (start, end, other start, other end, similarity) of x in y, from matches (place, other place)."""
+    found, chains, seen = _Runs(x, y), [], set()
+    for i, j in sorted(matches):
+        run = found.at(i - j, i)
+        if run is None or (*run, i - j) in seen:
             continue
+        chain = [(*run, i - j)]
+        while more := found.after(*chain[-1]):
+            chain.append(more)
+        chain.reverse()
+        while more := found.before(*chain[-1]):
+            chain.append(more)
+        chain.reverse()
+        seen |= set(chain)
+        chains.append(chain)
+    out: list[tuple[int, int, int, int, float]] = []
+
+    def judge(part: list[tuple[int, int, int]]) -> bool:
+        (lo, _, d), (_, hi, e) = part[0], part[-1]
+        lo2, hi2 = lo - d, hi - e
+        short = MIN_WORDS - min(hi - lo, hi2 - lo2)  # changed words at the ends belong to a passage, too
+        if short > 0:
+            right = min(short, len(x) - hi, len(y) - hi2)
+            left = min(short - right, lo, lo2)
+            if left + right < short:
+                return False
+            lo, hi, lo2, hi2 = lo - left, hi + right, lo2 - left, hi2 + right
         s = similarity(x[lo:hi], y[lo2:hi2])
-        if s >= SIMILARITY and (longest >= MIN_WORDS or len(orders) >= ENOUGH):
+        if s >= SIMILARITY:
             out.append((lo, hi, lo2, hi2, s))
-    for (lo, d), (hi, _) in runs_of.items():  # exact runs that no chain holds
-        if hi - lo >= MIN_WORDS and not any(a <= lo and hi <= b for a, b, *_ in out):
+        return s >= SIMILARITY
+
+    for chain in chains:
+        if len(chain) == 1 and chain[0][1] - chain[0][0] >= MIN_WORDS:
+            continue
+        if not judge(chain) and len(chain) > 1:
+            for a, b in _stretches(chain):
+                judge(chain[a : b + 1])
+    for lo, hi, d in sorted(set().union(*chains)):  # exact runs that no passage holds
+        if hi - lo >= MIN_WORDS and not any(a <= lo and hi <= b and a2 <= lo - d and hi - d <= b2 for a, b, a2, b2, _ in out):
             out.append((lo, hi, lo - d, hi - d, 1.0))
     return out
 
@@ -164,7 +229,7 @@ def _verify(batches):
         out = []
         for doc, other, m, a, b in zip(batch["id"].to_pylist(), batch["hub"].to_pylist(), batch["m"], batch["a"], batch["b"]):
             x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
-            for lo, hi, lo2, hi2, s in passages(x, y, [tuple(z.values()) for z in m.as_py()]):
+            for lo, hi, lo2, hi2, s in passages(x, y, [(z["at"], z["hub_at"]) for z in m.as_py()]):
                 out.append((doc, lo, hi, other, lo2, hi2, hi - lo, s))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)

@@ -262,6 +262,42 @@ def test_substring_dedup(docs):
     assert not alone & {x for r in rows for x in (r.doc_id, r.other_id)}
 
 
+def _substring_rows(spark, texts):
+    data = [(i, t) for i, t in texts.items()]
+    return substring_dedup.substring_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+
+
+def _prose(seed, n):
+    r = random.Random(seed)
+    return [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+
+
+def _change(words, every, at, mark):
+    return [f"{mark}{i}" if i % every == at else w for i, w in enumerate(words)]
+
+
+def test_substring_near_passages_of_fifty_words(spark):
+    # One changed word in the middle: similarity 41 / 51. A pair is found unless all four orders differ.
+    texts = {}
+    for k in range(60):
+        p = _prose(1000 + k, 50)
+        texts[2 * k] = " ".join(_prose(2000 + k, 30) + p + _prose(3000 + k, 30))
+        texts[2 * k + 1] = " ".join(_prose(4000 + k, 20) + p[:25] + ["changed"] + p[26:] + _prose(5000 + k, 40))
+    rows = _substring_rows(spark, texts)
+    assert len({r.doc_id for r in rows if r.similarity < 1 and {r.doc_id, r.other_id} == {r.doc_id // 2 * 2, r.doc_id // 2 * 2 + 1}}) >= 116
+
+
+def test_passages_with_many_interleaved_matches():
+    hashes = lambda ws: np.array([hash(w) & 0xFFFFFFFF for w in ws], np.uint32)
+    blocks = [_prose(50 + k, 60) for k in range(12)]
+    x = [w for k in range(12) for w in blocks[k]]
+    y = [w for k in reversed(range(12)) for w in _change(blocks[k], 60, 30, "y")]
+    matches = [(60 * k + i, 60 * (11 - k) + i) for k in range(12) for i in (10,)]
+    out = substring_dedup.passages(hashes(x), hashes(y), matches)
+    for k in range(12):
+        assert any(a <= 60 * k and 60 * k + 60 <= b and s >= 0.75 for a, b, _, _, s in out)
+
+
 @pytest.mark.parametrize("op", [exact_dedup.exact_dedup, secret_scans.secret_scans, sharding.place, language_id.language_id, ngram_join.ngram_join, mixing.mix, lm_scoring.lm_scoring, pii.pii, substring_dedup.substring_dedup])
 def test_empty_table(docs, op):
     assert op(docs.where(F.lit(False))).count() == 0
