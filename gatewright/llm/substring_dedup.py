@@ -6,12 +6,16 @@ to), and every passage within it that holds at has the shingle at as its min-has
 passage are made, some 2n / MIN_WORDS. Two texts that share a passage have, in each order, windows of one min-hash that
 hold it. Frequent shingles come last in every order, so that a common line is the smallest only where all else is common.
 
-In the list of a min-hash, each document meets the list's hub (its smallest doc_id), not every other one; equal texts
-meet only through their class. A pair's matching windows are joined by their places: matches on near diagonals are
-chained into passages, which are kept if an exact run has MIN_WORDS words, or if
-the passages' shingle sets have similarity 0.75 or more; where a chain fails as a whole, its longest stretches are judged. A window whose passages of MIN_WORDS words are
-not all covered with its hub is left over; where several of a list are, they are compared by all their passages of MIN_WORDS words, grouped by hash, so that
-no exact repeat is lost and no list is capped.
+A pair's windows of one min-hash give the diagonals to look at. The exact runs of WIDTH words on these and on diagonals
+near them, hit or not, are chained into passages; a passage whose shingle sets have similarity 0.75 or more is kept,
+and so is any exact run of MIN_WORDS words. Where a chain fails as a whole, its longest stretches of runs whose aligned
+shingles reach 0.75 are judged.
+
+In the list of a min-hash, each document meets the list's hub (its smallest doc_id) first, at all places; equal texts
+meet only through their class. A window is left over where some passage of it has no row yet. All windows of a list with
+left-over ones (the hub's too) are compared by their passages of MIN_WORDS words, grouped by hash, so no exact repeat is
+lost. No list is capped. A pair of near passages is found
+if one of the HASHES orders agrees: 0.996 at similarity 0.75 (were the orders independent).
 
 Result: a row for each passage found in a document, with one other document that has it: doc_id, start, end (words, end
 exclusive), other_id, other_start, other_end, words, similarity. Documents without repeated passages have no row.
@@ -28,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WordHashes, mix, shingle_hashes, stored, whole, word_hashes, words
 from .ngram_join import STATS, chunk_stats, classes, frequent_shingles, with_few
@@ -35,7 +40,8 @@ from .packing import Packer, deal, in_pieces, pack_fields, part_keys, parts_for,
 
 MIN_WORDS, WIDTH, HASHES, SIMILARITY = 50, 5, 4, 0.75
 DRIFT, GAP = 8, 12
-ENTRY, DOC = {"at": "u4", "order": "u1"}, {"id": "i8", "n": "u4"}
+#: before, after: shingles of the window on either side of its place, as far as a passage of MIN_WORDS words reaches.
+ENTRY, DOC = {"at": "u4", "order": "u1", "before": "u1", "after": "u1"}, {"id": "i8"}
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
 
@@ -67,16 +73,17 @@ def _windows(frequent: np.ndarray, keys: list[int]):
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     last[frequent[at] == s] = np.uint64(1 << 63)
-                places, orders = [], []
+                found, orders = [], []
                 for k in range(HASHES):
                     with np.errstate(over="ignore"):
                         values = (mix(s ^ SEEDS[k]) >> np.uint64(1)) | last
-                    found = [x[1] for x in compact_windows(values, width)]
-                    places += found
-                    orders += [k] * len(found)
-                at, order = np.array(places, np.int64), np.array(orders, np.int64)
+                    more = compact_windows(values, width)
+                    found += more
+                    orders += [k] * len(more)
+                (lo, at, hi), order = np.array(found, np.int64).T, np.array(orders, np.int64)
+                before, after = np.minimum(at - lo, width - 1), np.minimum(hi - at, width - 1)
                 with np.errstate(over="ignore"):
-                    packer.add(mix(s[at] ^ SEEDS[order]), {"at": at, "order": order}, {"id": doc, "n": len(s)})
+                    packer.add(mix(s[at] ^ SEEDS[order]), {"at": at, "order": order, "before": before, "after": after}, {"id": doc})
                 if packer.full():
                     yield from packer.batches()
         yield from packer.batches()
@@ -84,18 +91,24 @@ def _windows(frequent: np.ndarray, keys: list[int]):
     return run
 
 
+LISTS = "token long, id long, at int, order int, before int, after int, hub long, docs int, size int"
+
+
 def _meet(batches):
-    """Windows whose min-hash several documents have: the list (token), and the window's and its hub's places."""
+    """Windows whose min-hash several documents have: the list (token), the window, and the list's hub and sizes."""
     e = unpack(batches, ENTRY, DOC)
     if e is None:
         return
     order = np.lexsort((e["at"], e["id"], e["token"]))
     e = {k: v[order] for k, v in e.items()}
     starts, sizes = runs(e["token"])
-    first = np.repeat(starts, sizes)
-    many = np.repeat(e["id"][starts] != e["id"][starts + sizes - 1], sizes)
-    names = ("token", "id", "n", "at", "order", "hub", "hub_at")
-    cols = [e["token"].view(np.int64)[many], e["id"][many], e["n"][many].astype(np.int32), e["at"][many].astype(np.int32), e["order"][many].astype(np.int32), e["id"][first][many], e["at"][first][many].astype(np.int32)]
+    new = np.concatenate([[True], e["id"][1:] != e["id"][:-1]])
+    new[starts] = True
+    docs = np.add.reduceat(new.astype(np.int32), starts).astype(np.int32)
+    many = np.repeat(docs > 1, sizes)
+    names = [x.split()[0] for x in LISTS.split(", ")]
+    hub, docs, size = (np.repeat(x, sizes)[many] for x in (e["id"][starts], docs, sizes.astype(np.int32)))
+    cols = [e["token"].view(np.int64)[many], e["id"][many], *(e[k][many].astype(np.int32) for k in ENTRY), hub, docs, size]
     yield from in_pieces(int(many.sum()), 200_000, lambda x: pa.RecordBatch.from_arrays([pa.array(c[x]) for c in cols], names=names))
 
 
@@ -229,24 +242,24 @@ def _verify(batches):
         out = []
         for doc, other, m, a, b in zip(batch["id"].to_pylist(), batch["hub"].to_pylist(), batch["m"], batch["a"], batch["b"]):
             x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
-            for lo, hi, lo2, hi2, s in passages(x, y, [(z["at"], z["hub_at"]) for z in m.as_py()]):
+            for lo, hi, lo2, hi2, s in passages(x, y, [(z["at"], j) for z in m.as_py() for j in z["other"]]):
                 out.append((doc, lo, hi, other, lo2, hi2, hi - lo, s))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
 def _exact(batches):
-    """Hashes of all passages of MIN_WORDS words that hold one of the places given."""
+    """Hashes of all passages of MIN_WORDS words of the windows given (first and last start)."""
     names = ("h", "id", "start")
     for batch in batches:
-        for doc, at, raw in zip(batch["id"].to_pylist(), batch["places"].to_pylist(), batch["seq"]):
+        for doc, places, raw in zip(batch["id"].to_pylist(), batch["places"].to_pylist(), batch["seq"]):
             x = np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint64)
             n = len(x) - MIN_WORDS + 1
             h = np.zeros(max(0, n), np.uint64)
             with np.errstate(over="ignore"):
                 for i in range(MIN_WORDS):
                     h = h * np.uint64(0xD6E8FEB86659FD93) + mix(x[i : i + len(h)])
-            starts = np.unique(np.concatenate([np.arange(max(0, p - MIN_WORDS + WIDTH), min(n, p + 1)) for p in at]).astype(np.int64)) if n > 0 else np.empty(0, np.int64)
+            starts = np.unique(np.concatenate([np.arange(p["first"], p["last"] + 1) for p in places]).astype(np.int64))
             if len(starts):
                 yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(np.full(len(starts), doc)), pa.array(starts.astype(np.int32))], names=names)
 
@@ -260,25 +273,41 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     windows = int((members.agg(F.sum("n_shingles")).first()[0] or 0) * 2 * HASHES // MIN_WORDS)
     parts = parts_for(spark, windows)
     packed = single.mapInArrow(_windows(frequent_shingles(stats)[0], part_keys(spark, parts)), pack_fields(ENTRY, DOC))
-    lists = stored(deal(packed, parts).mapInArrow(_meet, "token long, id long, n int, at int, order int, hub long, hub_at int"), "lists")
-
-    pairs = stored(lists.where("id != hub").groupBy("id", "hub").agg(F.collect_set(F.struct("at", "hub_at", "order")).alias("m")), "pairs")
+    lists = stored(deal(packed, parts).mapInArrow(_meet, LISTS), "lists")
     ids = stored(lists.select(F.col("id").alias("doc_id")).distinct(), "ids")
     seqs = stored(with_few(single, ids, "left_semi").mapInArrow(_sequences, "id long, seq binary"), "seqs")
-    one = pairs.join(seqs.select("id", F.col("seq").alias("a")), "id")
-    two = one.join(seqs.select(F.col("id").alias("hub"), F.col("seq").alias("b")), "hub").select("id", "hub", "m", "a", "b")
-    found = stored(two.mapInArrow(_verify, FOUND), "found")
-
-    # Windows with passages of MIN_WORDS words that none found with their hub covers, where a list has several such.
-    wide = MIN_WORDS - WIDTH
-    first, last = F.greatest(F.lit(0), F.col("at") - wide), F.least(F.col("n") + WIDTH - 1, F.col("at") + MIN_WORDS)
-    spans = found.groupBy(F.col("doc_id").alias("id"), F.col("other_id").alias("hub")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    rest = stored(lists.where("id != hub").join(spans, ["id", "hub"], "left").where(~F.coalesce(F.exists("spans", lambda s: (s["start"] <= first) & (last <= s["end"])), F.lit(False))).select("token", "id", "at"), "rest")
-    several = rest.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("token")
-    places = stored(rest.join(several, "token", "left_semi").groupBy("id").agg(F.collect_set("at").alias("places")), "places")
-    grams = stored(places.join(seqs, "id").mapInArrow(_exact, "h long, id long, start int"), "grams")
+
+    def verified(left: DataFrame, right: DataFrame, new: str, name: str) -> DataFrame:
+        """Passages of all pairs of a left window (id) and other documents' places (hub, other) of its list."""
+        met = left.join(right, "token").where(new).groupBy("id", "hub").agg(F.collect_set(F.struct("at", "other")).alias("m"))
+        pairs = stored(met, name + "_pairs")
+        one = pairs.join(seqs.select("id", F.col("seq").alias("a")), "id")
+        two = one.join(seqs.select(F.col("id").alias("hub"), F.col("seq").alias("b")), "hub").select("id", "hub", "m", "a", "b")
+        return stored(two.mapInArrow(_verify, FOUND), name)
+
+    first, last = F.col("at") - F.col("before"), F.col("at") + F.col("after") - (MIN_WORDS - WIDTH)
+
+    def left_over(rows: DataFrame, spans: DataFrame) -> DataFrame:
+        """Windows with a passage of MIN_WORDS words that no span (id, start, end) of their document holds."""
+        s = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        held = F.exists("spans", lambda x: (x["start"] <= first) & (last + MIN_WORDS <= x["end"]))
+        return rows.join(s, "id", "left").where(~F.coalesce(held, F.lit(False))).drop("spans")
+
+    # A document's windows of one list that lie close together (periodic texts) meet others by the first; the exact
+    # comparison below takes all.
+    w = Window.partitionBy("token", "id").orderBy("at")
+    places = lists.withColumn("gap", F.col("at") - F.lag("at").over(w)).where(f"gap IS NULL OR gap > {GAP}").drop("gap")
+    of = places.groupBy("token", F.col("id").alias("hub")).agg(F.collect_list("at").alias("other"))
+    hubs = places.where("id = hub").groupBy("token").agg(F.first("hub").alias("hub"), F.collect_list("at").alias("other"))
+    found = verified(lists.where("id != hub").select("token", "id", "at"), hubs, "id != hub", "found")
+
+    both = lambda f: f.select(F.col("doc_id").alias("id"), "start", "end").unionByName(f.select(F.col("other_id").alias("id"), F.col("other_start").alias("start"), F.col("other_end").alias("end")))
+    rest = stored(left_over(lists.where("size > 2"), both(found)), "rest")
+    open_lists = stored(rest.select("token").distinct(), "open")
+    windows = lists.join(open_lists, "token", "left_semi").groupBy("id").agg(F.collect_set(F.struct(first.alias("first"), last.alias("last"))).alias("places"))
+    grams = stored(windows.join(seqs, "id").mapInArrow(_exact, "h long, id long, start int"), "grams")
     common = grams.groupBy("h").agg(F.min(F.struct("id", "start")).alias("lo"), F.max(F.struct("id", "start")).alias("hi")).where("lo.id != hi.id")
-    met = grams.join(common, "h").select("id", "start", F.when(F.col("id") == F.col("lo.id"), F.col("hi")).otherwise(F.col("lo")).alias("o"))
+    met = stored(grams.join(common, "h").select("id", "start", F.when(F.col("id") == F.col("lo.id"), F.col("hi")).otherwise(F.col("lo")).alias("o")), "met")
     repeats = met.select(F.col("id").alias("doc_id"), "start", (F.col("start") + MIN_WORDS).alias("end"), F.col("o.id").alias("other_id"), F.col("o.start").alias("other_start"), (F.col("o.start") + MIN_WORDS).alias("other_end"), F.lit(MIN_WORDS).alias("words"), F.lit(1.0).alias("similarity"))
 
     back = found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"), F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), (F.col("other_end") - F.col("other_start")).alias("words"), "similarity")

@@ -276,6 +276,30 @@ def _change(words, every, at, mark):
     return [f"{mark}{i}" if i % every == at else w for i, w in enumerate(words)]
 
 
+def test_substring_exact_repeats_at_every_place(spark):
+    p, line = _prose(2, 50), _prose(3, 8)
+    q = _prose(4, 55)
+    texts = {
+        1: p + _prose(5, 3) + p,  # the hub holds p twice
+        2: _prose(6, 60) + p,
+        3: _prose(7, 30) + line * 3 + _prose(8, 40) + line + q,  # repeated lines before the passage
+        4: _prose(9, 20) + line + q + _prose(10, 20),
+        # near to each other in a wide passage, and an excerpt of 12 only in 13
+        11: _change(base := _prose(11, 300), 40, 7, "a"),
+        12: base,
+        13: _prose(12, 30) + base[20:72] + _prose(13, 30),
+    }
+    rows = _substring_rows(spark, {i: " ".join(t) for i, t in texts.items()})
+    where = defaultdict(set)
+    for d, w in texts.items():
+        for i in range(len(w) - 49):
+            where[tuple(w[i : i + 50])].add(d)
+    for d, w in texts.items():
+        for i in range(len(w) - 49):
+            if len(where[tuple(w[i : i + 50])]) > 1:
+                assert any(r.doc_id == d and r.start <= i and i + 50 <= r.end for r in rows), (d, i)
+
+
 def test_substring_near_passages_of_fifty_words(spark):
     # One changed word in the middle: similarity 41 / 51. A pair is found unless all four orders differ.
     texts = {}
