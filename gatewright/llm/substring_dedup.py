@@ -14,7 +14,7 @@ shingles reach 0.75 are judged.
 In the list of a min-hash, each document meets the list's hub (its smallest doc_id) first, at all places; equal texts
 meet only through their class. A window is left over where some passage of it has no row yet. All windows of a list with
 left-over ones (the hub's too) are compared by their passages of MIN_WORDS words, grouped by hash, so no exact repeat is
-lost. No list is capped. A pair of near passages is found
+lost; what is left over then meets every other document of its list. No list is capped. A pair of near passages is found
 if one of the HASHES orders agrees: 0.996 at similarity 0.75 (were the orders independent).
 
 Result: a row for each passage found in a document, with one other document that has it: doc_id, start, end (words, end
@@ -310,6 +310,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     met = stored(grams.join(common, "h").select("id", "start", F.when(F.col("id") == F.col("lo.id"), F.col("hi")).otherwise(F.col("lo")).alias("o")), "met")
     repeats = met.select(F.col("id").alias("doc_id"), "start", (F.col("start") + MIN_WORDS).alias("end"), F.col("o.id").alias("other_id"), F.col("o.start").alias("other_start"), (F.col("o.start") + MIN_WORDS).alias("other_end"), F.lit(MIN_WORDS).alias("words"), F.lit(1.0).alias("similarity"))
 
+    # What is left over after the exact comparison meets the other documents of its list; starts in a row are one span.
+    row = F.col("start") - F.row_number().over(Window.partitionBy("id").orderBy("start"))
+    exact = met.select("id", "start").distinct().withColumn("row", row).groupBy("id", "row").agg(F.min("start").alias("start"), (F.max("start") + MIN_WORDS).alias("end")).drop("row")
+    still = left_over(rest.where("docs > 2 AND id != hub").withColumnRenamed("hub", "tried"), exact).select("token", "id", "at", "tried")
+    found = found.unionByName(verified(still, of, "id != hub AND hub != tried", "further"))
+
     back = found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"), F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), (F.col("other_end") - F.col("other_start")).alias("words"), "similarity")
     long = members.where(F.col("n_shingles") >= MIN_WORDS - WIDTH + 1).withColumn("words", (F.col("n_shingles") + WIDTH - 1).cast("int"))
     copies = long.where("doc_id != class_id").select("doc_id", F.col("class_id").alias("other_id"), "words")

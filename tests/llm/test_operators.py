@@ -300,6 +300,19 @@ def test_substring_exact_repeats_at_every_place(spark):
                 assert any(r.doc_id == d and r.start <= i and i + 50 <= r.end for r in rows), (d, i)
 
 
+def test_substring_near_passages_whose_lists_have_another_hub(spark):
+    # The smallest id of each group has the passage's words in scrambled blocks, so it is near to neither of the others.
+    texts = {}
+    for k in range(60):
+        p = _prose(100 + k, 60)
+        texts[3 * k] = " ".join(w for lo in (40, 20, 0) for w in p[lo : lo + 20] + _prose(200 + 60 * k + lo, 2))
+        texts[3 * k + 1] = " ".join(_prose(6000 + k, 30) + p + _prose(7000 + k, 30))
+        texts[3 * k + 2] = " ".join(_prose(8000 + k, 20) + p[:30] + ["changed"] + p[31:] + _prose(9000 + k, 40))
+    rows = _substring_rows(spark, texts)
+    pairs = {(r.doc_id, r.other_id) for r in rows}
+    assert sum((3 * k + 1, 3 * k + 2) in pairs and (3 * k + 2, 3 * k + 1) in pairs for k in range(60)) >= 58
+
+
 def test_substring_near_passages_of_fifty_words(spark):
     # One changed word in the middle: similarity 41 / 51. A pair is found unless all four orders differ.
     texts = {}
