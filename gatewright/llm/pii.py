@@ -4,8 +4,9 @@ Patterns find the base spans (e-mail, ip, card, phone). The field labels a docum
 sign; all other tokens are outside. Neighbouring tokens share chain potentials. Tokens that are equal, or similar (the
 same letters and digits, the same last 7 of at least 7 digits, or the same mail name), share skip potentials however far apart they are: each
 occurrence is linked with the one before it and with the first. Damped loopy sum-product makes labels consistent across
-the document. A token that has label marginal of at least min_marginal, that is linked with a base span of that label, and that
-overlaps no base span, adds a span; base spans always stay.
+the document. A token that has label marginal of at least min_marginal, that equal or similar tokens link with a base span of
+that label (through unlabelled ones, too, and where they are neighbours), and that overlaps no base span, adds a span; base
+spans always stay.
 
 The field is trained here, on at most TRAIN_ROWS rows chosen by a hash of doc_id (the bound is a parameter): the base spans
 label their tokens; token potentials are a softmax regression on the token's form and neighbours, chain and skip potentials
@@ -114,7 +115,7 @@ def _forms(t: str) -> list[str]:
 
 
 def edges(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges of neighbours and skip edges of equal or similar tokens."""
+    """Chain edges of neighbours and skip edges of equal or similar tokens; two that are both have both potentials."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= NEIGHBOUR_GAP]
     first: dict[str, int] = {}
     last: dict[str, int] = {}
@@ -125,7 +126,26 @@ def edges(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]
                 skip |= {(first[f], i), (last[f], i)}
             first.setdefault(f, i)
             last[f] = i
-    return chain, sorted(skip - set(chain))
+    return chain, sorted(skip)
+
+
+def linked(skip: list[tuple[int, int]], y: np.ndarray) -> dict[int, set[int]]:
+    """For each unlabelled token, the labels of the tokens that skip edges link it with, directly or not."""
+    root = list(range(len(y)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in skip:
+        root[top(i)] = top(j)
+    kinds: dict[int, set[int]] = {}
+    for i in np.flatnonzero(y):
+        kinds.setdefault(top(int(i)), set()).add(int(y[i]))
+    ends = {i for e in skip for i in e}
+    return {i: kinds[top(i)] for i in ends if not y[i] and top(i) in kinds}
 
 
 def labels(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
@@ -223,11 +243,7 @@ def find(text: str, field: Field | None, min_marginal: float = MIN_MARGINAL) ->
     if not skip:
         return base, []
     y = labels(spans, base)
-    near: dict[int, set[int]] = {}
-    for i, j in skip:
-        for a, b in ((i, j), (j, i)):
-            if not y[a] and y[b]:
-                near.setdefault(a, set()).add(int(y[b]))
+    near = linked(skip, y)
     if not near:
         return base, []
     x = features(text, spans)

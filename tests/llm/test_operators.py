@@ -244,6 +244,20 @@ def test_pii(docs):
     assert [text[a:b] for _, a, b in pii.base_spans(text)] == ["a@b.c", "10.0.0.255", "4111 1111 1111 1111", "+1 (743) 555-3824"]
 
 
+def test_pii_labels_all_repeats_linked_with_a_base_span():
+    size = len(pii.KINDS) + 1
+    field = pii.Field(np.zeros((24, size)), np.zeros((size, size)), 6.0 * np.eye(size))
+    bare, base = "743-555-3824", "+1 (743) 555-3824"
+    far = " and some more words between them, "
+    for parts in ((base, bare), (bare, base, bare, bare), (base, bare, bare, bare, bare)):
+        for gap in (" later ", far):
+            text = gap.join(parts)
+            found, added = pii.find(text, field)
+            assert [text[a:b] for _, a, b in found] == [base]
+            assert [text[a:b] for _, a, b in added] == [bare] * (len(parts) - 1)
+    assert pii.find(f"{base}{far}123-456-7890{far}123-456-7890", field)[1] == []
+
+
 def test_substring_dedup(docs):
     rows = substring_dedup.substring_dedup(docs).collect()
     words = {d: low(t).encode().split() for d, t in each(docs) if d is not None}
