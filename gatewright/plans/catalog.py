@@ -423,7 +423,13 @@ def slug_ascii(d: DataFrame) -> DataFrame:
 
 @table("documents")
 def slug_accents(d: DataFrame) -> DataFrame:
-    return d.select("doc_id", slug(F.substring("text", 1, 60)).alias("slug"))
+    return d.select("doc_id", slug("text").alias("slug"))
+
+
+@table("documents", r"SELECT doc_id, CASE WHEN s = '' THEN 'quest' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents)")
+def slug_ascii_whole(d: DataFrame) -> DataFrame:
+    """As q_slug_ascii, whose SQL holds it to the first 60 characters, of the whole text."""
+    return d.select("doc_id", ascii_slug(F.col("text")).alias("slug"))
 
 
 # Experiments
