@@ -330,6 +330,18 @@ def pairwise_jaccard(d: DataFrame) -> DataFrame:
     return diversity.pairwise_similarity(sets).select(_r("similarity", "similarity"))
 
 
+# Over all pairs of artifacts no SQL is fast enough; brute force on small views holds these two (tests/test_diversity.py).
+@over_views()
+def pairwise_similarity(v: Views) -> DataFrame:
+    return diversity.pairwise_similarity(diversity.feature_sets(diversity.signatures(v))).select(_r("similarity", "similarity"))
+
+
+@over_views()
+def set_metrics(v: Views) -> DataFrame:
+    m = diversity.set_metrics(v)
+    return m.select(*[_r(c, c) if t == "double" else c for c, t in m.dtypes])
+
+
 @over_views("SELECT quest_id, row_number() OVER (PARTITION BY signature ORDER BY ord) > 1 AS used_before FROM sigs")
 def signature_already_used(v: Views) -> DataFrame:
     return diversity.already_used(diversity.signatures(v))
