@@ -376,6 +376,19 @@ def fault_detection_by_validator(v: Views) -> DataFrame:
     return faults.detection(ids, gates.union([gates.referential(m), gates.graph(m)]), "validator")
 
 
+# All faults of FAULTS; the mutants' own gates hold them, on small views, against hand-made cases (tests/test_faults.py).
+@over_views()
+def fault_detection_all_by_fault(v: Views) -> DataFrame:
+    m, ids = faults.mutants(v, F.lit(WRONG))
+    return faults.detection(ids, gates.union([gates.referential(m), gates.graph(m)]), "fault_type")
+
+
+@over_views()
+def fault_detection_all_by_validator(v: Views) -> DataFrame:
+    m, ids = faults.mutants(v, F.lit(WRONG))
+    return faults.detection(ids, gates.union([gates.referential(m), gates.graph(m)]), "validator")
+
+
 @query("""SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 6) AS accuracy
     FROM (SELECT count(*) FILTER (WHERE toxic = 1 AND length(text) < 400) AS tp, count(*) FILTER (WHERE toxic = 0 AND length(text) < 400) AS fp, count(*) FILTER (WHERE toxic = 1 AND length(text) >= 400) AS fn, count(*) FILTER (WHERE toxic = 0 AND length(text) >= 400) AS tn FROM labels JOIN documents ON labels.doc_id = documents.doc_id)""")
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
