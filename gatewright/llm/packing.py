@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import mix
+
 ENTRIES_PER_PART, CHUNK_ENTRIES = 1_000_000, 1_000_000
 
 
@@ -35,12 +38,14 @@ class Packer:
         self.clear()
 
     def clear(self) -> None:
-        self.n, self.tokens, self.counts = 0, [], []
+        self.n, self.tokens, self.counts, self.shares = 0, [], [], []
         self.entry = {k: [] for k in self.per_entry}
         self.docs = {k: [] for k in self.per_doc}
 
-    def add(self, tokens: np.ndarray, entry: dict[str, np.ndarray], doc: dict[str, int]) -> None:
+    def add(self, tokens: np.ndarray, entry: dict[str, np.ndarray], doc: dict[str, int], split: np.ndarray | None = None) -> None:
+        """split: over how many tasks the entries of a token are dealt, by the document."""
         self.tokens.append(tokens)
+        self.shares.append(np.zeros(len(tokens), np.uint64) if split is None else (xxhash.xxh32_intdigest(str(doc["id"])) % split).astype(np.uint64))
         self.counts.append(len(tokens))
         for k in self.per_entry:
             self.entry[k].append(entry[k])
@@ -57,6 +62,10 @@ class Packer:
         tokens = np.concatenate(self.tokens)
         doc = np.repeat(np.arange(len(self.counts), dtype=np.uint32), self.counts)
         part = ((tokens >> np.uint64(32)) * np.uint64(len(self.keys)) >> np.uint64(32)).astype(np.int64)
+        share = np.concatenate(self.shares)
+        if share.any():
+            with np.errstate(over="ignore"):
+                part = np.where(share > 0, (mix(tokens + share) % np.uint64(len(self.keys))).astype(np.int64), part)
         order = np.argsort(part, kind="stable")
         tokens, doc, part = tokens[order], doc[order], part[order]
         entry = {k: np.concatenate(v).astype(t)[order] for (k, t), v in zip(self.per_entry.items(), self.entry.values())}
