@@ -8,8 +8,8 @@ piece of typical size; a prediction is rejected if the best size is less than mi
 below the second best, if the text is null, or if it has no letter.
 
 Only the dictionaries are fitted on a sample: at most SAMPLE_ROWS labelled rows a language, of which DICT_BYTES are
-kept. Rows are taken by a hash of doc_id, so any labelled row may be taken, and the same rows on each run. Prediction
-reads whole texts.
+kept; of a long text, a passage at a place that a hash chooses. Rows are taken by a hash of doc_id and text, so any labelled row may be taken, and the same
+rows on each run; however many rows share an id (or have none), the sample keeps its size. Prediction reads whole texts.
 
 Defined results: text null or without a letter: und, score 0, rejected; no labelled training rows (or an empty table):
 und for every row; one learned language: that one, score 1, not rejected; equal sizes: the language first in code-point
@@ -39,24 +39,28 @@ def letters(text: str) -> bytes:
 
 
 def learn(train: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionaries from (doc_id, text, lang) rows. Each sampled text gives a share of its language's dictionary."""
-    rows = train.where("lang is not null and text is not null and text != ''").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    """Dictionaries from (doc_id, text, lang) rows.
+
+    A language's rows are sampled by a hash of id and text, of about sample_rows of them and never more (the least hashes), and each sampled
+    text gives at most 4 * dict_bytes / sample_rows characters: as many as a dictionary has room for, from a place that
+    the hash chooses. Equal rows have one hash and count once."""
+    rows = train.where("lang is not null and text is not null and text != ''").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages: the dictionaries would outgrow a broadcast")
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * sample_rows / n))]) if sizes else None
-    if share is None:
+    if not sizes:
         return {}
-    few = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2.0 * sample_rows / n))])
     cut = max(64, 4 * dict_bytes // sample_rows)
-    got: dict[str, list[tuple[int, str]]] = {}
-    for r in few.select("lang", "h", F.substring("text", 1, cut).alias("t")).toLocalIterator():
-        got.setdefault(r["lang"], []).append((r["h"], r["t"]))
-    seen = Counter(line for xs in got.values() for _, t in xs for line in set(t.split("\n")))
+    start = 1 + F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.length("text") - cut + 1))
+    few = rows.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "h", F.substring("text", start.cast("int"), F.lit(cut)).alias("t"))
+    least = few.groupBy("lang").agg(F.array_sort(F.collect_set(F.struct("h", "t"))).alias("xs")).select("lang", F.slice("xs", 1, sample_rows).alias("xs"))
+    got = {r["lang"]: [x["t"] for x in r["xs"]] for r in least.collect()}
+    seen = Counter(line for ts in got.values() for t in ts for line in set(t.split("\n")))
     out = {}
-    for lang, xs in got.items():
-        texts = ["\n".join(x for x in t.split("\n") if seen[x] == 1) for _, t in sorted(xs)[:sample_rows]]
-        out[lang] = b" ".join(map(letters, texts))[-dict_bytes:] or b" ".join(letters(t) for _, t in sorted(xs)[:sample_rows])[-dict_bytes:]
+    for lang, ts in got.items():
+        texts = ["\n".join(x for x in t.split("\n") if seen[x] == 1) for t in ts]
+        out[lang] = b" ".join(map(letters, texts))[-dict_bytes:] or b" ".join(map(letters, ts))[-dict_bytes:]
     return out
 
 
@@ -106,10 +110,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """docs without the rows whose prediction is rejected."""
 
-    @F.pandas_udf("boolean")
-    def kept(texts):
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
         c = Classifier(dictionaries, min_margin)
-        return texts.map(lambda t: not c.predict(t)[3])
+        return pa.array([not c.predict(t.as_py())[3] for t in texts], pa.bool_())
 
     return docs.where(kept("text"))
 

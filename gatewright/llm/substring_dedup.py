@@ -1,122 +1,255 @@
 """Substring deduplication by compact windows.
 
-A text is a sequence of 5-word shingles. For each of HASHES orders of shingles, the Cartesian tree over the text's
-shingles groups all passages of at least MIN_WORDS words by their smallest shingle: a node is a compact window (from, at,
-to), and every passage within it that holds at has the shingle at as its min-hash. Only nodes wide enough for such a
-passage are made, some 2n / MIN_WORDS. Two texts that share a passage have, in each order, windows of one min-hash that
-hold it. Frequent shingles come last in every order, so that a common line is the smallest only where all else is common.
-
-A pair's windows of one min-hash give the diagonals to look at. The exact runs of WIDTH words on these and on diagonals
-near them, hit or not, are chained into passages; a passage whose shingle sets have similarity 0.75 or more is kept,
-and so is any exact run of MIN_WORDS words. Where a chain fails as a whole, its longest stretches of runs whose aligned
-shingles reach 0.75 are judged.
-
-In the list of a min-hash, each document meets the list's hub (its smallest doc_id) first, at all places; equal texts
-meet only through their class. A window is left over where some passage of it has no row yet. All windows of a list with
-left-over ones (the hub's too) are compared by their passages of MIN_WORDS words, grouped by hash, so no exact repeat is
-lost; what is left over then meets every other document of its list. No list is capped. A pair of near passages is found
-if one of the HASHES orders agrees: 0.996 at similarity 0.75 (were the orders independent).
+A text is a sequence of words. For each of HASHES orders of its TOKEN-word shingles, the Cartesian tree over the shingles'
+hashes groups all passages by their smallest shingle: a node is a compact window, and every passage within it that holds
+the node's place has that shingle as its min-hash. Only nodes wide enough for a passage of MIN_WORDS words are made, some
+2n / MIN_WORDS, as runs of passages of that length with one smallest place; block minima give them in linear time. Texts
+that share a passage have, in each order, windows of one min-hash (a list) that hold it.
+
+Interval join: in its list a window meets the first document's window (the hub; the hub's further windows meet the
+second document's). The windows of a document and its hub, of all orders, that lie close together on near diagonals are
+one candidate: an interval of each document. Only the words of candidate intervals (and MARGIN more) leave the texts. Exact runs of WIDTH words on
+the matched diagonals and on those near them are chained; a chain whose sets of WIDTH-word shingles have similarity
+0.75 or more is a passage, and so is any exact run of MIN_WORDS words; where a chain fails as a whole, its longest stretches of runs whose
+aligned shingles reach 0.75 are judged. Words are compared, not hashes.
+
+A window is left over where its min-hash's place is in no passage found. What is left over of a list meets a next hub, the first
+document left over; what is left over then meets all other documents of its list. No list is capped. A pair of near passages that share
+a share j of their TOKEN-word shingles is found in one of its lists with a chance of 1 - (1 - j) ** HASHES.
+
+Windows go to the tasks that own ranges of min-hashes. A min-hash that many documents of one chunk have is paired with
+a hub of the chunk where the texts are read, and only that hub goes on, so no task gathers a frequent passage.
 
 Result: a row for each passage found in a document, with one other document that has it: doc_id, start, end (words, end
-exclusive), other_id, other_start, other_end, words, similarity. Documents without repeated passages have no row.
+exclusive), other_id, other_start, other_end, words, similarity. Documents without repeated passages have no row; equal
+texts meet only through their class, and each copy has a row for its whole text.
 
-Defined results: null, empty and short texts have no passages; repeats within one document are not reported; null
-doc_ids are left out; rows that repeat a doc_id are one document; an empty table gives no rows; other columns are ignored.
+Defined results: null, empty and short texts have no passages; repeats within one document are not reported for its sake alone; null
+doc_ids are left out; rows that repeat a doc_id are one document; a text of one word over and over is a few windows; very
+long texts are read whole, in time and memory linear in their words; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WordHashes, mix, shingle_hashes, stored, whole, word_hashes, words
-from .ngram_join import STATS, chunk_stats, classes, frequent_shingles, with_few
+from .common import WordHashes, mix, shingle_hashes, stored, whole, words
+from .ngram_join import classes, with_few
 from .packing import Packer, deal, in_pieces, pack_fields, part_keys, parts_for, runs, unpack
 
-MIN_WORDS, WIDTH, HASHES, SIMILARITY = 50, 5, 4, 0.75
+MIN_WORDS, WIDTH, TOKEN, HASHES, SIMILARITY = 50, 5, 8, 4, 0.75
 DRIFT, GAP = 8, 12
-#: before, after: shingles of the window on either side of its place, as far as a passage of MIN_WORDS words reaches.
-ENTRY, DOC = {"at": "u4", "order": "u1", "before": "u1", "after": "u1"}, {"id": "i8"}
+#: Candidate intervals: windows this near each other are one; words added on either side; places are rounded to these.
+NEAR, MARGIN, ROUND = 50, 24, 16
+#: A min-hash that so many documents of a chunk have gets a hub there; a chunk's windows.
+LOCAL, CHUNK_WINDOWS, MAX_BROADCAST = 16, 250_000, 200_000
+#: A window: its first passage's start, how many more starts, its min-hash's place after the first start; of a window that has met a hub of
+#: its chunk (star), the hub and the place there.
+ENTRY, DOC = {"start": "u4", "more": "u1", "off": "u1", "star": "u1", "hub": "i8", "hub_at": "u4"}, {"id": "i8"}
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
 
-def compact_windows(values: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(from, at, to) of the Cartesian tree's nodes of at least width values; the leftmost of equal values is the smaller."""
-    out, stack = [], [(0, len(values))]
-    while stack:
-        lo, hi = stack.pop()
-        if hi - lo >= width:
-            at = lo + int(values[lo:hi].argmin())
-            out.append((lo, at, hi - 1))
-            stack.append((lo, at))
-            stack.append((at + 1, hi))
-    return out
-
+def smallest_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest value (the leftmost of equal ones) of each run of width values, by block minima."""
+    n = len(values)
+    bits = np.uint64(int(n - 1).bit_length())
+    keyed = (values >> bits << bits) | np.arange(n, dtype=np.uint64)
+    blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    blocks[:n] = keyed
+    blocks = blocks.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start and the smallest place of the runs of passages of width values that have one smallest place: the nodes of the
+    Cartesian tree over values that are at least width wide, as far as passages of that width reach from their places."""
+    at = smallest_places(values, width)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+    last = np.concatenate([first[1:] - 1, [len(at) - 1]])
+    return first, last, at[first]
+
+
+def windows(tokens: list[bytes], cache: WordHashes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Min-hashes of a text's compact windows in all orders, and the windows. Windows in a row that have one min-hash (of texts
+    that repeat themselves) are one, up to 256 starts."""
+    width = MIN_WORDS - TOKEN + 1
+    s = shingle_hashes(tokens, cache, TOKEN)
+    keys, starts, mores, offs = [], [], [], []
+    for seed in SEEDS[:HASHES]:
+        first, last, at = compact_windows(mix(s ^ seed), width)
+        key = mix(s[at] ^ seed)
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        head = first[new]
+        tail = last[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(key) - 1]])]
+        pieces = (tail - head) // 256 + 1
+        step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lo = np.repeat(head, pieces) + 256 * step
+        keys.append(np.repeat(key[new], pieces))
+        starts.append(lo)
+        mores.append(np.minimum(np.repeat(tail, pieces) - lo, 255))
+        offs.append(np.where(step == 0, np.repeat(at[new], pieces) - lo, 0))
+    return np.concatenate(keys), {"start": np.concatenate(starts), "more": np.concatenate(mores), "off": np.concatenate(offs)}
+
+
+def _digests(batches):
+    """doc_id, number of words and digest of each text."""
+    for batch in batches:
+        found = [(len(w), hashlib.blake2b(b" ".join(w), digest_size=16).digest()) for w in (words(raw.as_py()) for raw in batch["text"])]
+        n, sig = [len_ for len_, _ in found], [d if len_ else None for len_, d in found]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(len(n), pa.int64())], names=("doc_id", "n", "sig", "token"))
 
-def _windows(frequent: np.ndarray, keys: list[int]):
-    frequent = np.sort(frequent)
-    width = MIN_WORDS - WIDTH + 1
 
+def _partners(token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows sorted by token and document: the list's number of documents, whether the window is its list's first, and
+    the window that each meets (the first of another document than its own among the list's first two)."""
+    starts, sizes = runs(token)
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    new[starts] = True
+    docs = np.repeat(np.add.reduceat(new.astype(np.int64), starts), sizes)
+    first = np.repeat(starts, sizes)
+    nth = np.cumsum(new)
+    nth -= np.repeat(nth[starts], sizes)
+    places = np.flatnonzero(new)
+    second = places[np.minimum(np.searchsorted(places, first) + 1, len(places) - 1)]
+    return docs, np.arange(len(token)) == first, np.where(nth > 0, first, second)
+
+
+class _Chunk:
+    """Windows of a chunk of documents; pairs frequent min-hashes with a hub of the chunk, and hands all to a Packer."""
+
+    def __init__(self, keys: list[int]) -> None:
+        self.packer = Packer(keys, ENTRY, DOC)
+        self.clear()
+
+    def clear(self) -> None:
+        self.tokens, self.found, self.ids, self.n = [], {"start": [], "more": [], "off": []}, [], 0
+
+    def add(self, doc: int, tokens: np.ndarray, found: dict[str, np.ndarray]) -> None:
+        self.tokens.append(tokens)
+        for k, v in found.items():
+            self.found[k].append(v)
+        self.ids.append(np.full(len(tokens), doc))
+        self.n += len(tokens)
+
+    def batches(self):
+        if not self.n:
+            return
+        token, ids = np.concatenate(self.tokens), np.concatenate(self.ids)
+        e = {k: np.concatenate(v) for k, v in self.found.items()}
+        self.clear()
+        order = np.lexsort((e["start"], ids, token))
+        token, ids, e = token[order], ids[order], {k: v[order] for k, v in e.items()}
+        docs, first, partner = _partners(token, ids)
+        star = (docs >= LOCAL) & ~first
+        e["star"] = star
+        e["hub"] = np.where(star, ids[partner], 0)
+        e["hub_at"] = np.where(star, (e["start"] + e["off"])[partner], 0)
+        order = np.argsort(ids, kind="stable")
+        token, ids, e = token[order], ids[order], {k: v[order] for k, v in e.items()}
+        starts, sizes = runs(ids)
+        for lo, n in zip(starts.tolist(), sizes.tolist()):
+            self.packer.add(token[lo : lo + n], {k: v[lo : lo + n] for k, v in e.items()}, {"id": int(ids[lo])})
+        yield from self.packer.batches()
+
+
+def _windows(keys: list[int]):
     def run(batches):
-        cache, packer = WordHashes(), Packer(keys, ENTRY, DOC)
+        cache, chunk = WordHashes(), _Chunk(keys)
         for batch in batches:
             for doc, raw in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                s = shingle_hashes(words(raw.as_py()), cache, WIDTH)
-                if len(s) < width:
-                    continue
-                last = np.zeros(len(s), np.uint64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    last[frequent[at] == s] = np.uint64(1 << 63)
-                found, orders = [], []
-                for k in range(HASHES):
-                    with np.errstate(over="ignore"):
-                        values = (mix(s ^ SEEDS[k]) >> np.uint64(1)) | last
-                    more = compact_windows(values, width)
-                    found += more
-                    orders += [k] * len(more)
-                (lo, at, hi), order = np.array(found, np.int64).T, np.array(orders, np.int64)
-                before, after = np.minimum(at - lo, width - 1), np.minimum(hi - at, width - 1)
-                with np.errstate(over="ignore"):
-                    packer.add(mix(s[at] ^ SEEDS[order]), {"at": at, "order": order, "before": before, "after": after}, {"id": doc})
-                if packer.full():
-                    yield from packer.batches()
-        yield from packer.batches()
+                w = words(raw.as_py())
+                if len(w) >= MIN_WORDS:
+                    chunk.add(doc, *windows(w, cache))
+                    if chunk.n >= CHUNK_WINDOWS:
+                        yield from chunk.batches()
+        yield from chunk.batches()
 
     return run
 
 
-LISTS = "token long, id long, at int, order int, before int, after int, hub long, docs int, size int"
+LISTS = "token long, id long, at int, lo int, hi int, hub long, hub_at int, docs long"
 
 
 def _meet(batches):
-    """Windows whose min-hash several documents have: the list (token), the window, and the list's hub and sizes."""
+    """Windows that meet a hub: the list (token), the window's document, min-hash's place, first and last start, the hub, the
+    min-hash's place there, and the list's number of documents."""
     e = unpack(batches, ENTRY, DOC)
     if e is None:
         return
-    order = np.lexsort((e["at"], e["id"], e["token"]))
+    order = np.lexsort((e["start"], e["id"], e["token"]))
     e = {k: v[order] for k, v in e.items()}
-    starts, sizes = runs(e["token"])
-    new = np.concatenate([[True], e["id"][1:] != e["id"][:-1]])
-    new[starts] = True
-    docs = np.add.reduceat(new.astype(np.int32), starts).astype(np.int32)
-    many = np.repeat(docs > 1, sizes)
-    names = [x.split()[0] for x in LISTS.split(", ")]
-    hub, docs, size = (np.repeat(x, sizes)[many] for x in (e["id"][starts], docs, sizes.astype(np.int32)))
-    cols = [e["token"].view(np.int64)[many], e["id"][many], *(e[k][many].astype(np.int32) for k in ENTRY), hub, docs, size]
-    yield from in_pieces(int(many.sum()), 200_000, lambda x: pa.RecordBatch.from_arrays([pa.array(c[x]) for c in cols], names=names))
+    star = e["star"] == 1
+    at = e["start"].astype(np.int64) + e["off"]
+    hub, hub_at, docs, some = e["hub"].copy(), e["hub_at"].astype(np.int64), np.full(len(at), LOCAL), star.copy()
+    rest = np.flatnonzero(~star)
+    if len(rest):
+        n, first, partner = _partners(e["token"][rest], e["id"][rest])
+        meets = (n > 1) & ~first
+        hub[rest], hub_at[rest], docs[rest], some[rest] = e["id"][rest][partner], at[rest][partner], n, meets
+    cols = [e["token"].view(np.int64), e["id"], at.astype(np.int32), e["start"].astype(np.int32), (e["start"].astype(np.int64) + e["more"]).astype(np.int32), hub, hub_at.astype(np.int32), docs]
+    cols, names = [c[some] for c in cols], [x.split()[0] for x in LISTS.split(", ")]
+    yield from in_pieces(int(some.sum()), 100_000, lambda x: pa.RecordBatch.from_arrays([pa.array(c[x]) for c in cols], names=names))
+
+
+INTERVALS = "id long, lo int, hi int, hub long, hub_lo int, hub_hi int, ms array<struct<i: int, j: int>>"
+
+
+def intervals(ms: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, list[tuple[int, int]]]]:
+    """Candidates (lo, hi, other lo, other hi, matches) from matches (place, other place, first start, last start): those close
+    together on near diagonals are one."""
+    out: list[list] = []
+    for i, j, lo, hi in sorted(ms, key=lambda m: (m[2], m[0], m[1])):
+        d = i - j
+        for c in reversed(out[-8:]):  # what lies further back is a candidate of its own; verification merges equal finds
+            if abs(c[2] - d) <= DRIFT and lo <= c[1] + NEAR:
+                c[1], c[2] = max(c[1], hi), d
+                c[3], c[4] = min(c[3], d), max(c[4], d)
+                c[5].append((i, j))
+                break
+        else:
+            out.append([lo, hi, d, d, d, [(i, j)]])
+    return [(lo, hi + MIN_WORDS, max(0, lo - most), hi + MIN_WORDS - least, found) for lo, hi, _, least, most, found in out]
+
+
+def _intervals(batches):
+    names = [x.split()[0] for x in ("id", "lo", "hi", "hub", "hub_lo", "hub_hi", "ms")]
+    m_type = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), m_type)
+    for batch in batches:
+        out = []
+        for doc, hub, ms in zip(batch["id"].to_pylist(), batch["hub"].to_pylist(), batch["ms"].to_pylist()):
+            for lo, hi, lo2, hi2, found in intervals([(m["at"], m["hub_at"], m["lo"], m["hi"]) for m in ms]):
+                down, up = (lambda x: max(0, x - MARGIN) // ROUND * ROUND), (lambda x: -(-(x + MARGIN) // ROUND) * ROUND)
+                a, b = down(lo), down(lo2)
+                out.append((doc, a, up(hi), hub, b, up(hi2), [{"i": i - a, "j": j - b} for i, j in dict.fromkeys(found)]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
-def _sequences(batches):
-    cache = WordHashes()
+def _slices(batches):
+    """The words wanted of each text."""
     for batch in batches:
-        seqs = [word_hashes(words(raw.as_py()), cache).astype(np.uint32).tobytes() for raw in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(seqs, pa.binary())], names=("id", "seq"))
+        out = []
+        for doc, raw, parts in zip(batch["doc_id"].to_pylist(), batch["text"], batch["parts"].to_pylist()):
+            w = words(raw.as_py())
+            out += [(doc, p["lo"], p["hi"], b" ".join(w[p["lo"] : p["hi"]])) for p in parts]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=("id", "lo", "hi", "slice"))
+
+
+def numbered(x: list[bytes], y: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words as numbers, equal where the words are."""
+    at: dict[bytes, int] = {}
+    return tuple(np.fromiter((at.setdefault(w, len(at)) for w in z), np.uint64, len(z)) for z in (x, y))
 
 
 def _grams(x: np.ndarray) -> np.ndarray:
@@ -236,92 +369,76 @@ FOUND = "doc_id long, start int, end int, other_id long, other_start int, other_
 
 
 def _verify(batches):
-    names = ("doc_id", "start", "end", "other_id", "other_start", "other_end", "words", "similarity")
+    names = [x.split()[0] for x in FOUND.split(", ")]
     types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
     for batch in batches:
         out = []
-        for doc, other, m, a, b in zip(batch["id"].to_pylist(), batch["hub"].to_pylist(), batch["m"], batch["a"], batch["b"]):
-            x, y = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
-            for lo, hi, lo2, hi2, s in passages(x, y, [(z["at"], j) for z in m.as_py() for j in z["other"]]):
-                out.append((doc, lo, hi, other, lo2, hi2, hi - lo, s))
+        for doc, lo, other, lo2, ms, a, b in zip(*(batch[c].to_pylist() for c in ("id", "lo", "hub", "hub_lo", "ms")), batch["a"], batch["b"]):
+            x, y = numbered(a.as_py().split(b" "), b.as_py().split(b" "))
+            for s, e, s2, e2, sim in passages(x, y, [(m["i"], m["j"]) for m in ms]):
+                out.append((doc, lo + s, lo + e, other, lo2 + s2, lo2 + e2, e - s, sim))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
-def _exact(batches):
-    """Hashes of all passages of MIN_WORDS words of the windows given (first and last start)."""
-    names = ("h", "id", "start")
-    for batch in batches:
-        for doc, places, raw in zip(batch["id"].to_pylist(), batch["places"].to_pylist(), batch["seq"]):
-            x = np.frombuffer(raw.as_buffer(), np.uint32).astype(np.uint64)
-            n = len(x) - MIN_WORDS + 1
-            h = np.zeros(max(0, n), np.uint64)
-            with np.errstate(over="ignore"):
-                for i in range(MIN_WORDS):
-                    h = h * np.uint64(0xD6E8FEB86659FD93) + mix(x[i : i + len(h)])
-            starts = np.unique(np.concatenate([np.arange(p["first"], p["last"] + 1) for p in places]).astype(np.int64))
-            if len(starts):
-                yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), pa.array(np.full(len(starts), doc)), pa.array(starts.astype(np.int32))], names=names)
+def verified(met: DataFrame, base: DataFrame, name: str) -> DataFrame:
+    """Passages of the pairs of windows met (id, at, lo, hi, hub, hub_at): rows as FOUND."""
+    by_pair = met.groupBy("id", "hub").agg(F.collect_set(F.struct("at", "hub_at", "lo", "hi")).alias("ms"))
+    found = stored(by_pair.mapInArrow(_intervals, INTERVALS), name + "_intervals")
+    wanted = found.select(F.col("id").alias("doc_id"), "lo", "hi").unionByName(found.select(F.col("hub").alias("doc_id"), F.col("hub_lo").alias("lo"), F.col("hub_hi").alias("hi"))).distinct()
+    parts = stored(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("parts")), name + "_wanted")
+    few = parts.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    slices = stored(base.join(F.broadcast(parts) if few else parts, "doc_id").select("doc_id", "text", "parts").mapInArrow(_slices, "id long, lo int, hi int, slice binary"), name + "_slices")
+    both = found.join(slices.withColumnRenamed("slice", "a"), ["id", "lo", "hi"]).join(slices.select(F.col("id").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"), F.col("slice").alias("b")), ["hub", "hub_lo", "hub_hi"])
+    return stored(both.select("id", "lo", "hub", "hub_lo", "ms", "a", "b").mapInArrow(_verify, FOUND), name)
+
+
+def left_over(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of met (id, at, ...) whose place is in no passage found in their document."""
+    spans = found.select(F.col("doc_id").alias("id"), "start", "end").unionByName(found.select(F.col("other_id").alias("id"), F.col("other_start").alias("start"), F.col("other_end").alias("end")))
+    held = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    inside = F.exists("spans", lambda x: (x["start"] <= F.col("at")) & (F.col("at") < x["end"]))
+    return met.join(held, "id", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
+
+
+def turned(found: DataFrame) -> DataFrame:
+    """The same passages, told of the other document."""
+    return found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"), F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), (F.col("other_end") - F.col("other_start")).alias("words"), "similarity")
+
+
+def of_copies(members: DataFrame) -> DataFrame:
+    """Whole texts that several documents have."""
+    long = members.where(F.col("n_shingles") >= MIN_WORDS).withColumn("words", F.col("n_shingles").cast("int"))
+    copies = long.where("doc_id != class_id").select("doc_id", F.col("class_id").alias("other_id"), "words")
+    firsts = copies.groupBy(F.col("other_id").alias("doc_id"), "words").agg(F.min("doc_id").alias("other_id")).select("doc_id", "other_id", "words")
+    zero = F.lit(0)
+    return copies.unionByName(firsts).select("doc_id", zero.alias("start"), F.col("words").alias("end"), "other_id", zero.alias("other_start"), F.col("words").alias("other_end"), "words", F.lit(1.0).alias("similarity"))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """The rows described above, for docs (doc_id, text)."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    stats = stored(base.mapInArrow(lambda b: chunk_stats(b, True), STATS), "stats")
-    members, single = classes(base, stats)
-    windows = int((members.agg(F.sum("n_shingles")).first()[0] or 0) * 2 * HASHES // MIN_WORDS)
-    parts = parts_for(spark, windows)
-    packed = single.mapInArrow(_windows(frequent_shingles(stats)[0], part_keys(spark, parts)), pack_fields(ENTRY, DOC))
+    stats = stored(base.mapInArrow(_digests, "doc_id long, n long, sig binary, token long"), "stats")
+    members, single, _ = classes(base, stats)
+    expected = int((members.agg(F.sum("n_shingles")).first()[0] or 0) * 2 * HASHES // MIN_WORDS)
+    parts = parts_for(spark, expected)
+    packed = single.mapInArrow(_windows(part_keys(spark, parts)), pack_fields(ENTRY, DOC))
     lists = stored(deal(packed, parts).mapInArrow(_meet, LISTS), "lists")
-    ids = stored(lists.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    seqs = stored(with_few(single, ids, "left_semi").mapInArrow(_sequences, "id long, seq binary"), "seqs")
-
-    def verified(left: DataFrame, right: DataFrame, new: str, name: str) -> DataFrame:
-        """Passages of all pairs of a left window (id) and other documents' places (hub, other) of its list."""
-        met = left.join(right, "token").where(new).groupBy("id", "hub").agg(F.collect_set(F.struct("at", "other")).alias("m"))
-        pairs = stored(met, name + "_pairs")
-        one = pairs.join(seqs.select("id", F.col("seq").alias("a")), "id")
-        two = one.join(seqs.select(F.col("id").alias("hub"), F.col("seq").alias("b")), "hub").select("id", "hub", "m", "a", "b")
-        return stored(two.mapInArrow(_verify, FOUND), name)
-
-    first, last = F.col("at") - F.col("before"), F.col("at") + F.col("after") - (MIN_WORDS - WIDTH)
-
-    def left_over(rows: DataFrame, spans: DataFrame) -> DataFrame:
-        """Windows with a passage of MIN_WORDS words that no span (id, start, end) of their document holds."""
-        s = spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-        held = F.exists("spans", lambda x: (x["start"] <= first) & (last + MIN_WORDS <= x["end"]))
-        return rows.join(s, "id", "left").where(~F.coalesce(held, F.lit(False))).drop("spans")
-
-    # A document's windows of one list that lie close together (periodic texts) meet others by the first; the exact
-    # comparison below takes all.
-    w = Window.partitionBy("token", "id").orderBy("at")
-    places = lists.withColumn("gap", F.col("at") - F.lag("at").over(w)).where(f"gap IS NULL OR gap > {GAP}").drop("gap")
-    of = places.groupBy("token", F.col("id").alias("hub")).agg(F.collect_list("at").alias("other"))
-    hubs = places.where("id = hub").groupBy("token").agg(F.first("hub").alias("hub"), F.collect_list("at").alias("other"))
-    found = verified(lists.where("id != hub").select("token", "id", "at"), hubs, "id != hub", "found")
-
-    both = lambda f: f.select(F.col("doc_id").alias("id"), "start", "end").unionByName(f.select(F.col("other_id").alias("id"), F.col("other_start").alias("start"), F.col("other_end").alias("end")))
-    rest = stored(left_over(lists.where("size > 2"), both(found)), "rest")
-    open_lists = stored(rest.select("token").distinct(), "open")
-    windows = lists.join(open_lists, "token", "left_semi").groupBy("id").agg(F.collect_set(F.struct(first.alias("first"), last.alias("last"))).alias("places"))
-    grams = stored(windows.join(seqs, "id").mapInArrow(_exact, "h long, id long, start int"), "grams")
-    common = grams.groupBy("h").agg(F.min(F.struct("id", "start")).alias("lo"), F.max(F.struct("id", "start")).alias("hi")).where("lo.id != hi.id")
-    met = stored(grams.join(common, "h").select("id", "start", F.when(F.col("id") == F.col("lo.id"), F.col("hi")).otherwise(F.col("lo")).alias("o")), "met")
-    repeats = met.select(F.col("id").alias("doc_id"), "start", (F.col("start") + MIN_WORDS).alias("end"), F.col("o.id").alias("other_id"), F.col("o.start").alias("other_start"), (F.col("o.start") + MIN_WORDS).alias("other_end"), F.lit(MIN_WORDS).alias("words"), F.lit(1.0).alias("similarity"))
-
-    # What is left over after the exact comparison meets the other documents of its list; starts in a row are one span.
-    row = F.col("start") - F.row_number().over(Window.partitionBy("id").orderBy("start"))
-    exact = met.select("id", "start").distinct().withColumn("row", row).groupBy("id", "row").agg(F.min("start").alias("start"), (F.max("start") + MIN_WORDS).alias("end")).drop("row")
-    still = left_over(rest.where("docs > 2 AND id != hub").withColumnRenamed("hub", "tried"), exact).select("token", "id", "at", "tried")
-    found = found.unionByName(verified(still, of, "id != hub AND hub != tried", "further"))
-
-    back = found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"), F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), (F.col("other_end") - F.col("other_start")).alias("words"), "similarity")
-    long = members.where(F.col("n_shingles") >= MIN_WORDS - WIDTH + 1).withColumn("words", (F.col("n_shingles") + WIDTH - 1).cast("int"))
-    copies = long.where("doc_id != class_id").select("doc_id", F.col("class_id").alias("other_id"), "words")
-    firsts = copies.groupBy(F.col("other_id").alias("doc_id"), "words").agg(F.min("doc_id").alias("other_id")).select("doc_id", "other_id", "words")
-    zero = F.lit(0)
-    equal = copies.unionByName(firsts).select("doc_id", zero.alias("start"), F.col("words").alias("end"), "other_id", zero.alias("other_start"), F.col("words").alias("other_end"), "words", F.lit(1.0).alias("similarity"))
-    rows = found.unionByName(back).unionByName(repeats).unionByName(equal)
+    found = verified(lists, single, "found")
+
+    # What is left over meets the first document left over in its list.
+    rest = stored(left_over(lists.where("docs > 2"), found), "rest")
+    if not rest.isEmpty():
+        first = rest.groupBy("token").agg(F.min(F.struct("id", "at")).alias("o")).select("token", F.col("o.id").alias("next"), F.col("o.at").alias("next_at"))
+        again = rest.join(first, "token").where("id != next AND hub != next")
+        more = verified(again.select("id", "at", "lo", "hi", F.col("next").alias("hub"), F.col("next_at").alias("hub_at")), single, "again")
+        found = found.unionByName(more)
+        still = stored(left_over(rest, more), "still")
+        all_of = lists.join(still.select("token").distinct(), "token", "left_semi").select("token", F.col("id").alias("other"), F.col("at").alias("other_at")).distinct()
+        pairs = still.join(all_of, "token").where("id != other AND other != hub").select("id", "at", "lo", "hi", F.col("other").alias("hub"), F.col("other_at").alias("hub_at"))
+        found = found.unionByName(verified(pairs, single, "further"))
+
+    rows = found.unionByName(turned(found)).unionByName(of_copies(members))
     cols = ("other_id", "other_start", "other_end", "words", "similarity")
     return rows.groupBy("doc_id", "start", "end").agg(F.min(F.struct(*cols)).alias("o")).select("doc_id", "start", "end", "o.*")
