@@ -13,9 +13,13 @@ the matched diagonals and on those near them are chained; a chain whose sets of
 0.75 or more is a passage, and so is any exact run of MIN_WORDS words; where a chain fails as a whole, its longest stretches of runs whose
 aligned shingles reach 0.75 are judged. Words are compared, not hashes.
 
-A window is left over where its min-hash's place is in no passage found. What is left over of a list meets a next hub, the first
-document left over; what is left over then meets all other documents of its list. No list is capped. A pair of near passages that share
-a share j of their TOKEN-word shingles is found in one of its lists with a chance of 1 - (1 - j) ** HASHES.
+A window is left over where its min-hash's place is in no passage found: its list may be of texts that share less than a passage, as a
+common line. Lists are not expanded into their pairs. Instead, what is left over is listed anew by two orders: with every
+window of another order that some passage is in, too, and meets the first document of the list of both min-hashes. And since all passages of
+MIN_WORDS words that two documents have are in windows of shared lists in all orders, those that are, and are in windows left
+over, are compared exactly, grouped by a hash of their words: no exact repeat is lost. A pair of near passages that share
+a share j of their TOKEN-word shingles is in a common list with a chance of 1 - (1 - j) ** HASHES; where that list's first document has no passage
+in common with them, they are found if a second order agrees as well.
 
 Windows go to the tasks that own ranges of min-hashes. A min-hash that many documents of one chunk have is paired with
 a hub of the chunk where the texts are read, and only that hub goes on, so no task gathers a frequent passage.
@@ -38,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WordHashes, mix, shingle_hashes, stored, whole, words
 from .ngram_join import classes, with_few
@@ -51,7 +56,7 @@ NEAR, MARGIN, ROUND = 50, 24, 16
 LOCAL, CHUNK_WINDOWS, MAX_BROADCAST = 16, 250_000, 200_000
 #: A window: its first passage's start, how many more starts, its min-hash's place after the first start; of a window that has met a hub of
 #: its chunk (star), the hub and the place there.
-ENTRY, DOC = {"start": "u4", "more": "u1", "off": "u1", "star": "u1", "hub": "i8", "hub_at": "u4"}, {"id": "i8"}
+ENTRY, DOC = {"start": "u4", "more": "u1", "off": "u1", "order": "u1", "star": "u1", "hub": "i8", "hub_at": "u4"}, {"id": "i8"}
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
 
@@ -83,8 +88,8 @@ def windows(tokens: list[bytes], cache: WordHashes) -> tuple[np.ndarray, dict[st
     that repeat themselves) are one, up to 256 starts."""
     width = MIN_WORDS - TOKEN + 1
     s = shingle_hashes(tokens, cache, TOKEN)
-    keys, starts, mores, offs = [], [], [], []
-    for seed in SEEDS[:HASHES]:
+    keys, starts, mores, offs, orders = [], [], [], [], []
+    for order, seed in enumerate(SEEDS[:HASHES]):
         first, last, at = compact_windows(mix(s ^ seed), width)
         key = mix(s[at] ^ seed)
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -97,7 +102,8 @@ def windows(tokens: list[bytes], cache: WordHashes) -> tuple[np.ndarray, dict[st
         starts.append(lo)
         mores.append(np.minimum(np.repeat(tail, pieces) - lo, 255))
         offs.append(np.where(step == 0, np.repeat(at[new], pieces) - lo, 0))
-    return np.concatenate(keys), {"start": np.concatenate(starts), "more": np.concatenate(mores), "off": np.concatenate(offs)}
+        orders.append(np.full(len(lo), order))
+    return np.concatenate(keys), {"start": np.concatenate(starts), "more": np.concatenate(mores), "off": np.concatenate(offs), "order": np.concatenate(orders)}
 
 
 def _digests(batches):
@@ -131,7 +137,7 @@ class _Chunk:
         self.clear()
 
     def clear(self) -> None:
-        self.tokens, self.found, self.ids, self.n = [], {"start": [], "more": [], "off": []}, [], 0
+        self.tokens, self.found, self.ids, self.n = [], {"start": [], "more": [], "off": [], "order": []}, [], 0
 
     def add(self, doc: int, tokens: np.ndarray, found: dict[str, np.ndarray]) -> None:
         self.tokens.append(tokens)
@@ -176,12 +182,12 @@ def _windows(keys: list[int]):
     return run
 
 
-LISTS = "token long, id long, at int, lo int, hi int, hub long, hub_at int, docs long"
+LISTS = "token long, id long, at int, lo int, hi int, order int, hub long, hub_at int, docs long"
 
 
 def _meet(batches):
     """Windows that meet a hub: the list (token), the window's document, min-hash's place, first and last start, the hub, the
-    min-hash's place there, and the list's number of documents."""
+    min-hash's place there, and the list's number of documents. A list's first window meets none (hub_at -1)."""
     e = unpack(batches, ENTRY, DOC)
     if e is None:
         return
@@ -193,9 +199,8 @@ def _meet(batches):
     rest = np.flatnonzero(~star)
     if len(rest):
         n, first, partner = _partners(e["token"][rest], e["id"][rest])
-        meets = (n > 1) & ~first
-        hub[rest], hub_at[rest], docs[rest], some[rest] = e["id"][rest][partner], at[rest][partner], n, meets
-    cols = [e["token"].view(np.int64), e["id"], at.astype(np.int32), e["start"].astype(np.int32), (e["start"].astype(np.int64) + e["more"]).astype(np.int32), hub, hub_at.astype(np.int32), docs]
+        hub[rest], hub_at[rest], docs[rest], some[rest] = e["id"][rest][partner], np.where(first, -1, at[rest][partner]), n, n > 1
+    cols = [e["token"].view(np.int64), e["id"], at.astype(np.int32), e["start"].astype(np.int32), (e["start"].astype(np.int64) + e["more"]).astype(np.int32), e["order"].astype(np.int32), hub, hub_at.astype(np.int32), docs]
     cols, names = [c[some] for c in cols], [x.split()[0] for x in LISTS.split(", ")]
     yield from in_pieces(int(some.sum()), 100_000, lambda x: pa.RecordBatch.from_arrays([pa.array(c[x]) for c in cols], names=names))
 
@@ -401,6 +406,62 @@ def left_over(met: DataFrame, found: DataFrame) -> DataFrame:
     return met.join(held, "id", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
 
 
+def by_two_orders(rest: DataFrame, lists: DataFrame) -> DataFrame:
+    """Windows left over (id, at, lo, hi) that meet (hub, hub_at) the first document of a list of two orders' min-hashes."""
+    spread = lambda df: df.withColumn("cell", F.explode(F.sequence(F.shiftright("lo", 6), F.shiftright("hi", 6))))
+    near = spread(lists.join(rest.select("id").distinct(), "id", "left_semi")).select("id", "cell", F.col("token").alias("token2"), F.col("order").alias("order2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    both = spread(rest.select("token", "id", "at", "lo", "hi", "order")).join(near, ["id", "cell"]).where("order != order2 AND lo <= hi2 AND lo2 <= hi")
+    keyed = both.select(F.xxhash64("token", "token2").alias("key"), "id", "at", F.greatest("lo", "lo2").alias("lo"), F.least("hi", "hi2").alias("hi")).distinct()
+    keyed = stored(keyed, "keyed")
+    first = keyed.groupBy("key").agg(F.min(F.struct("id", "at")).alias("o"), F.max("id").alias("last")).where("o.id != last")
+    met = keyed.join(first.select("key", F.col("o.id").alias("hub"), F.col("o.at").alias("hub_at")), "key")
+    return met.where("id != hub").select("id", "at", "lo", "hi", "hub", "hub_at").distinct()
+
+
+def _all_orders(batches):
+    """Ranges of starts that windows of all orders, and a window left over, hold: doc_id, parts."""
+    for batch in batches:
+        out = []
+        for doc, ws in zip(batch["id"].to_pylist(), batch["ws"].to_pylist()):
+            edge = np.zeros((HASHES + 1, max(w["hi"] for w in ws) + 3), np.int32)
+            for w in ws:
+                row = HASHES if w["rest"] else w["order"]
+                edge[row, w["lo"] + 1] += 1
+                edge[row, w["hi"] + 2] -= 1
+            held = (np.cumsum(edge, axis=1) > 0).all(axis=0).astype(np.int8)
+            turns = np.flatnonzero(np.diff(held)).reshape(-1, 2).tolist() if held.any() else []
+            if turns:
+                out.append((doc, [{"lo": lo, "hi": hi} for lo, hi in turns]))
+        if out:
+            part = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), part))], names=("doc_id", "parts"))
+
+
+def _exact(batches):
+    """Hashes of the passages of MIN_WORDS words that start in the ranges given."""
+    for batch in batches:
+        for doc, raw, parts in zip(batch["doc_id"].to_pylist(), batch["text"], batch["parts"].to_pylist()):
+            w = words(raw.as_py())
+            starts = [i for p in parts for i in range(p["lo"], min(p["hi"], len(w) - MIN_WORDS + 1))]
+            h = [int.from_bytes(hashlib.blake2b(b" ".join(w[i : i + MIN_WORDS]), digest_size=8).digest(), "little", signed=True) for i in starts]
+            if h:
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([doc] * len(h), pa.int64()), pa.array(starts, pa.int32())], names=("h", "id", "start"))
+
+
+def exact_repeats(rest: DataFrame, lists: DataFrame, base: DataFrame) -> DataFrame:
+    """Passages of MIN_WORDS words left over that another document has, too: rows as FOUND, those in a row as one where they have one other."""
+    of = lists.join(rest.select("id").distinct(), "id", "left_semi").select("id", "lo", "hi", "order", F.lit(False).alias("rest")).unionByName(rest.select("id", "lo", "hi", "order", F.lit(True).alias("rest")))
+    wanted = stored(of.groupBy("id").agg(F.collect_set(F.struct("lo", "hi", "order", "rest")).alias("ws")).mapInArrow(_all_orders, "doc_id long, parts array<struct<lo: int, hi: int>>"), "ranges")
+    few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    grams = stored(base.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(_exact, "h long, id long, start int"), "grams")
+    ends = grams.groupBy("h").agg(F.min(F.struct("id", "start")).alias("lo"), F.max(F.struct("id", "start")).alias("hi")).where("lo.id != hi.id")
+    met = grams.join(ends, "h").select("id", "start", F.when(F.col("id") == F.col("lo.id"), F.col("hi")).otherwise(F.col("lo")).alias("o"))
+    runs_ = met.select("id", "start", F.col("o.id").alias("other"), (F.col("o.start") - F.col("start")).alias("shift"))
+    row = F.col("start") - F.row_number().over(Window.partitionBy("id", "other", "shift").orderBy("start"))
+    one = runs_.withColumn("row", row).groupBy("id", "other", "shift", "row").agg(F.min("start").alias("start"), (F.max("start") + MIN_WORDS).alias("end"))
+    return one.select(F.col("id").alias("doc_id"), "start", "end", F.col("other").alias("other_id"), (F.col("start") + F.col("shift")).alias("other_start"), (F.col("end") + F.col("shift")).alias("other_end"), (F.col("end") - F.col("start")).alias("words"), F.lit(1.0).alias("similarity"))
+
+
 def turned(found: DataFrame) -> DataFrame:
     """The same passages, told of the other document."""
     return found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"), F.col("doc_id").alias("other_id"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), (F.col("other_end") - F.col("other_start")).alias("words"), "similarity")
@@ -425,19 +486,15 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     parts = parts_for(spark, expected)
     packed = single.mapInArrow(_windows(part_keys(spark, parts)), pack_fields(ENTRY, DOC))
     lists = stored(deal(packed, parts).mapInArrow(_meet, LISTS), "lists")
-    found = verified(lists, single, "found")
+    met = lists.where("hub_at >= 0")
+    found = verified(met, single, "found")
 
-    # What is left over meets the first document left over in its list.
     rest = stored(left_over(lists.where("docs > 2"), found), "rest")
     if not rest.isEmpty():
-        first = rest.groupBy("token").agg(F.min(F.struct("id", "at")).alias("o")).select("token", F.col("o.id").alias("next"), F.col("o.at").alias("next_at"))
-        again = rest.join(first, "token").where("id != next AND hub != next")
-        more = verified(again.select("id", "at", "lo", "hi", F.col("next").alias("hub"), F.col("next_at").alias("hub_at")), single, "again")
+        more = verified(by_two_orders(rest, lists), single, "more")
         found = found.unionByName(more)
-        still = stored(left_over(rest, more), "still")
-        all_of = lists.join(still.select("token").distinct(), "token", "left_semi").select("token", F.col("id").alias("other"), F.col("at").alias("other_at")).distinct()
-        pairs = still.join(all_of, "token").where("id != other AND other != hub").select("id", "at", "lo", "hi", F.col("other").alias("hub"), F.col("other_at").alias("hub_at"))
-        found = found.unionByName(verified(pairs, single, "further"))
+        rest = stored(left_over(rest, more), "still")
+        found = found.unionByName(stored(exact_repeats(rest, lists, single), "repeats"))
 
     rows = found.unionByName(turned(found)).unionByName(of_copies(members))
     cols = ("other_id", "other_start", "other_end", "words", "similarity")
