@@ -8,10 +8,12 @@ are then compared word by word. Texts are cut into lanes that overlap by the pat
 move on together.
 
 A pattern set is broadcast only up to MAX_BLOCK_WORDS benchmark words; a larger benchmark is searched in blocks of
-items, one pass over the documents each, and the passes' hits are merged by document.
+items, one pass over the documents each, and the passes' hits are merged by document. Tables of a block of MAX_BLOCK_WORDS
+words are 166 MB as they are sent to a task (830 bytes a word, measured).
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no windows; equal
-windows of several items count for each of these; rows that repeat an item_id count as one item; repeated documents
+windows of several items count for each of these; rows that repeat an item_id count as one item; items without an id
+count as one item, last in items, which has no name in items_sha256, and their words are hit; repeated documents
 are each returned (in several passes, rows are merged by their own number, not by doc_id); an empty table of either
 kind gives no rows or no hits.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, whole
 
-WINDOW, MAX_BLOCK_WORDS = 13, 1_000_000
+WINDOW, MAX_BLOCK_WORDS = 13, 200_000
 LANE, CHUNK_WORDS = 1024, 400_000
 #: Bytes outside words become spaces, A-Z become lower-case; all bytes of other code points belong to words.
 TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -38,6 +40,10 @@ def item_words(raw: bytes) -> list[bytes]:
     return raw.translate(TABLE).split()
 
 
+def in_order(items) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 class Machine:
     """Shift table, suffix buckets and prefix hashes of patterns of at least m words, over symbols 0 (unknown) to top."""
 
@@ -105,9 +111,9 @@ class Machine:
 class Patterns:
     """The windows of a block of items, in machines of one kind each: full windows, and shorter items by length class."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW) -> None:
         self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        owners: dict[tuple[int, ...], set[str | None]] = defaultdict(set)
         for item, raw in items:
             w = item_words(raw)
             sym = [self.ids.setdefault(x, len(self.ids) + 1) for x in w]
@@ -117,7 +123,7 @@ class Patterns:
         for p in owners:
             kinds[1 if len(p) == 1 else 2 if len(p) < 5 else 3 if len(p) < window else 4].append(p)
         self.machines = [Machine(ps, len(self.ids)) for _, ps in sorted(kinds.items())]
-        self.owners = [[sorted(owners[p]) for p in m.patterns] for m in self.machines]
+        self.owners = [[in_order(owners[p]) for p in m.patterns] for m in self.machines]
 
     def hits(self, docs: list[list[bytes]]):
         """For each document (its words): number of words hit, items that occur."""
@@ -146,7 +152,7 @@ def _scan(patterns: Patterns, spans: bool):
         hit, ends, items = patterns.hits(docs)
         sums = np.concatenate([[0], np.cumsum(hit)])
         starts = ends - [len(w) + 1 for w in docs]
-        cols = [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(w) for w in docs], pa.int64()), pa.array(sums[ends - 1] - sums[starts], pa.int64()), pa.array([sorted(items.get(i, ())) for i in range(len(docs))], pa.list_(pa.string()))]
+        cols = [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(w) for w in docs], pa.int64()), pa.array(sums[ends - 1] - sums[starts], pa.int64()), pa.array([in_order(items.get(i, ())) for i in range(len(docs))], pa.list_(pa.string()))]
         if spans:
             runs = []
             for s, e in zip(starts, ends - 1):
@@ -189,7 +195,7 @@ def _blocks(benchmark: DataFrame, most: int):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
     """row, doc_id, n_words, n_hit, items (ids as strings, sorted) for each row of docs (doc_id, text)."""
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    blocks = _blocks(benchmark.where("item_id is not null"), max_block_words)
+    blocks = _blocks(benchmark, max_block_words)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return source.mapInArrow(_scan(Patterns(first, window), False), f"row long, doc_id long, {RESULT}")

@@ -45,7 +45,7 @@ def learn(train: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DI
     text gives at most 4 * dict_bytes / sample_rows characters: as many as a dictionary has room for, from a place that
     the hash chooses. Equal rows have one hash and count once."""
     rows = train.where("lang is not null and text is not null and text != ''").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("count")).orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages: the dictionaries would outgrow a broadcast")
     if not sizes:

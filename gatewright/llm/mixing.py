@@ -126,5 +126,6 @@ def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, ratio: f
     again = F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))
     copies = stored(mix(docs, weights, ratio, cap).groupBy("doc_id").agg(F.max(again).cast("int").alias("copies")).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")), "copies")
     few = copies.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    key = docs["doc_id"].cast("long").eqNullSafe(copies["_id"])
-    return docs.join(F.broadcast(copies) if few else copies, key).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies["_copies"])).alias("_copy")).drop("_copy")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = F.col("id").eqNullSafe(F.col("_id"))
+    return rows.join(F.broadcast(copies) if few else copies, at).select(F.inline(F.array_repeat("row", F.col("_copies"))))

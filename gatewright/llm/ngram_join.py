@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, shingle_hashes, stored, whole, words
+from .common import WordHashes, drop, shingle_hashes, stored, whole, words
 from .components import components
 from .packing import Packer, deal, in_pieces, pack_fields, part_keys, parts_for, runs, unpack
 
@@ -321,7 +321,9 @@ def _apart(lists: DataFrame, label: DataFrame, alive: DataFrame) -> DataFrame:
     ends = [f(c).alias(f"{n}_{c}") for c in ("label", "hub") for n, f in (("lo", F.min), ("hi", F.max))]
     by_list = kept.groupBy("token").agg(*ends, F.count("*").alias("size"), F.min("match").alias("match"))
     apart = by_list.where("lo_label != hi_label AND NOT (size = 2 AND match = 1 AND lo_hub = hi_hub)").select("token")
-    return stored(kept.join(apart, "token", "left_semi"), "open")
+    open_ = stored(kept.join(apart, "token", "left_semi"), "open")
+    drop(kept)
+    return open_
 
 
 def _across(open_: DataFrame) -> DataFrame:
@@ -358,9 +360,11 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     label = components(near)
 
     tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = _candidates(_across(_apart(lists, label, alive)), "a_", "b_", alive)
+    open_ = _apart(lists, label, alive)
+    pairs = _candidates(_across(open_), "a_", "b_", alive)
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
     across = stored(alike(pairs, stats), "across")
+    drop(found, alive, open_, stars)
     if not across.isEmpty():
         label = components(stored(near.unionByName(verified(across, single)), "all_links"))
     of = label.select(F.col("v").alias("class_id"), "label")

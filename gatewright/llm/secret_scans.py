@@ -6,6 +6,9 @@ carry the blob, and findings are joined back to all paths.
 
 Positions come from the pieces between matches: their lengths and the matches' lengths, added up in order.
 
+A scan appends its findings first and then the pairs that it has scanned. A scan that is lost in between is done again, and
+its findings count once: they are read as a set, so the ledger is right after any crash.
+
 Defined results: a null text counts as empty and has no findings; repeated rows are each returned; a null path is a
 path like any other; an empty table gives no rows; other columns are ignored.
 """
@@ -90,8 +93,8 @@ def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
 
 
 def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """What the ledger holds for these rules' versions."""
-    known = _table(spark, f"{ledger}/findings", "blob binary, kind string, version int, start long, end long")
+    """What the ledger holds for these rules' versions; once each, also where a lost scan was written twice."""
+    known = _table(spark, f"{ledger}/findings", "blob binary, kind string, version int, start long, end long").distinct()
     return known.where(F.concat_ws(":", "kind", "version").isin([f"{r.kind}:{r.version}" for r in rules]))
 
 

@@ -54,4 +54,4 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def place(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """df with its rows' slot and shard."""
     table = df.sparkSession.createDataFrame(list(enumerate(lookup_table(shards, slots))), "slot int, shard string")
-    return df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    return df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "slot").select(*[f"`{c}`" for c in df.columns if c not in ("slot", "shard")], "slot", "shard")

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, mix, shingle_hashes, stored, whole, words
+from .common import WordHashes, drop, mix, shingle_hashes, stored, whole, words
 from .ngram_join import classes, with_few
 from .packing import Packer, deal, in_pieces, pack_fields, part_keys, parts_for, runs, unpack
 
@@ -395,7 +395,9 @@ def verified(met: DataFrame, base: DataFrame, name: str) -> DataFrame:
     few = parts.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     slices = stored(base.join(F.broadcast(parts) if few else parts, "doc_id").select("doc_id", "text", "parts").mapInArrow(_slices, "id long, lo int, hi int, slice binary"), name + "_slices")
     both = found.join(slices.withColumnRenamed("slice", "a"), ["id", "lo", "hi"]).join(slices.select(F.col("id").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"), F.col("slice").alias("b")), ["hub", "hub_lo", "hub_hi"])
-    return stored(both.select("id", "lo", "hub", "hub_lo", "ms", "a", "b").mapInArrow(_verify, FOUND), name)
+    passages_ = stored(both.select("id", "lo", "hub", "hub_lo", "ms", "a", "b").mapInArrow(_verify, FOUND), name)
+    drop(found, parts, slices)
+    return passages_
 
 
 def left_over(met: DataFrame, found: DataFrame) -> DataFrame:

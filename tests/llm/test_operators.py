@@ -110,6 +110,28 @@ def test_ledger_scans_only_what_is_new(spark, docs, tmp_path):
     assert count() == len({t or "" for _, t in each(docs)}) * len(secret_scans.RULES)
 
 
+def test_secret_counts_and_all_spans(docs):
+    pem = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+    got = by_row(secret_scans.secret_scans(docs))
+    for d, t in each(docs):
+        base = [x for x in secrets(t or "").split(",") if x]
+        more = [f"pem:{m.start()}:{m.end()}" for m in pem.finditer(t or "")]
+        order = {"assign": 0, "access": 1, "hex": 2, "pem": 3}
+        key = lambda x: (int(x.split(":")[1]), order[x.split(":")[0]])
+        want = (*(sum(x.startswith(k) for x in base) for k in ("assign:", "access:", "hex:")), ",".join(sorted(base + more, key=key)))
+        assert any((r.n_assign, r.n_access, r.n_hex, r.spans) == want for r in got[d])
+
+
+def test_ledger_after_a_lost_write(spark, tmp_path):
+    import shutil
+
+    docs = spark.createDataFrame([(1, 'password = "hunter2hunter2"'), (2, "-----BEGIN RSA PRIVATE KEY-----")], "doc_id long, text string")
+    ledger = str(tmp_path / "ledger")
+    first = sorted(secret_scans.secret_scans(docs, ledger).collect())
+    shutil.rmtree(f"{ledger}/scanned")
+    assert sorted(secret_scans.secret_scans(docs, ledger).collect()) == first and first[0].n_assign == 1
+
+
 def test_sharding(docs):
     owners = Counter(sharding.lookup_table())
     assert max(owners.values()) - min(owners.values()) <= 1
@@ -124,8 +146,8 @@ def test_decontamination(docs, benchmark):
     own = defaultdict(set)
     for r in benchmark.collect():
         w = ITEM_WORD.findall(low(r.text))
-        for i in range(max(0, len(w) - 13) + 1 if w and r.item_id is not None else 0):
-            own[tuple(w[i : i + 13])].add(str(r.item_id))
+        for i in range(max(0, len(w) - 13) + 1 if w else 0):
+            own[tuple(w[i : i + 13])].add(None if r.item_id is None else str(r.item_id))
     want = Counter()
     for d, t in each(docs):
         w, hit, items = ITEM_WORD.findall(low(t)), set(), set()
@@ -134,7 +156,7 @@ def test_decontamination(docs, benchmark):
                 if o := own.get(tuple(w[i : i + k])):
                     hit |= set(range(i, i + k))
                     items |= o
-        want[(d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))] += 1
+        want[(d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))] += 1
     for most in (1_000_000, 30):
         assert Counter(map(tuple, decontamination.decontamination(docs, benchmark, max_block_words=most).collect())) == want
 
@@ -146,6 +168,29 @@ def test_language_id(spark):
     assert sum(r.rejected for r in rows) < 0.03 * len(rows)
 
 
+def test_language_is_that_of_the_smallest_compressed_size(docs):
+    import zstandard
+
+    dictionaries = language_id.learn(docs)
+    assert sorted(dictionaries) == ["de", "en"] and all(0 < len(d) <= language_id.DICT_BYTES for d in dictionaries.values())
+    got = by_row(language_id.identify(docs, dictionaries))
+    for d, t in each(docs):
+        if t and any(map(str.isalpha, t)):
+            raw, sizes = language_id.letters(t), {}
+            for lang, content in dictionaries.items():
+                c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+                sizes[lang] = sum(len(c.compress(raw[i : i + language_id.PIECE])) for i in range(0, len(raw), language_id.PIECE))
+            best, second = sorted(sizes.values())
+            want = min(sizes, key=lambda x: (sizes[x], x))
+            assert any(r.lang_pred == want and r.rejected == (1 - best / second < language_id.MIN_MARGIN) for r in got[d])
+
+
+def test_language_samples_are_bounded_when_ids_are_missing_or_equal(spark):
+    prose = lambda i: " ".join(f"{'abcdefgh'[(i * k) % 8]}{'xyz'[(i + k) % 3]}" for k in range(1, 60))
+    rows = [(None if i % 2 else 7, prose(i), "en") for i in range(3000)]
+    assert 1000 < len(language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=20, dict_bytes=4000)["en"]) <= 4000
+
+
 def test_language_id_of_odd_texts(docs):
     got = by_row(language_id.language_id(docs))
     for d, t in each(docs):
@@ -171,6 +216,37 @@ def components_of(sets):
     return {d: top(d) for d in sets}
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    a, b = " ".join(_prose(70, 40)), " ".join(_prose(71, 40))
+    rows = [(3, a), (5, a), (5, b), (9, b + " two more")]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {3} and len(got) == 4
+
+
+def test_bitmaps_never_rule_out_what_is_shared():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        x, y = (np.unique(r.integers(0, 2**63, int(r.integers(1, 400)), dtype=np.uint64)) for _ in "xy")
+        y = np.unique(np.concatenate([y, x[: int(r.integers(0, len(x) + 1))]]))
+        shared = len(np.intersect1d(x, y))
+        assert shared <= ngram_join.most_shared(len(x), ngram_join.bitmap(x).tobytes(), len(y), ngram_join.bitmap(y).tobytes()) <= min(len(x), len(y)) + 0.5 * abs(len(x) - len(y)) + 200
+
+
+def test_ngram_join_of_many_near_copies_with_one_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SPLIT", 10)  # lists are split over tasks
+    r = random.Random(6)
+    base, line, rows = _prose(80, 60), _prose(81, 30), []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(60)] = f"x{r.random()}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join(line + _prose(900 + i, r.randint(5, 30)))) for i in range(80)]
+    got = {x.doc_id: x.component_id for x in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    assert got == components_of(sets)
+
+
 def test_ngram_join(docs):
     sets = {}
     for d, t in each(docs):
@@ -198,6 +274,34 @@ def test_mixing(docs):
     assert key(again) == key(got)
 
 
+def test_mixing_replays_the_schedule(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 3, 9, 40])), r.choice(["a", "b", "b", "b", None])) for i in range(200)]
+    got = {x.doc_id: x for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    order = {x.doc_id: (x.h, x.doc_id) for x in spark.createDataFrame(rows, "doc_id long, text string, source string").select("doc_id", F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string")).alias("h")).collect()}
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    size = {i: len(t.split()) for i, t, _ in rows}
+    of = {s: [i for i, _, x in rows if x == s] for s in sources}
+    runs = {s: 1 + len(of[s]) // mixing.RUN for s in sources}
+    total = {s: sum(size[i] for i in of[s]) for s in sources}
+    goal = dict(zip(sources, mixing.targets([total[s] for s in sources], [(3, 1, 2)[k % 3] for k in range(len(sources))])))
+    block = max(1, int(min(goal.values()) // mixing.BLOCKS))
+    words = {}
+    for s in sources:
+        place = lambda i: (int((((order[i][0] & (2**64 - 1)) >> 1) / 2.0**63) * runs[s]), *order[i])  # noqa: E731, B023
+        words[s] = [i for i in sorted(of[s], key=place) for _ in range(size[i])]
+    edges, taken, rank = [sum(list(goal.values())[: k + 1]) / sum(goal.values()) for k in range(len(sources))], Counter(), Counter()
+    for k in range(round(sum(goal.values()) / block)):
+        x = (k + 1) * mixing.GOLDEN % 1.0
+        s = sources[min(sum(e <= x for e in edges), len(sources) - 1)]
+        blocks = -(-total[s] // block)
+        if rank[s] < 2 * blocks:
+            b = rank[s] % blocks
+            taken.update(words[s][b * block : (b + 1) * block])
+        rank[s] += 1
+    assert {i: x.taken for i, x in got.items()} == {i: taken[i] for i in got}
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == [200, 250 / 3, 500 / 3]
     assert mixing.targets([0, 10], [3, 1]) == [0, 15]
@@ -217,6 +321,39 @@ def test_lm_scoring(docs):
         assert any(abs(r.base_score - base) < 1e-6 * abs(base) and r.n_tokens == len(w) and r.n_known == sum(counts[x] > 0 for x in w) and r.train_tokens == n and r.held_out == out and r.score < 0 for r in got[d])
 
 
+def test_scores_are_marginals_of_all_segmentations(spark, docs, monkeypatch):
+    from functools import cache
+
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "é"]
+    monkeypatch.setattr(lm_scoring, "read_vocabulary", lambda path: (pieces, -np.log(10.0 + np.arange(len(pieces)))))
+    rows = [(i, t) for i, t in enumerate(["abab ab", "b é ab xyz", "", None, "bab " * 5, "ab " * 40, "a"])]
+    got = {r.doc_id: r for r in lm_scoring.lm_scoring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    train = [WORD.findall(low(t or "")) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    logs = lm_scoring.fit(spark.createDataFrame([(w.encode(), n) for w, n in Counter(sum(train, [])).items()], "word binary, n long"), *lm_scoring.read_vocabulary(""))
+    end = len(train) / (len(train) + sum(map(len, train)))
+
+    @cache
+    def total(s):
+        if not s:
+            return 1.0
+        arcs = {k: math.exp(logs[pieces.index(s[:k])]) for k in range(1, len(s) + 1) if s[:k] in pieces}
+        arcs.setdefault(1, math.exp(logs[-2]) / lm_scoring.CHARACTERS)
+        return sum(p * total(s[k:]) for k, p in arcs.items())
+
+    for i, t in rows:
+        want = sum(math.log10(total("▁" + w) * math.exp(logs[-1]) * (1 - end)) for w in WORD.findall(low(t or ""))) + math.log10(end)
+        assert got[i].score == pytest.approx(want)
+
+
+def test_long_words_are_scored_in_blocks(monkeypatch):
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "bab", "é"]
+    lattice = lm_scoring.Lattice(pieces, np.log(np.array([5, 4, 9, 8, 7, 3, 6, 2, 1, 4]) / 49))
+    word = "▁" + "".join(random.Random(1).choice("abéx") for _ in range(3000))
+    whole = lattice.scores([word])
+    monkeypatch.setattr(lm_scoring, "LONG", 10_000)
+    assert lattice.scores([word])[0] == pytest.approx(whole[0])
+
+
 def test_lattice_sums_over_all_segmentations():
     pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"]
     logs = np.log([0.1, 0.2, 0.15, 0.1, 0.2, 0.1, 0.1, 0.05, 0.3])
@@ -246,7 +383,7 @@ def test_pii(docs):
 
 def test_pii_labels_all_repeats_linked_with_a_base_span():
     size = len(pii.KINDS) + 1
-    field = pii.Field(np.zeros((24, size)), np.zeros((size, size)), 6.0 * np.eye(size))
+    field = pii.Field(np.zeros((pii.FEATURES, size)), np.zeros((size, size)), 6.0 * np.eye(size))
     bare, base = "743-555-3824", "+1 (743) 555-3824"
     far = " and some more words between them, "
     for parts in ((base, bare), (bare, base, bare, bare), (base, bare, bare, bare, bare)):
@@ -258,6 +395,78 @@ def test_pii_labels_all_repeats_linked_with_a_base_span():
     assert pii.find(f"{base}{far}123-456-7890{far}123-456-7890", field)[1] == []
 
 
+OLD_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+OLD_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+def test_pii_patterns_match_as_the_plain_ones_do():
+    r = random.Random(3)
+    for _ in range(3000):
+        text = "".join(r.choice("a1.@-_ +") for _ in range(r.randint(1, 40)))
+        got = pii.base_spans(text)
+        assert [(a, b) for k, a, b in got if k == 0] == [m.span() for m in OLD_EMAIL.finditer(text)]
+        ok = [m.span() for m in OLD_IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [(a, b) for k, a, b in got if k == 1] == ok
+
+
+def test_pii_of_very_long_runs():
+    import time
+
+    field = pii.train([([pii._number("bias")], 0, 1.0)], {})
+    began = time.time()
+    for text in ("a" * 1_000_000 + " @", "1" * 1_000_000, "1." * 500_000, "+1" * 300_000, "a@" * 300_000, "1 " * 20_000):
+        pii.find(text, field)
+    assert time.time() - began < 60
+
+
+def test_message_passing_gives_the_marginals_of_all_labellings():
+    import itertools
+
+    r = np.random.default_rng(1)
+    size = len(pii.KINDS) + 1
+    field = pii.Field(np.zeros((1, size)), r.normal(size=(size, size)), 2.0 * np.eye(size))
+    for n, chain, skip, exact in ((5, [(0, 1), (1, 2)], [(1, 3), (3, 4)], True), (4, [(0, 1), (1, 2), (2, 3)], [(0, 3)], False)):
+        unary, want = r.normal(size=(n, size)), np.zeros((n, size))
+        for y in itertools.product(range(size), repeat=n):
+            w = math.exp(sum(unary[i, k] for i, k in enumerate(y)) + sum(field.chain[y[i], y[j]] for i, j in chain) + sum(field.skip[y[i], y[j]] for i, j in skip))
+            for i, k in enumerate(y):
+                want[i, k] += w
+        want /= want.sum(axis=1, keepdims=True)
+        got = field.marginals(unary, chain, skip, steps=200)
+        assert np.abs(got - want).max() < (1e-3 if exact else 0.15)
+        assert (got.argmax(axis=1) == want.argmax(axis=1)).all()
+
+
+def test_field_finds_disguised_spans_and_leaves_numbers_alone(spark):
+    r = random.Random(8)
+    num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(r.choice(["ba", "ke", "li", "mo", "sa"]) for _ in range(2))
+    prose = lambda k: " ".join(word() for _ in range(k))
+
+    def card():
+        while True:
+            d = num(16)
+            if pii.luhn(d):
+                return f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}"
+
+    make = [lambda: f"{word()}.{word()}@{word()}.org", lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), card, lambda: f"+{num(2)} {num(3)} {num(3)} {num(4)}"]
+    plain = lambda: r.choice([str(r.randint(1900, 2030)), num(3), f"{num(2)}.{num(2)}", f"{num(1)},{num(3)}"])
+    train = [(i, f"{prose(9)} {make[i % 4]()} {prose(9)} {plain()} {prose(5)} {plain()} {prose(3)}") for i in range(400)]
+    field = pii.learn(spark.createDataFrame(train, "doc_id long, text string"))
+    hit = total = wrong = 0
+    for i in range(200):
+        secret = make[i % 2]()
+        hidden = secret.replace("@", "(at)").replace(".", "[.]") if i % 2 else secret.replace("@", "(at)")
+        text = f"{prose(6)} {hidden} {prose(6)} {plain()} {prose(4)}"
+        base, added = pii.find(text, field)
+        assert base == []
+        hit += any(text[a:b] == hidden and k == i % 2 for k, a, b in added)
+        wrong += sum(text[a:b] != hidden for _, a, b in added)
+        total += 1
+    assert hit > 0.9 * total and wrong <= 0.05 * total
+    assert not any(pii.find(f"{prose(9)} {plain()} {prose(9)} {plain()}", field)[1] for _ in range(100))
+
+
 def test_substring_dedup(docs):
     rows = substring_dedup.substring_dedup(docs).collect()
     words = {d: low(t).encode().split() for d, t in each(docs) if d is not None}
