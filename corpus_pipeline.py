@@ -1,8 +1,12 @@
 """A training-data pipeline over documents: language, near duplicates, benchmark passages, mix, shards.
 
-Each stage works on all rows that the one before kept, and is written and read again. Rows that repeat a doc_id are one
-document to the near-duplicate stage, which keeps one of them; a document with a null doc_id is kept by the stages that
-drop documents by id. Empty tables pass through all stages.
+Each stage works on all rows that the one before kept, and is written and read again.
+
+Defined results, of every stage: null and empty texts have no language, so the first stage drops them; later stages keep
+them. Rows that repeat a doc_id are one document to near_duplicates, which keeps one of them; benchmark_passages treats
+each row by its text, source_mix by its id, shards by its id. A null doc_id is no reason to drop a row: near_duplicates keeps all such rows,
+whatever their texts. Ties are settled by smallest ids and code-point order, so reruns agree. Very long texts are read whole. Other
+columns, whatever their names, pass through unchanged; shards adds slot and shard. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from gatewright.llm.common import documents, fold, scratch, stored
 from gatewright.llm.decontamination import find_contamination, is_contaminated
 from gatewright.llm.language_id import keep_identified, learn
 from gatewright.llm.mixing import mixed_copies
-from gatewright.llm.ngram_join import ngram_join, with_few
+from gatewright.llm.ngram_join import MAX_BROADCAST_IDS, ngram_join, with_few
 from gatewright.llm.sharding import place
 
 
@@ -24,19 +28,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group that links of similarity 0.75 or more connect."""
+    """The document of the smallest doc_id of each group that links of similarity 0.75 or more connect.
+
+    Of rows that repeat a doc_id, the one stays that comes first as JSON; each row without a doc_id stays."""
     groups = stored(ngram_join(docs).select("doc_id", "component_id"), "groups")
     kept = with_few(docs, groups.where("component_id != doc_id").select("doc_id").distinct(), "left_anti")
     repeated = stored(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    return with_few(kept, repeated, "left_anti").unionByName(with_few(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = with_few(kept, repeated, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
+    return with_few(kept, repeated, "left_anti").unionByName(one)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return with_few(docs, stored(found.where(is_contaminated()).select("doc_id").distinct(), "contaminated"), "left_anti")
+    """Documents that are not contaminated by the benchmark.
+
+    A text alone decides, so rows are found and dropped by a 64-bit hash of their texts, with or without a doc_id."""
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    found = find_contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = stored(found.where(is_contaminated()).select("doc_id").distinct(), "contaminated")
+    few = bad.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(bad) if few else bad, key == bad["doc_id"], "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
