@@ -29,11 +29,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a scratch table and read it back: lineage is cut and the rows survive lost executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None, per: int = 50_000) -> DataFrame:
+    """Write df to a scratch table and read it back: lineage is cut and the rows survive lost executors.
+
+    rows: about how many there are, where that is known; then no more tasks write than have per rows each, so a small
+    table is not dealt over as many files as a large one."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))))).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table

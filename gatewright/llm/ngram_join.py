@@ -42,7 +42,7 @@ from .packing import Packer, deal, in_pieces, pack_fields, part_keys, parts_for,
 
 WIDTH, NUM, DEN = 5, 75, 100
 MAX_MATCH, MAX_FREQUENT, MIN_FREQUENT, VERIFY_COST = 4, 300_000, 4, 16.0
-MAX_BROADCAST_IDS, CHUNK, LAST = 1_000_000, 1_000_000, 65_535
+MAX_BROADCAST_IDS, CHUNK, LAST, PAIRS_PER_TASK = 1_000_000, 1_000_000, 65_535, 1_000
 STATS = "doc_id long, n long, sig binary, bits binary, token long, count long"
 #: Tokens estimated at this count or more are split over several tasks, each with a hub of its own.
 SPLIT = 500_000
@@ -272,10 +272,11 @@ def classes(base: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame, Da
     """doc_id, n_shingles and class_id (the smallest doc_id of the same digest) of all rows; a row of base for each class (and
     other rows of its doc_id); and links (u, v) of classes that one doc_id has rows in."""
     seen = stats.where("token is null")
-    reps = stored(seen.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id")), "classes")
-    members = stored(seen.join(reps, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "members")
+    n = seen.count()
+    reps = stored(seen.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id")), "classes", n)
+    members = stored(seen.join(reps, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "members", n)
     by_id = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), F.max(F.col("class_id") == F.col("doc_id")).alias("leads"))
-    copies = stored(by_id.where("lo != doc_id or hi != doc_id"), "copies")
+    copies = stored(by_id.where("lo != doc_id or hi != doc_id"), "copies", n)
     single = with_few(base.where("doc_id is not null"), copies.where("not leads").select("doc_id"), "left_anti")
     several = copies.where("lo != hi")
     links = members.join(several, "doc_id").where("class_id != lo").select(F.col("lo").alias("u"), F.col("class_id").alias("v")).distinct()
@@ -288,17 +289,17 @@ def with_few(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    """Those pairs (u, v) of documents whose sets reach the threshold.
+def verified(pairs: DataFrame, base: DataFrame, name: str) -> DataFrame:
+    """A table of those pairs (u, v) of documents whose sets reach the threshold.
 
     Sets are made where the texts are read: that of v goes to each u that it is paired with, that of u there once."""
-    few = pairs.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    at = F.broadcast if few else (lambda df: df)
+    n = pairs.count()
+    at = F.broadcast if n <= MAX_BROADCAST_IDS else (lambda df: df)
     partners = pairs.groupBy(F.col("v").alias("doc_id")).agg(F.collect_list("u").alias("us"))
     one = base.join(at(partners), "doc_id").select(F.col("doc_id").alias("v"), "us", "text").mapInArrow(_sets, "v long, us array<long>, set binary")
     two = base.join(at(pairs.select(F.col("u").alias("doc_id")).distinct()), "doc_id").select(F.col("doc_id").alias("u"), "text").mapInArrow(_sets, "u long, set binary")
     both = one.select(F.explode("us").alias("u"), "v", F.col("set").alias("b")).join(two.select("u", F.col("set").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
+    return stored(both.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long"), name, n, PAIRS_PER_TASK)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -312,16 +313,17 @@ def _apart(lists: DataFrame, label: DataFrame, alive: DataFrame) -> DataFrame:
     All documents in the list of a frequent shingle have all their rare ones in their prefixes; so one whose rare shingles
     without partner are too many even for its smallest partner goes, and of two that are linked, one (strong) has room
     for a partner of its own size. A list of two that one shared shingle suffices for has been tried."""
+    n = lists.count()
     bound = F.col("n") - F.col("rare") + F.coalesce("alive", F.lit(0))
     rare = F.col("pos") < F.col("rare")
     least = F.ceil(NUM * (F.col("n") + F.ceil(NUM * F.col("n") / DEN)) / (NUM + DEN))
     known = lists.join(_few(label.select(F.col("v").alias("id"), "label")), "id", "left").join(_few(alive), "id", "left")
     strong = rare | ((NUM + DEN) * bound >= 2 * NUM * F.col("n"))
-    kept = stored(known.where(rare | (bound >= least)).select("token", *ABOUT, F.col("hub_id").alias("hub"), F.coalesce("label", "id").alias("label"), strong.alias("strong")), "kept")
+    kept = stored(known.where(rare | (bound >= least)).select("token", *ABOUT, F.col("hub_id").alias("hub"), F.coalesce("label", "id").alias("label"), strong.alias("strong")), "kept", n)
     ends = [f(c).alias(f"{n}_{c}") for c in ("label", "hub") for n, f in (("lo", F.min), ("hi", F.max))]
     by_list = kept.groupBy("token").agg(*ends, F.count("*").alias("size"), F.min("match").alias("match"))
     apart = by_list.where("lo_label != hi_label AND NOT (size = 2 AND match = 1 AND lo_hub = hi_hub)").select("token")
-    open_ = stored(kept.join(apart, "token", "left_semi"), "open")
+    open_ = stored(kept.join(apart, "token", "left_semi"), "open", n)
     drop(kept)
     return open_
 
@@ -351,21 +353,21 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     parts = parts_for(spark, int((members.agg(F.sum("n_shingles")).first()[0] or 0) * (1 - NUM / DEN)))
     packed = single.mapInArrow(_prefixes(order, part_keys(spark, parts)), pack_fields(ENTRY, DOC))
     found = stored(deal(packed, parts).mapInArrow(_lists(order), LISTS), "lists")
-    lists = found.where("token is not null").drop("alive")
-    alive = stored(found.where("token is null").groupBy("id").agg(F.sum("alive").alias("alive")), "alive")
+    lists, n = found.where("token is not null").drop("alive"), found.count()
+    alive = stored(found.where("token is null").groupBy("id").agg(F.sum("alive").alias("alive")), "alive", n)
 
     met = lists.where((F.col("id") != F.col("hub_id")) & _within("", "hub_"))
-    stars = stored(alike(_candidates(met, "hub_", "", alive), stats), "stars")
-    near = stored(verified(stars, single).unionByName(same), "near")
+    stars = stored(alike(_candidates(met, "hub_", "", alive), stats), "stars", n)
+    near = verified(stars, single, "near").unionByName(same)
     label = components(near)
 
     tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     open_ = _apart(lists, label, alive)
     pairs = _candidates(_across(open_), "a_", "b_", alive)
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    across = stored(alike(pairs, stats), "across")
+    across = stored(alike(pairs, stats), "across", n)
     drop(found, alive, open_, stars)
     if not across.isEmpty():
-        label = components(stored(near.unionByName(verified(across, single)), "all_links"))
+        label = components(near.unionByName(verified(across, single, "links_across")))
     of = label.select(F.col("v").alias("class_id"), "label")
     return members.join(of, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))

@@ -17,8 +17,8 @@ ENTRIES_PER_PART, CHUNK_ENTRIES = 400_000, 400_000
 
 
 def parts_for(spark: SparkSession, entries: int) -> int:
-    """As many parts as keep their entries to what a task can sort in memory."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES_PER_PART))
+    """As many parts as keep their entries to what a task can sort in memory, and as all cores have twice."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-entries // ENTRIES_PER_PART))
 
 
 def part_keys(spark: SparkSession, parts: int) -> list[int]:
