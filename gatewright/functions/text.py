@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def py_strip(c: Column) -> Column:
@@ -38,3 +38,16 @@ def slug(texts):
     plain = texts.fillna("").map(lambda s: unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower())
     out = plain.str.replace(r"[^a-z0-9]+", "_", regex=True).str.strip("_")
     return pd.Series(out.where(out != "", "quest"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def slugs(lists):
+    """slug of each text of a list."""
+    import re
+    import unicodedata
+
+    def one(s: str | None) -> str:
+        plain = unicodedata.normalize("NFKD", s or "").encode("ascii", "ignore").decode().lower()
+        return re.sub(r"[^a-z0-9]+", "_", plain).strip("_") or "quest"
+
+    return lists.map(lambda xs: None if xs is None else [one(x) for x in xs])
