@@ -14,7 +14,8 @@ from .gates import union
 def signatures(v: Views) -> DataFrame:
     """quest_id, signature of each artifact: action:type in objective order; '' without objectives."""
     e = v.entity.select(F.col("entity_id").alias("_id"), "entity_type")
-    part = F.concat_ws(":", F.coalesce(F.lower(py_strip(F.col("action"))), F.lit("unknown")), F.coalesce("entity_type", F.lit("unknown")))
+    action = "shown" if "shown" in v.objective.columns else "action"
+    part = F.concat_ws(":", F.coalesce(F.lower(py_strip(F.col(action))), F.lit("unknown")), F.coalesce("entity_type", F.lit("unknown")))
     steps = v.objective.join(e, py_strip(F.col("target")) == F.col("_id"), "left").select("quest_id", F.struct("pos", part.alias("p")).alias("s"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]), " -> ")
     return v.artifact.select("quest_id", "ord").join(steps.groupBy("quest_id").agg(text.alias("signature")), "quest_id", "left").select("quest_id", "ord", F.coalesce("signature", F.lit("")).alias("signature"))
@@ -43,8 +44,10 @@ def usage(v: Views) -> DataFrame:
 
 
 def coverage(v: Views) -> DataFrame:
-    """One row: references, entities used, coverage of the catalog, concentration on the most used."""
-    u = usage(v).agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("refs"), F.count("*").alias("used"), F.max("uses").alias("most"))
+    """One row: references, entities used (under their ids as the catalog writes them), coverage of the catalog, concentration
+    on the most used."""
+    as_written = v.entity.select("entity_id", F.lit(True).alias("known")).distinct()
+    u = usage(v).join(as_written, "entity_id", "left").agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("refs"), F.count_if("known").alias("used"), F.max("uses").alias("most"))
     w = v.entity.agg(F.count("*").alias("world"))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), b), F.lit(0.0))
     return u.crossJoin(w).select("refs", "used", ratio("used", "world").alias("coverage"), ratio("most", "refs").alias("concentration"))

@@ -51,7 +51,7 @@ def referential(v: Views) -> DataFrame:
     target = resolve(v.objective, v, "target")
     actions = v.compat.groupBy("action").agg(F.collect_set("entity_type").alias("allowed"))
     action = F.lower(py_strip(F.col("action")))
-    judged = target.withColumn("_action", action).join(F.broadcast(actions.select(F.lower("action").alias("_action"), "allowed")), "_action", "left")
+    judged = target.withColumn("_action", action).join(actions.select(F.lower("action").alias("_action"), "allowed"), "_action", "left")
     found = F.when(F.col("entity_type").isNull(), "INVALID_OR_IMPLICIT_TARGET").when(F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("entity_type")), "INCOMPATIBLE_ACTION_TARGET")
     targets = judged.select("quest_id", F.lit("referential").alias("validator"), found.alias("code"), F.lit("error").alias("severity"), F.format_string("objectives[%d].target", "pos").alias("path"), F.col("target").alias("detail")).where("code is not null")
     return union([refs, _issue(duplicate, "referential", "DUPLICATE_STEP_ID", "error", F.lit("objectives"), F.col("step_no")), targets])
@@ -73,7 +73,7 @@ def dependency_edges(v: Views) -> DataFrame:
 
 
 def chain_edges(v: Views) -> DataFrame:
-    """(quest_id, src, dst) between consecutive objectives, for artifacts that declare no dependency."""
+    """(quest_id, src, dst) between consecutive objectives, of all artifacts, as they hold where none declares a dependency."""
     w = Window.partitionBy("quest_id").orderBy("pos")
     steps = v.objective.select("quest_id", F.lag("step_no").over(w).alias("src"), F.col("step_no").alias("dst"))
     return steps.where("src is not null").distinct()
@@ -122,7 +122,8 @@ def graph(v: Views) -> DataFrame:
     path = F.lit("objectives")
     many = facts.where(F.size("roots") > 1)
     lost = facts.where("not cyclic").select("quest_id", F.explode(F.array_except("nodes", reachable(F.col("nodes"), F.col("edges"), F.col("roots")))).alias("node"))
-    return union([
+    odd = [] if v.unlisted is None else [_issue(v.unlisted, "graph", "INVALID_DEPENDENCY_LIST", "error", F.format_string("objectives[%d].depends_on", "pos"), F.lit(""))]
+    return union(odd + [
         _issue(missing, "graph", "MISSING_STEP_DEPENDENCY", "error", F.format_string("objectives[%d].depends_on", "pos"), F.col("dep_no")),
         _issue(facts.where("cyclic"), "graph", "CYCLIC_OBJECTIVE_DEPENDENCY", "error", path, F.lit("")),
         _issue(many, "graph", "MULTIPLE_OBJECTIVE_ROOTS", "warning", path, F.size("roots")),

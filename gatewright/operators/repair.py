@@ -170,15 +170,15 @@ def scalars(schema: dict[str, Any]) -> dict[str, tuple[str, Column, Column]]:
     }
 
 
-def core_references(f: Firsts) -> dict[str, tuple[Column, Column, Column]]:
-    giver, start, rescued = F.col("p.giver_npc"), F.col("p.start_location"), F.col("p.rescued")
+def core_references() -> dict[str, tuple[Column, Column, Column]]:
+    """For each field: the change code, whether it is changed, and its new text, from the columns free_npc and first_location."""
+    giver, start, rescued, free = F.col("p.giver_npc"), F.col("p.start_location"), F.col("p.rescued"), F.col("free_npc")
     own = F.array_contains(rescued, giver) & (giver != "")
-    free = F.try_element_at(F.filter(F.array(*map(F.lit, f.npcs)).cast("array<string>"), lambda x: ~F.array_contains(rescued, x)), F.lit(1))
     bad_giver = (~F.coalesce(type_of(giver) == "npc", F.lit(False)) | own) & free.isNotNull()
-    bad_start = ~F.coalesce(type_of(start) == "location", F.lit(False)) & F.lit("location" in f.first)
+    bad_start = ~F.coalesce(type_of(start) == "location", F.lit(False)) & F.col("first_location").isNotNull()
     return {
         "giver_npc": (F.when(own, "CHANGE_SELF_RESCUE_GIVER").otherwise("REPAIR_GIVER_NPC"), bad_giver, free),
-        "start_location": (F.lit("REPAIR_START_LOCATION"), bad_start, F.lit(f.first.get("location"))),
+        "start_location": (F.lit("REPAIR_START_LOCATION"), bad_start, F.col("first_location")),
     }
 
 
@@ -241,8 +241,8 @@ def strings(v: Column, least_length: int) -> Column:
     return F.filter(texts, lambda t: F.length(t) >= least_length)
 
 
-def repaired_rewards(f: Firsts, least: int) -> Column:
-    item = F.lit(f.first.get("item"))
+def repaired_rewards(least: int) -> Column:
+    item = F.col("first_item")
     numeric = lambda v: kind(v).isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE", "DECIMAL", "BOOLEAN")
 
     def value(r: Column) -> Column:
@@ -267,45 +267,54 @@ def repaired_notes(title: Column, schema: dict[str, Any]) -> Column:
     return F.to_variant_object(F.map_concat(F.map_filter(own, lambda k, _: ~k.isin(list(NOTES))), F.create_map(*new)))
 
 
-def repair(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any], steps_of: Callable[..., Column] | None = None) -> DataFrame:
-    """quest_id, ord, v (the artifact), r (repaired), changes (array of code, path, before, after: JSON) of keyed artifacts."""
+def repair(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any], fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """quest_id, ord, v (the artifact), r (repaired), changes (array of code, path, before, after: JSON) of keyed artifacts.
+
+    fold: from these rows to their quest_id, ord, free_npc, first_location, first_item and chosen objectives, where choices are
+    to depend on other artifacts (see diversity_repair)."""
     rows = with_types(parsed(artifacts, schema), entity)
     most = rows.agg(F.max(F.size("p.rescued"))).first()[0] or 0
     f = firsts(entity, most)
+    kinds, title_of = scalars(schema)["quest_type"], scalars(schema)["title"]
+    rows = rows.withColumn("kind", F.when(kinds[1], kinds[2]).otherwise(F.col("p.quest_type")))
+    if fold is None:
+        free = F.try_element_at(F.filter(F.array(*map(F.lit, f.npcs)).cast("array<string>"), lambda x: ~F.array_contains("p.rescued", x)), F.lit(1))
+        rows = rows.select("*", free.alias("free_npc"), F.lit(f.first.get("location")).alias("first_location"), F.lit(f.first.get("item")).alias("first_item"))
+    else:
+        rows = rows.join(fold(rows), ["quest_id", "ord"])
     v, changes = F.col("v"), []
     change = lambda code, path, before, after: F.struct(code.alias("code"), F.lit(path).alias("path"), F.to_json(before).alias("before"), F.to_json(after).alias("after"))
     new: dict[str, Column] = {}
     for key, (code, changed, text) in scalars(schema).items():
         new[key] = F.when(changed, text.cast("variant")).otherwise(at(v, key))
         changes.append(F.when(changed, change(F.lit(code), key, at(v, key), text.cast("variant"))))
-    for key, (code, changed, text) in core_references(f).items():
+    for key, (code, changed, text) in core_references().items():
         new[key] = F.when(changed, text.cast("variant")).otherwise(at(v, key))
         changes.append(F.when(changed, change(code, key, at(v, key), text.cast("variant"))))
-    refs = core_references(f)
+    refs = core_references()
     pick = lambda k, t: F.when(refs[k][1], t[0]).otherwise(t[1])
     giver, start = (pick(k, (refs[k][2], F.col(f"p.{k}"))) for k in ("giver_npc", "start_location"))
     giver_type, start_type = (pick(k, (F.lit(t), type_of(F.col(f"p.{k}")))) for k, t in (("giver_npc", "npc"), ("start_location", "location")))
     rows = rows.select("*", giver.alias("giver"), giver_type.alias("giver_type"), start.alias("start"), start_type.alias("start_type"), F.transform("p.steps", lambda s: F.struct(s["action"].alias("action"), s["target"].alias("target"), s["success"].alias("success"), type_of(s["target"]).alias("type")).cast(STEP)).alias("steps"))
     least = constraint(schema, ("properties", "objectives"), "minItems", 1)
-    for _ in range(least):
+    for _ in range(least if fold is None else 0):
         more = F.concat(F.array(support(F.col("steps"), f, *map(F.col, ("giver", "giver_type", "start", "start_type")))), "steps")
         rows = rows.withColumn("steps", F.when(F.size("steps") < least, more).otherwise(F.col("steps")))
     actions = enumeration(schema, "properties", "objectives", "items", "properties", "action")
-    rows = rows.withColumn("done", renumbered(normal_steps(F.col("steps"), f, actions, F.col("start"))))
+    rows = rows.withColumn("done", renumbered(normal_steps(F.col("steps"), f, actions, F.col("start")) if fold is None else F.col("chosen")))
     items = lambda k, d: constraint(schema, ("properties", k), "minItems", d)
     last = F.coalesce(F.try_element_at(F.transform("done", lambda s: s["success_condition"]), F.lit(-1)), F.lit(NEW_COMPLETION))
-    kinds, title_of = scalars(schema)["quest_type"], scalars(schema)["title"]
-    quest_type = F.when(kinds[1], kinds[2]).otherwise(F.col("p.quest_type"))
+    quest_type = F.col("kind")
     title = F.when(title_of[1], title_of[2]).otherwise(F.col("p.title"))
     own_tags = F.array_distinct(slugs(F.transform(elements(at(v, "reusable_tags")), clean)))
     fill = F.array_distinct(F.concat(F.array(ascii_slug(quest_type)), F.transform("done", lambda s: s["action"]), F.array(F.lit("structured_quest"), F.lit("world_grounded"))))
     rows = rows.withColumn("tags", own_tags)
     short = F.greatest(F.lit(items("reusable_tags", 0)) - F.size("tags"), F.lit(0))
     lists = {
-        "objectives": ("NORMALIZE_OBJECTIVES", _json(F.col("done"))),
+        "objectives": ("NORMALIZE_OBJECTIVES" if fold is None else "DIVERSITY_AWARE_OBJECTIVE_REPAIR", _json(F.col("done"))),
         "preconditions": ("NORMALIZE_PRECONDITIONS", _json(_padded(strings(at(v, "preconditions"), 1), items("preconditions", 0), F.lit(NEW_PRECONDITION)))),
         "completion_conditions": ("NORMALIZE_COMPLETION_CONDITIONS", _json(_padded(strings(at(v, "completion_conditions"), 12), items("completion_conditions", 1), last))),
-        "rewards": ("NORMALIZE_REWARDS", F.to_variant_object(repaired_rewards(f, items("rewards", 1)))),
+        "rewards": ("NORMALIZE_REWARDS", F.to_variant_object(repaired_rewards(items("rewards", 1)))),
         "reusable_tags": ("NORMALIZE_TAGS", _json(F.concat("tags", F.slice(F.array_except(fill, F.col("tags")), F.lit(1), short)))),
         "design_notes": ("NORMALIZE_DESIGN_NOTES", repaired_notes(title, schema)),
     }
@@ -331,7 +340,7 @@ def preserving(original: Column, repaired: Column) -> Column:
 Gate = Callable[[DataFrame], DataFrame]
 
 
-def orchestrate(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any], gate: Gate, keep: Callable[[DataFrame, str], DataFrame], responses: DataFrame | None = None, attempts: int = 3, recover: Callable[[Column], Column] | None = None) -> DataFrame:
+def orchestrate(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any], gate: Gate, keep: Callable[[DataFrame, str], DataFrame], responses: DataFrame | None = None, attempts: int = 3, recover: Callable[[Column], Column] | None = None, fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A record for each keyed artifact: quest_id, ord, v (as it came), r (as it ends), attempts, repaired, passed, errors,
     warnings, changes.
 
@@ -347,7 +356,7 @@ def orchestrate(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any],
 
     def mended(df: DataFrame, name: str) -> DataFrame:
         """df (quest_id, ord, v, r, attempts, changes) with r repaired and its changes added."""
-        made = repair(df.select("quest_id", "ord", F.col("r").alias("v")), entity, schema).select("quest_id", "ord", F.col("r").alias("new"), F.col("changes").alias("more"))
+        made = repair(df.select("quest_id", "ord", F.col("r").alias("v")), entity, schema, fold).select("quest_id", "ord", F.col("r").alias("new"), F.col("changes").alias("more"))
         rows = df.join(made, ["quest_id", "ord"]).select("quest_id", "ord", "v", preserving(F.col("v"), F.col("new")).alias("r"), "attempts", F.concat("changes", "more").alias("changes"))
         return keep(rows, name)
 

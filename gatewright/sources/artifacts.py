@@ -33,6 +33,11 @@ def text(v: Column) -> Column:
     return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
+def shown(v: Column) -> Column:
+    """The value as text: JSON null is None; null if it is missing."""
+    return F.when(kind(v) == "VOID", "None").otherwise(v.cast("string"))
+
+
 def elements(v: Column) -> Column:
     """A list's elements; none if the value is no list."""
     return F.coalesce(F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")), F.expr("cast(array() as array<variant>)"))
@@ -93,10 +98,13 @@ def from_json(artifacts: DataFrame, entity: DataFrame, compat: dict[str, tuple[s
     own = lambda s: F.try_variant_get(s["v"], "$.step_id", "string")
     named = lambda s: F.coalesce(own(s), F.lit("")) != ""
     step = lambda s: F.when(named(s), own(s)).otherwise(F.format_string("step_%03d", s["k"]))
-    steps = listed.select("quest_id", F.inline(F.transform("o", lambda s: F.struct(s["pos"].cast("long").alias("pos"), step(s).alias("step_no"), named(s).alias("named"), text(at(s["v"], "action")).alias("action"), text(at(s["v"], "target")).alias("target")))))
+    steps = listed.select("quest_id", F.inline(F.transform("o", lambda s: F.struct(s["pos"].cast("long").alias("pos"), step(s).alias("step_no"), named(s).alias("named"), text(at(s["v"], "action")).alias("action"), shown(at(s["v"], "action")).alias("shown"), text(at(s["v"], "target")).alias("target")))))
+    given = lambda s: at(s["v"], "depends_on")
+    odd = F.filter("o", lambda s: F.coalesce(~kind(given(s)).isin("ARRAY", "VOID"), F.lit(False)))
+    unlisted = listed.select("quest_id", F.explode(F.transform(odd, lambda s: s["pos"].cast("long"))).alias("pos"))
     explicit = F.exists("o", lambda s: F.coalesce(kind(at(s["v"], "depends_on")) == "ARRAY", F.lit(False)))
     stated = F.flatten(F.transform("o", lambda s: F.transform(elements(at(s["v"], "depends_on")), lambda d: F.struct(s["pos"].cast("long").alias("pos"), step(s).alias("step_no"), d.cast("string").alias("dep_no"), F.lit(True).alias("explicit")))))
     chain = F.filter(F.transform("o", lambda s, i: F.struct(s["pos"].cast("long").alias("pos"), step(s).alias("step_no"), F.when(i > 0, step(F.get(F.col("o"), i - 1))).alias("dep_no"), F.lit(False).alias("explicit"))), lambda s: s["dep_no"].isNotNull())
     dependency = listed.select("quest_id", F.inline(F.when(explicit, stated).otherwise(chain)))
     reward = artifacts.select("quest_id", F.inline(F.transform(numbered(at(v, "rewards")), lambda s: F.struct(s["pos"].cast("long").alias("pos"), text(at(s["v"], "type")).alias("type"), text(at(s["v"], "value")).alias("value")))))
-    return Views(artifact, steps, reward, entity, compat_table(spark, compat), "npc", "location", ("item",), dependency)
+    return Views(artifact, steps, reward, entity, compat_table(spark, compat), "npc", "location", ("item",), dependency, unlisted)

@@ -2,7 +2,7 @@
 
 artifact(quest_id, quest_type, giver, start, set_id, ord), objective(quest_id, pos, step_no, action, target, dep_no),
 reward(quest_id, pos, type, value), dependency(quest_id, pos, step_no, dep_no, explicit; where it is not given, each
-objective's own dep_no counts), entity(entity_id, entity_type), action_compat(action, entity_type).
+objective's own dep_no counts), unlisted(quest_id, pos: objectives whose dependencies are given, but not as a list), entity(entity_id, entity_type), action_compat(action, entity_type).
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ class Views:
     start_type: str
     item_types: tuple[str, ...]
     dependency: DataFrame | None = None
+    unlisted: DataFrame | None = None
 
 
 def compat_table(spark: SparkSession, compat: dict[str, tuple[str, ...]]) -> DataFrame:
