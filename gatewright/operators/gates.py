@@ -117,18 +117,21 @@ def reachable(nodes: Column, edges: Column, roots: Column) -> Column:
 
 
 def graph(v: Views) -> DataFrame:
-    facts = graph_facts(v)
+    """Issues of dependency graphs; those of the graph as a whole come out of one pass over the artifacts' arrays."""
     missing = missing_dependencies(v)
-    path = F.lit("objectives")
-    many = facts.where(F.size("roots") > 1)
-    lost = facts.where("not cyclic").select("quest_id", F.explode(F.array_except("nodes", reachable(F.col("nodes"), F.col("edges"), F.col("roots")))).alias("node"))
-    odd = [] if v.unlisted is None else [_issue(v.unlisted, "graph", "INVALID_DEPENDENCY_LIST", "error", F.format_string("objectives[%d].depends_on", "pos"), F.lit(""))]
-    return union(odd + [
-        _issue(missing, "graph", "MISSING_STEP_DEPENDENCY", "error", F.format_string("objectives[%d].depends_on", "pos"), F.col("dep_no")),
-        _issue(facts.where("cyclic"), "graph", "CYCLIC_OBJECTIVE_DEPENDENCY", "error", path, F.lit("")),
-        _issue(many, "graph", "MULTIPLE_OBJECTIVE_ROOTS", "warning", path, F.size("roots")),
-        _issue(lost, "graph", "UNREACHABLE_OBJECTIVE", "error", path, F.col("node")),
-    ])
+    dependency = F.format_string("objectives[%d].depends_on", "pos")
+    one = lambda code, severity, detail: F.struct(F.lit("graph").alias("validator"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit("objectives").alias("path"), detail.cast("string").alias("detail"))
+    none = F.expr("cast(array() as array<struct<validator: string, code: string, severity: string, path: string, detail: string>>)")
+    lost = F.array_except("nodes", reachable(F.col("nodes"), F.col("edges"), F.col("roots")))
+    whole = F.concat(
+        F.when(F.col("cyclic"), F.array(one("CYCLIC_OBJECTIVE_DEPENDENCY", "error", F.lit("")))).otherwise(none),
+        F.when(F.size("roots") > 1, F.array(one("MULTIPLE_OBJECTIVE_ROOTS", "warning", F.size("roots")))).otherwise(none),
+        F.when(~F.col("cyclic"), F.transform(lost, lambda node: one("UNREACHABLE_OBJECTIVE", "error", node))).otherwise(none),
+    )
+    frames = [_issue(missing, "graph", "MISSING_STEP_DEPENDENCY", "error", dependency, F.col("dep_no")), graph_facts(v).select("quest_id", F.inline(whole))]
+    if v.unlisted is not None:
+        frames.append(_issue(v.unlisted, "graph", "INVALID_DEPENDENCY_LIST", "error", dependency, F.lit("")))
+    return union(frames)
 
 
 def graph_metrics(v: Views) -> DataFrame:
