@@ -6,13 +6,15 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Code points that separate words: space and tab to carriage return. bytes.split() splits on the same ones.
-MAX_CHUNK_BYTES = 4 << 20
+# Words stand between space and tab to carriage return; bytes.split() splits on the same ones.
+# Python workers are kept for later tasks: with this pool, memory of past batches goes back to the machine.
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -77,7 +79,7 @@ def words(raw: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for reuse up to a bound."""
 
-    LIMIT = 200_000
+    LIMIT = 60_000
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.LIMIT:

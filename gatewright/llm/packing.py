@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import mix
 
-ENTRIES_PER_PART, CHUNK_ENTRIES = 400_000, 400_000
+ENTRIES_PER_PART, CHUNK_ENTRIES = 200_000, 200_000
 
 
 def parts_for(spark: SparkSession, entries: int) -> int:
