@@ -15,15 +15,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-FENCE = re.compile(r"```(?:json)?", re.IGNORECASE)
+OPEN, CLOSE = re.compile(r"\A\s*```(?:json)?\s*", re.IGNORECASE), re.compile(r"\s*```\s*\Z")
 MARKS = str.maketrans("", "", "﻿​")
-ANY_START, LIST_OR_OBJECT = re.compile(r'[\[{"\-0-9tfnNI]'), re.compile(r"[\[{]")
+ANY_START, LIST_OR_OBJECT = re.compile(r'[\[{"\-0-9tfn]'), re.compile(r"[\[{]")
 WRAPPERS = ("result", "review", "semantic_review", "response")
 _decoder = json.JSONDecoder()
 
 
 def cleaned(text: str | None) -> str:
-    return FENCE.sub("", (text or "").translate(MARKS)).strip()
+    return CLOSE.sub("", OPEN.sub("", (text or "").translate(MARKS))).strip()
 
 
 def first_value(text: str | None, starts: re.Pattern[str] = ANY_START) -> tuple[bool, Any]:
