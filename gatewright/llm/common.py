@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words stand between space and tab to carriage return; bytes.split() splits on the same ones.
 # Python workers are kept for later tasks: with this pool, memory of past batches goes back to the machine.
@@ -38,7 +39,13 @@ def stored(df: DataFrame, name: str, rows: int | None = None, per: int = 50_000)
     table is not dealt over as many files as a large one."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    (df if rows is None else df.coalesce(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))))).write.parquet(path)
+    few = df if rows is None else df.coalesce(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))))
+    batch = spark.conf.get(BATCH_ROWS)
+    try:  # texts are large rows: batches of fewer need less memory on both sides
+        spark.conf.set(BATCH_ROWS, str(TEXTS_PER_BATCH))
+        few.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, batch)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
