@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import documents, fold, scratch, stored
+from gatewright.llm.common import BATCH_ROWS, TEXTS_PER_BATCH, documents, fold, scratch, stored
 from gatewright.llm.decontamination import find_contamination, is_contaminated
 from gatewright.llm.language_id import keep_identified, learn
 from gatewright.llm.mixing import mixed_copies
@@ -23,7 +23,10 @@ from gatewright.llm.sharding import place
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart; learns from three quarters of the labelled rows."""
+    """Documents whose language is told apart; learns from three quarters of the labelled rows.
+
+    The session's batches to Python workers are set to TEXTS_PER_BATCH texts: the stage is written after it returns."""
+    spark.conf.set(BATCH_ROWS, str(TEXTS_PER_BATCH))
     return keep_identified(docs, learn(docs.where(fold("doc_id", 4) != 2)))
 
 
