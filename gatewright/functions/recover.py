@@ -12,14 +12,16 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from . import scan
+
 OPEN, CLOSE = re.compile(r"\A\s*```(?:json)?\s*", re.IGNORECASE), re.compile(r"\s*```\s*\Z")
 MARKS = str.maketrans("", "", "﻿​")
 ANY_START, LIST_OR_OBJECT = re.compile(r'[\[{"\-0-9tfn]'), re.compile(r"[\[{]")
 WRAPPERS = ("result", "review", "semantic_review", "response")
-_decoder = json.JSONDecoder()
 
 
 def cleaned(text: str | None) -> str:
@@ -29,15 +31,13 @@ def cleaned(text: str | None) -> str:
 def first_value(text: str | None, starts: re.Pattern[str] = ANY_START) -> tuple[bool, Any]:
     """Whether a JSON value was found, and the value: the whole text, or the first that starts at one of starts."""
     s = cleaned(text)
-    try:
-        return True, json.loads(s)
-    except ValueError:
-        pass
+    found, value = scan.whole(s)
+    if found:
+        return True, value
+    values = scan.Values(s)
     for m in starts.finditer(s):
-        try:
-            return True, _decoder.raw_decode(s, m.start())[0]
-        except (ValueError, RecursionError):
-            continue
+        if at := values.at(m.start()):
+            return True, at[0]
     return False, None
 
 
@@ -66,11 +66,9 @@ def looks_like_artifact(x: Any) -> bool:
 def scattered(text: str | None, wanted: Callable[[Any], bool] = looks_like_artifact) -> Iterator[dict[str, Any]]:
     """Whole objects anywhere in a text, also in one that is cut off; the same content under another quest_id counts once."""
     s, seen = cleaned(text), set()
+    values = scan.Values(s)
     for m in re.finditer("{", s):
-        try:
-            x = _decoder.raw_decode(s, m.start())[0]
-        except (ValueError, RecursionError):
-            continue
+        x = (values.at(m.start()) or (None,))[0]
         if wanted(x):
             mark = json.dumps({k: v for k, v in x.items() if k != "quest_id"}, sort_keys=True)
             if mark not in seen:
@@ -106,3 +104,22 @@ def extract_object(texts: pd.Series) -> pd.Series:
 def extract_artifacts(texts: pd.Series) -> pd.Series:
     """All artifacts of a response."""
     return texts.map(lambda t: [_dump(x) for x in listed(t)])
+
+
+@F.udtf(returnType="pos int, json string", useArrow=True)
+class RecoverObjects:
+    """A row for each artifact of a response; with recover false, only those of its list."""
+
+    def eval(self, text: str, recover: bool) -> Iterator[tuple[int, str]]:
+        for pos, x in enumerate(listed(text, recover)):
+            yield pos, _dump(x)
+
+
+def recovered(df: DataFrame, text: str, recover: bool = True) -> DataFrame:
+    """df with pos and json: a row for each artifact of each text; texts without any have no row."""
+    return df.lateralJoin(RecoverObjects(F.col(text).outer(), F.lit(recover)))
+
+
+def register(spark: SparkSession) -> None:
+    """Make recover_objects(text, recover) known to SQL: ... FROM t, LATERAL recover_objects(t.response, true)."""
+    spark.udtf.register("recover_objects", RecoverObjects)

@@ -77,6 +77,25 @@ def set_metrics(v: Views) -> DataFrame:
     return v.artifact.agg(F.count("*").alias("quest_count")).crossJoin(entropy(types)).crossJoin(duplicate_rate(sigs)).crossJoin(coverage(v).select("coverage", "concentration")).crossJoin(pairwise_similarity(feature_sets(sigs)))
 
 
+def evolving(judged: DataFrame) -> DataFrame:
+    """set_id, ord, quest_id, signature, registered, and the uses of its signature, its components and its entities before it, of judged
+    rows (set_id, ord, quest_id, signature, entities, passed), as streaming.state has them.
+
+    Counts are running sums within a set and a signature, component or entity, so no window holds a whole set but for the ids."""
+    name = F.trim(F.coalesce("quest_id", F.lit("")))
+    rows = judged.withColumn("signature", F.coalesce("signature", F.lit("")))
+    first = Window.partitionBy("set_id", name, F.when(name == "", F.col("ord"))).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("registered", F.col("passed") & ((name == "") | (F.coalesce(F.sum(F.col("passed").cast("int")).over(first), F.lit(0)) == 0)))
+    parts = F.filter(F.split("signature", " -> "), lambda c: c != "")
+    used = {"signature_uses": F.array("signature"), "component_uses": parts, "entity_uses": F.col("entities")}
+    each = union([rows.select("set_id", "ord", F.lit(k).alias("kind"), "registered", F.explode(xs).alias("x")) for k, xs in used.items()])
+    counted = each.groupBy("set_id", "ord", "kind", "registered", "x").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("set_id", "kind", "x").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    uses = counted.withColumn("uses", F.coalesce(F.sum(F.when(F.col("registered"), F.col("n")).otherwise(0)).over(before), F.lit(0)))
+    sums = uses.groupBy("set_id", "ord").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("uses"))), F.lit(0)).alias(k) for k in used])
+    return rows.select("set_id", "ord", "quest_id", "signature", "registered").join(sums, ["set_id", "ord"])
+
+
 def already_used(sigs: DataFrame) -> DataFrame:
     """Whether an earlier artifact has the signature."""
     w = Window.partitionBy("signature").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)

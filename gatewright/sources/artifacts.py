@@ -49,14 +49,20 @@ def numbered(v: Column) -> Column:
     return F.transform(F.filter(placed, lambda s: is_object(s["v"])), lambda s, i: F.struct(s["pos"].alias("pos"), (i + 1).alias("k"), s["v"].alias("v")))
 
 
+def from_texts(raw: DataFrame, key: str = "quests") -> DataFrame:
+    """file, ord, v of rows (file, value), a row for a file: the elements of its top list or of its list at key; else its value itself."""
+    parsed = raw.select("file", F.try_parse_json("value").alias("v"))
+    listed = at(F.col("v"), key)
+    items = F.when(kind(F.col("v")) == "ARRAY", elements(F.col("v"))).when(kind(listed) == "ARRAY", elements(listed)).otherwise(F.array("v"))
+    return parsed.where("v is not null").select("file", F.posexplode(items).alias("ord", "v"))
+
+
 def read_files(spark: SparkSession, path: str, key: str = "quests") -> DataFrame:
     """file, ord, v: the elements of each file's top list or of its list at key; else the file's value itself.
 
     A file is one row while it is parsed; collections beyond some 100 MB a file belong in lines (read_lines)."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
-    listed = at(F.col("v"), key)
-    items = F.when(kind(F.col("v")) == "ARRAY", elements(F.col("v"))).when(kind(listed) == "ARRAY", elements(listed)).otherwise(F.array("v"))
-    return raw.where("v is not null").select("file", F.posexplode(items).alias("ord", "v"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return from_texts(raw, key)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
