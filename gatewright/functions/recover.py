@@ -32,10 +32,11 @@ def first_value(text: str | None, starts: re.Pattern[str] = ANY_START) -> tuple[
     """Whether a JSON value was found, and the value: the whole text, or the first that starts at one of starts."""
     s = cleaned(text)
     found, value = scan.whole(s)
-    if found:
-        return True, value
-    values = scan.Values(s)
-    for m in starts.finditer(s):
+    return (True, value) if found else _first_of(scan.Values(s), starts)
+
+
+def _first_of(values: scan.Values, starts: re.Pattern[str]) -> tuple[bool, Any]:
+    for m in starts.finditer(values.text):
         if at := values.at(m.start()):
             return True, at[0]
     return False, None
@@ -63,11 +64,10 @@ def looks_like_artifact(x: Any) -> bool:
     return isinstance(x, dict) and isinstance(x.get("title"), str) and isinstance(x.get("objectives"), list) and any(isinstance(x.get(k), str) for k in ("summary", "quest_type"))
 
 
-def scattered(text: str | None, wanted: Callable[[Any], bool] = looks_like_artifact) -> Iterator[dict[str, Any]]:
+def scattered(values: scan.Values, wanted: Callable[[Any], bool] = looks_like_artifact) -> Iterator[dict[str, Any]]:
     """Whole objects anywhere in a text, also in one that is cut off; the same content under another quest_id counts once."""
-    s, seen = cleaned(text), set()
-    values = scan.Values(s)
-    for m in re.finditer("{", s):
+    seen = set()
+    for m in re.finditer("{", values.text):
         x = (values.at(m.start()) or (None,))[0]
         if wanted(x):
             mark = json.dumps({k: v for k, v in x.items() if k != "quest_id"}, sort_keys=True)
@@ -78,10 +78,14 @@ def scattered(text: str | None, wanted: Callable[[Any], bool] = looks_like_artif
 
 def listed(text: str | None, recover: bool = True) -> list[dict[str, Any]]:
     """The artifacts of a response: objects of its list or of its key quests; if there are none, what is scattered in it."""
-    x = first_value(text)[1]
+    s = cleaned(text)
+    found, x = scan.whole(s)
+    values = None if found else scan.Values(s)
+    if values:
+        x = _first_of(values, ANY_START)[1]
     rows = x.get("quests") if isinstance(x, dict) else x
     out = [r for r in rows if isinstance(r, dict)] if isinstance(rows, list) else []
-    return out or (list(scattered(text)) if recover else [])
+    return out or (list(scattered(values or scan.Values(s))) if recover else [])
 
 
 def _dump(x: Any) -> str:

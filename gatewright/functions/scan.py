@@ -15,7 +15,8 @@ from typing import Any
 #: Values nested deeper count as none: JSON readers stop at some depth (Spark's at 1000 levels), encoders that recurse before.
 MAX_DEPTH = 500
 SPACE, NUMBER = re.compile(r"[ \t\n\r]*"), re.compile(r"(-?(?:0|[1-9][0-9]*))(\.[0-9]+)?([eE][-+]?[0-9]+)?")
-BRACKET, TOKEN = re.compile(r"[\[{]"), re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL)
+#: A bracket that may start a value: what stands behind it may come first in an object or a list.
+BRACKET, TOKEN = re.compile(r'\{(?=[ \t\n\r]*["}])|\[(?=[ \t\n\r]*[\]\[{"\-0-9tfnNI])'), re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL)
 #: Names that JSON text may have as values, those of numbers included.
 NAMES = {"t": ("true", True), "f": ("false", False), "n": ("null", None), "N": ("NaN", float("nan")), "I": ("Infinity", float("inf")), "-": ("-Infinity", float("-inf"))}
 Found = tuple[Any, int, int]
