@@ -150,7 +150,7 @@ def keep_bitmaps(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_hash().alias("text_hash"), whole().alias("text"))
     lines = stored(source.mapInArrow(_lines, ", ".join(f"{c} long" for c in LINE.names)), "lines")
     order = [F.col("high"), F.col("low"), F.col("doc_id").desc_nulls_last(), F.col("pos"), F.col("row")]
-    parts = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES_PER_RANGE))
+    parts = ranges or max(2 * spark.sparkContext.defaultParallelism, -(-lines.count() // LINES_PER_RANGE))
     ordered = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     marks = stored(ordered.mapInArrow(_stream, ", ".join(f"{c} long" for c in MARK.names[:-1]) + ", state tinyint"), "marks")
     drop(lines)
