@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import py_strip
+from ..sources.scratch import keep
 from ..sources.views import Views
 from .gates import union
 
+#: Distinct feature sets of a block, and features that are compared at once, where all pairs are formed.
+BLOCK, FEATURES = 2000, 4096
+
 
 def signatures(v: Views) -> DataFrame:
-    """quest_id, signature of each artifact: action:type in objective order; '' without objectives."""
+    """quest_id, ord, signature of each artifact (action:type in objective order; '' without objectives), and its tags where the views have them."""
     e = v.entity.select(F.col("entity_id").alias("_id"), "entity_type")
     action = "shown" if "shown" in v.objective.columns else "action"
     part = F.concat_ws(":", F.coalesce(F.lower(py_strip(F.col(action))), F.lit("unknown")), F.coalesce("entity_type", F.lit("unknown")))
     steps = v.objective.join(e, py_strip(F.col("target")) == F.col("_id"), "left").select("quest_id", F.struct("pos", part.alias("p")).alias("s"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]), " -> ")
-    return v.artifact.select("quest_id", "ord").join(steps.groupBy("quest_id").agg(text.alias("signature")), "quest_id", "left").select("quest_id", "ord", F.coalesce("signature", F.lit("")).alias("signature"))
+    own = [c for c in ("quest_id", "ord", "tags") if c in v.artifact.columns]
+    signed = v.artifact.select(own).join(steps.groupBy("quest_id").agg(text.alias("signature")), "quest_id", "left")
+    return signed.select("quest_id", "ord", F.coalesce("signature", F.lit("")).alias("signature"), *own[2:])
 
 
 def references(v: Views) -> DataFrame:
@@ -53,22 +61,50 @@ def coverage(v: Views) -> DataFrame:
     return u.crossJoin(w).select("refs", "used", ratio("used", "world").alias("coverage"), ratio("most", "refs").alias("concentration"))
 
 
-def feature_sets(sigs: DataFrame, tags: Column | None = None) -> DataFrame:
+def feature_sets(sigs: DataFrame) -> DataFrame:
+    """quest_id, features: the components of an artifact's signature and its tags (where sigs has them), each once, sorted."""
     parts = F.split("signature", " -> ")
-    return sigs.select("quest_id", F.array_sort(F.array_distinct(parts if tags is None else F.concat(tags, parts))).alias("features"))
-
-
-def pairwise_similarity(sets: DataFrame) -> DataFrame:
-    """One row: mean Jaccard similarity over all pairs, by distinct feature sets with their multiplicities.
-
-    Sets that share no feature add nothing, so only pairs that meet in a feature are formed."""
-    d = sets.groupBy("features").agg(F.count("*").alias("m")).withColumn("id", F.xxhash64("features")).withColumn("size", F.size("features"))
-    x = d.select("id", "m", "size", F.explode("features").alias("f"))
-    a, b = (x.select("f", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "m", "size")]) for s in "ab")
-    met = a.join(b, "f").where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("k"), F.first("a_m").alias("am"), F.first("b_m").alias("bm"), F.first(F.col("a_size") + F.col("b_size")).alias("s"))
-    cross = met.agg(F.coalesce(F.sum(F.col("am") * F.col("bm") * F.col("k") / (F.col("s") - F.col("k"))), F.lit(0.0)).alias("cross"))
+    return sigs.select("quest_id", F.array_sort(F.array_distinct(F.concat("tags", parts) if "tags" in sigs.columns else parts)).alias("features"))
+
+
+def _pairs_of_blocks(key: tuple, table: pa.Table) -> pa.Table:
+    """The sum over all pairs of two blocks' sets (or of one block's) of multiplicities times similarity."""
+    block, m, features = (table[c].combine_chunks() for c in ("block", "m", "features"))
+    low, high = (k.as_py() for k in key)
+    sizes, of = np.diff(features.offsets.to_numpy()), block.to_numpy()
+    code = features.flatten().dictionary_encode().indices.to_numpy() if len(features) else np.empty(0, np.int32)
+    row = np.repeat(np.arange(len(features)), sizes)
+    sides = [np.flatnonzero(of == low), np.flatnonzero(of == high)]
+    common = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+    top = int(code.max(initial=-1)) + 1
+    for at in range(0, top, FEATURES):
+        some = (code >= at) & (code < at + FEATURES)
+        bits = np.zeros((len(features), min(FEATURES, top - at)), np.float32)
+        bits[row[some], code[some] - at] = 1
+        common += bits[sides[0]] @ bits[sides[1]].T
+    size, weight = (sizes.astype(np.float32), m.to_numpy().astype(np.float64))
+    joined = size[sides[0]][:, None] + size[sides[1]][None, :] - common
+    similar = common / np.maximum(joined, 1)
+    if low == high:
+        similar = np.triu(similar, 1)
+    return pa.table({"total": [float(weight[sides[0]] @ similar.astype(np.float64) @ weight[sides[1]])]})
+
+
+def pairwise_similarity(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row: mean Jaccard similarity over all pairs of sets (quest_id, features); 0 for fewer than two.
+
+    Equal sets count by their number, so pairs are those of distinct sets. These are dealt into blocks; each pair of blocks is
+    a task of its own that compares its sets as bit vectors and returns one number. No pair becomes a row, and a feature that
+    all sets share costs no more than others."""
+    d = keep(sets.groupBy("features").agg(F.count("*").alias("m")), "sets")
+    blocks = -(-d.count() // block) or 1
+    own = F.pmod(F.xxhash64("features"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = d.select("m", "features", own.alias("block"), other.alias("other")).select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    cross = dealt.drop("other").groupBy("low", "high").applyInArrow(_pairs_of_blocks, "total double").agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("cross"))
     same = d.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)).alias("same"))
-    return same.crossJoin(cross).select(F.coalesce(F.when(F.col("n") > 1, (F.col("same") + F.col("cross")) / (F.col("n") * (F.col("n") - 1) / 2)), F.lit(0.0)).alias("similarity"))
+    mean = (F.col("same") + F.col("cross")) / (F.col("n") * (F.col("n") - 1) / 2)
+    return same.crossJoin(F.broadcast(cross)).select(F.coalesce(F.when(F.col("n") > 1, mean), F.lit(0.0)).alias("similarity"))  # of one row each
 
 
 def set_metrics(v: Views) -> DataFrame:

@@ -16,6 +16,8 @@ from ..functions.text import py_strip
 from ..sources.views import Views
 
 VALIDATORS = ("referential", "graph", "content")
+#: How many cycles the issue of a cyclic graph names.
+CYCLES = 3
 
 
 def _issue(df: DataFrame, validator: str, code: str, severity: str, path: Column, detail: Column) -> DataFrame:
@@ -102,6 +104,35 @@ def cyclic(edges: Column, nodes: Column) -> Column:
     return F.size(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(nodes))), edges, peel)) > 0
 
 
+def first_cycles(edges: Column, nodes: Column, most: int = CYCLES) -> Column:
+    """The first simple cycles, shorter ones first, then by their nodes; each starts at its least node.
+
+    Paths grow by one node a round, from each node to greater ones only, in order; there are no more rounds of paths once
+    enough cycles are closed. Edges that are on no way from a cycle to a cycle are peeled off first, on both sides."""
+    n = F.greatest(F.lit(1), F.size(nodes))
+    peel = lambda acc, _: F.filter(acc, lambda e: F.exists(acc, lambda f: f["dst"] == e["src"]) & F.exists(acc, lambda f: f["src"] == e["dst"]))
+    core = F.array_sort(F.aggregate(F.sequence(F.lit(1), n), edges, peel))
+    start = F.array_sort(F.array_distinct(F.transform(core, lambda e: e["src"])))
+    begin = F.struct(core.alias("edges"), F.transform(start, lambda x: F.array(x)).alias("paths"), F.slice(F.array(start), 1, 0).alias("cycles"))
+
+    def grow(acc: Column, _: Column) -> Column:
+        last = lambda p: F.element_at(p, -1)
+        closed = F.filter(acc["paths"], lambda p: F.exists(acc["edges"], lambda e: (e["src"] == last(p)) & (e["dst"] == p[0])))
+        further = lambda p: F.filter(acc["edges"], lambda e: (e["src"] == last(p)) & (e["dst"] > p[0]) & ~F.array_contains(p, e["dst"]))
+        longer = F.flatten(F.transform(acc["paths"], lambda p: F.transform(further(p), lambda e: F.concat(p, F.array(e["dst"])))))
+        cycles = F.concat(acc["cycles"], closed)
+        return F.struct(acc["edges"].alias("edges"), F.when(F.size(cycles) < most, longer).otherwise(F.slice(longer, 1, 0)).alias("paths"), cycles.alias("cycles"))
+
+    return F.slice(F.aggregate(F.sequence(F.lit(1), n), begin, grow)["cycles"], 1, most)
+
+
+def shown_cycles(cycles: Column, quoted: bool) -> Column:
+    """Lists of nodes as text: [[1, 2], [3]], or with quotes where nodes are texts."""
+    node = lambda x: F.concat(F.lit("'"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'")) if quoted else x.cast("string")
+    inside = lambda xs, show: F.concat(F.lit("["), F.array_join(F.transform(xs, show), ", "), F.lit("]"))
+    return inside(cycles, lambda c: inside(c, node))
+
+
 def graph_facts(v: Views) -> DataFrame:
     """quest_id, cyclic, n_nodes, n_edges, roots, terminals (arrays; null for cyclic graphs)."""
     g = edge_arrays(v).withColumn("cyclic", cyclic(F.col("edges"), F.col("nodes")))
@@ -122,9 +153,10 @@ def graph(v: Views) -> DataFrame:
     dependency = F.format_string("objectives[%d].depends_on", "pos")
     one = lambda code, severity, detail: F.struct(F.lit("graph").alias("validator"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit("objectives").alias("path"), detail.cast("string").alias("detail"))
     none = F.expr("cast(array() as array<struct<validator: string, code: string, severity: string, path: string, detail: string>>)")
+    cycles = shown_cycles(first_cycles(F.col("edges"), F.col("nodes")), v.dependency is not None)
     lost = F.array_except("nodes", reachable(F.col("nodes"), F.col("edges"), F.col("roots")))
     whole = F.concat(
-        F.when(F.col("cyclic"), F.array(one("CYCLIC_OBJECTIVE_DEPENDENCY", "error", F.lit("")))).otherwise(none),
+        F.when(F.col("cyclic"), F.array(one("CYCLIC_OBJECTIVE_DEPENDENCY", "error", cycles))).otherwise(none),
         F.when(F.size("roots") > 1, F.array(one("MULTIPLE_OBJECTIVE_ROOTS", "warning", F.size("roots")))).otherwise(none),
         F.when(~F.col("cyclic"), F.transform(lost, lambda node: one("UNREACHABLE_OBJECTIVE", "error", node))).otherwise(none),
     )

@@ -10,6 +10,8 @@ from ..functions.recover import extract_artifacts
 from ..sources.artifacts import kind
 
 MOST_CALLS = 8
+#: Batch numbers whose running lists are made together.
+BATCHES = 64
 RETRY = "Return exactly {0} new quest(s)."
 
 
@@ -44,10 +46,21 @@ def generation_summary(diagnostics: DataFrame) -> DataFrame:
 
 
 def forbidden_signatures(accepted: DataFrame, batches: DataFrame) -> DataFrame:
-    """batch, signatures: those (not empty) of artifacts accepted in earlier batches, in order. accepted: batch, ord, signature."""
-    own = accepted.where("signature != ''").groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "signature"))), lambda s: s["signature"]).alias("own"))
-    earlier = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
-    return batches.select("batch").distinct().join(own, "batch", "left").select("batch", F.coalesce(F.flatten(F.collect_list("own").over(earlier)), F.expr("cast(array() as array<string>)")).alias("signatures"))
+    """batch, signatures: those (not empty) of artifacts accepted in earlier batches, in order. accepted: batch, ord, signature.
+
+    Running lists are made in two steps, within ranges of BATCHES batch numbers, and of whole ranges: no task holds all batches but
+    those that the list itself, which grows with each batch, asks for."""
+    nothing = F.expr("cast(array() as array<string>)")
+    in_order = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
+    own = accepted.where("signature != ''").groupBy("batch").agg(F.transform(in_order("ord", "signature"), lambda s: s["signature"]).alias("own"))
+    rows = batches.select("batch").distinct().join(own, "batch", "left").select("batch", F.expr(f"batch div {BATCHES}").alias("range"), F.coalesce("own", nothing).alias("own"))
+    before = Window.partitionBy("range").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.select("batch", "range", F.flatten(F.collect_list("own").over(before)).alias("within"))
+    ranges = rows.groupBy("range").agg(F.flatten(F.transform(in_order("batch", "own"), lambda s: s["own"])).alias("all"))
+    numbers = ranges.agg(F.collect_set("range").alias("numbers"))  # one row: a number for BATCHES batches each
+    pairs = ranges.select("range").crossJoin(F.broadcast(numbers)).select("range", F.explode(F.filter("numbers", lambda n: n < F.col("range"))).alias("earlier"))
+    told = pairs.join(ranges.select(F.col("range").alias("earlier"), "all"), "earlier").groupBy("range").agg(F.flatten(F.transform(in_order("earlier", "all"), lambda s: s["all"])).alias("told"))
+    return within.join(told, "range", "left").select("batch", F.concat(F.coalesce("told", nothing), "within").alias("signatures"))
 
 
 def usable_review(v: Column, criteria: tuple[str, ...]) -> Column:

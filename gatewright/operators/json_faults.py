@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..sources.artifacts import at, elements
 from .faults import scores
-from .gates import union
 
 #: Fault types and the code that each must raise; what mutations write.
 FAULTS = {
@@ -77,14 +76,25 @@ def evaluate(made: DataFrame, issues: DataFrame, validators: tuple[str, ...], co
     validator, code. Any issue of a control, warnings included, is a false positive."""
     hit = issues.join(made.select("quest_id", F.col("expected_code").alias("code")), ["quest_id", "code"], "left_semi").select("quest_id", "validator").distinct()
     flagged = control_issues.select("quest_id", "validator").distinct()
-    grid = lambda df, *cols: df.select("quest_id", *cols, F.explode(F.array(*map(F.lit, (*validators, "")))).alias("validator"))
-    any_ = lambda df: df.unionByName(df.select("quest_id", F.lit("").alias("validator")).distinct())
-    m = grid(made, "fault_type").join(any_(hit).withColumn("hit", F.lit(True)), ["quest_id", "validator"], "left")
-    c = grid(controls).join(any_(flagged).withColumn("hit", F.lit(True)), ["quest_id", "validator"], "left")
-    zero = F.lit(0).cast("long")
-    found = m.groupBy("validator").agg(F.count_if("hit").alias("tp"), F.count_if(F.col("hit").isNull()).alias("fn"))
-    wrong = c.groupBy("validator").agg(F.count_if("hit").alias("fp"), F.count_if(F.col("hit").isNull()).alias("tn"))
-    every = made.sparkSession.createDataFrame([(x,) for x in (*validators, "")], "validator string")
-    by_gate = every.join(found, "validator", "left").join(wrong, "validator", "left").select(F.when(F.col("validator") == "", "architecture").otherwise("validator").alias("scope"), F.when(F.col("validator") == "", "all").otherwise(F.col("validator")).alias("name"), *[F.coalesce(x, zero).alias(x) for x in ("tp", "fp", "fn", "tn")])
-    by_fault = m.where("validator = ''").groupBy(F.col("fault_type").alias("name")).agg(F.count_if("hit").alias("tp"), F.count_if(F.col("hit").isNull()).alias("fn")).select(F.lit("fault").alias("scope"), "name", "tp", zero.alias("fp"), "fn", zero.alias("tn"))
-    return union([by_gate, by_fault]).select("scope", "name", "tp", "fp", "fn", "tn", *scores(*map(F.col, ("tp", "fp", "fn", "tn"))))
+
+    def judged(df: DataFrame, control: bool, found: DataFrame) -> DataFrame:
+        """A row for each artifact and validator, and one ('') for all of them."""
+        by = found.groupBy("quest_id").agg(F.collect_set("validator").alias("by"))
+        fault = F.lit(None).cast("string").alias("fault_type") if control else F.col("fault_type")
+        each = F.explode(F.array(*map(F.lit, (*validators, "")))).alias("validator")
+        rows = df.select("quest_id", fault).join(by, "quest_id", "left").select("quest_id", "fault_type", "by", each)
+        hits = F.when(F.col("validator") == "", F.size("by") > 0).otherwise(F.array_contains("by", F.col("validator")))
+        return rows.select("fault_type", "validator", F.lit(control).alias("control"), F.coalesce(hits, F.lit(False)).alias("hit"))
+
+    rows = judged(made, False, hit).unionByName(judged(controls, True, flagged))
+    any_, hits, control = F.col("validator") == "", F.col("hit"), F.col("control")
+    outcome = {"tp": ~control & hits, "fn": ~control & ~hits, "fp": control & hits, "tn": control & ~hits}
+    counts = [F.count_if(c & ok).alias(f"{kind}_{n}") for n, c in outcome.items() for kind, ok in (("each", ~any_), ("any", any_))]
+    # Rows are kept apart by a copy of the columns that are grouped, for the grouped ones are null where a set has not got them.
+    keyed = rows.withColumns({"gate": F.col("validator"), "fault": F.col("fault_type")})
+    sums = keyed.groupingSets([[F.col("gate")], [F.col("fault")], []], F.col("gate"), F.col("fault")).agg(F.grouping_id().alias("g"), *counts)
+    level = F.when(F.col("g") == 1, "validator").when(F.col("g") == 2, "fault").otherwise("architecture")
+    name = F.when(F.col("g") == 1, F.col("gate")).when(F.col("g") == 2, F.col("fault")).otherwise("all")
+    picked = [F.when(F.col("g") == 1, F.col(f"each_{n}")).otherwise(F.col(f"any_{n}")).alias(n) for n in outcome]
+    told = sums.select(level.alias("scope"), name.alias("name"), *picked).where("name is not null and name != ''")
+    return told.select("scope", "name", "tp", "fp", "fn", "tn", *scores(*map(F.col, ("tp", "fp", "fn", "tn"))))

@@ -355,26 +355,30 @@ def orchestrate(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any],
         return rows.withColumn("passed", F.col("errors") == 0)
 
     def mended(df: DataFrame, name: str) -> DataFrame:
-        """df (quest_id, ord, v, r, attempts, changes) with r repaired and its changes added."""
-        made = repair(df.select("quest_id", "ord", F.col("r").alias("v")), entity, schema, fold).select("quest_id", "ord", F.col("r").alias("new"), F.col("changes").alias("more"))
-        rows = df.join(made, ["quest_id", "ord"]).select("quest_id", "ord", "v", preserving(F.col("v"), F.col("new")).alias("r"), "attempts", F.concat("changes", "more").alias("changes"))
+        """df (cols) with r repaired and its changes added."""
+        made = repair(df.select("quest_id", "ord", F.col("r").alias("v")), entity, schema, fold).select("quest_id", F.col("r").alias("new"), F.col("changes").alias("more"))
+        rows = df.join(made, "quest_id").select("quest_id", "own", "ord", "v", preserving(F.col("v"), F.col("new")).alias("r"), "attempts", F.concat("changes", "more").alias("changes"))
         return keep(rows, name)
 
     none = F.expr("cast(array() as array<struct<code: string, path: string, before: string, after: string>>)")
-    cols = ("quest_id", "ord", "v", "r", "attempts", "changes")
-    first = keep(judged(artifacts.select("quest_id", "ord", "v", F.col("v").alias("r"), F.lit(0).alias("attempts"), none.alias("changes"))), "judged")
+    cols = ("quest_id", "own", "ord", "v", "r", "attempts", "changes")
+    # Gates and rules go by a name that is each row's own: artifacts that share an id are judged and repaired apart.
+    row = F.to_json(F.struct(*[c for c in ("quest_id", "file", "ord") if c in artifacts.columns]))
+    named = artifacts.select(row.alias("quest_id"), F.col("quest_id").alias("own"), "ord", "v", F.col("v").alias("r"), F.lit(0).alias("attempts"), none.alias("changes"))
+    first = keep(judged(named), "judged")
     done = [first.where("passed").withColumn("repaired", F.lit(False))]
     left = keep(judged(mended(first.where("not passed").select(*cols), "mended")), "repaired")
     done.append(left.where("passed").withColumn("repaired", F.lit(True)))
     left = left.where("not passed")
     for n in range(1, attempts + 1 if responses is not None else 1):
-        answer = responses.where(F.col("attempt") == n).select("quest_id", quest_object(recover(F.col("response"))).alias("answer"))
-        tried = left.join(answer, "quest_id", "left").withColumn("attempts", F.lit(n))
-        taken = tried.where("answer is not null").select("quest_id", "ord", "v", preserving(F.col("v"), F.col("answer")).alias("r"), "attempts", "changes")
+        answer = responses.where(F.col("attempt") == n).select(F.col("quest_id").alias("own"), quest_object(recover(F.col("response"))).alias("answer"))
+        tried = left.join(answer, "own", "left").withColumn("attempts", F.lit(n))
+        taken = tried.where("answer is not null").select("quest_id", "own", "ord", "v", preserving(F.col("v"), F.col("answer")).alias("r"), "attempts", "changes")
         left = keep(union([judged(mended(taken, f"mended{n}")), tried.where("answer is null").select(*cols, "errors", "warnings", "passed")]), f"round{n}")
         done.append(left.where("passed").withColumn("repaired", F.lit(True)))
         left = left.where("not passed")
-    return union([*done, left.withColumn("repaired", F.lit(False))])
+    records = union([*done, left.withColumn("repaired", F.lit(False))])
+    return records.drop("quest_id").withColumnRenamed("own", "quest_id").select("quest_id", *[c for c in records.columns if c not in ("quest_id", "own")])
 
 
 def quest_object(v: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .views import Views, compat_table
 
@@ -90,8 +91,14 @@ def require_unique(entity: DataFrame) -> DataFrame:
 
 
 def keyed(artifacts: DataFrame) -> DataFrame:
-    """quest_id, ord, v of the objects; an artifact without a quest_id is called by its place."""
-    return artifacts.where(is_object(F.col("v"))).select(F.coalesce(text(at(F.col("v"), "quest_id")), F.concat(F.lit("#"), F.col("ord").cast("string"))).alias("quest_id"), F.col("ord").cast("long").alias("ord"), "v")
+    """quest_id, ord, v of the objects, each under a name of its own: an artifact without a quest_id is called by its place (its file, where
+    artifacts have one, and ord), and so are, behind their id, all but the first of those that share an id."""
+    place = [c for c in ("file", "ord") if c in artifacts.columns]
+    at_place = F.concat(F.lit("#"), F.concat_ws(":", *[F.col(c).cast("string") for c in place]))
+    rows = artifacts.where(is_object(F.col("v"))).select(text(at(F.col("v"), "quest_id")).alias("own"), at_place.alias("place"), "v", *place)
+    nth = F.row_number().over(Window.partitionBy(F.coalesce("own", "place")).orderBy(*place))
+    name = F.when(F.col("own").isNull(), F.col("place")).when(F.col("nth") == 1, F.col("own")).otherwise(F.concat("own", "place"))
+    return rows.withColumn("nth", nth).select(name.alias("quest_id"), F.col("ord").cast("long").alias("ord"), "v")
 
 
 def from_json(artifacts: DataFrame, entity: DataFrame, compat: dict[str, tuple[str, ...]]) -> Views:
@@ -99,7 +106,10 @@ def from_json(artifacts: DataFrame, entity: DataFrame, compat: dict[str, tuple[s
     dependencies, each depends on the one before."""
     spark = artifacts.sparkSession
     v = F.col("v")
-    artifact = artifacts.select("quest_id", text(at(v, "quest_type")).alias("quest_type"), text(at(v, "giver_npc")).alias("giver"), text(at(v, "start_location")).alias("start"), F.lit(0).alias("set_id"), "ord")
+    artifact = artifacts.select(
+        "quest_id", F.coalesce(shown(at(v, "quest_type")), F.lit("unknown")).alias("quest_type"), text(at(v, "giver_npc")).alias("giver"),
+        text(at(v, "start_location")).alias("start"), F.lit(0).alias("set_id"), "ord", F.transform(elements(at(v, "reusable_tags")), shown).alias("tags"),
+    )
     listed = artifacts.select("quest_id", numbered(at(v, "objectives")).alias("o"))
     own = lambda s: F.try_variant_get(s["v"], "$.step_id", "string")
     named = lambda s: F.coalesce(own(s), F.lit("")) != ""

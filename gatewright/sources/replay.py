@@ -1,7 +1,7 @@
 """Recorded responses as a data source: spark.read.format("recorded_responses").load(folder).
 
-A folder holds a file for each batch, batch_<number>.jsonl, with a JSON object for each call: call, response, done,
-done_reason, failure (missing keys are null). A file is a partition. Filters on batch choose files before any is read; other filters are
+A folder holds files of a batch each, batch_<number>.jsonl, or folders batch=<number> with JSON files, as Spark writes them. A line is the JSON
+object of a call: call, response, done, done_reason, failure (missing keys are null). A file is a partition. Filters on batch choose files before any is read; other filters are
 left to Spark. Files are opened through pyarrow's file systems, so a folder is a path or a URI that pyarrow knows.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-NAME, FILE = "recorded_responses", re.compile(r"batch_(\d+)\.jsonl$")
+NAME, FILE = "recorded_responses", re.compile(r"/batch_(\d+)\.jsonl$|/batch=(\d+)/[^_.][^/]*\.json$")
 FIELDS = "batch int, call int, response string, done boolean, done_reason string, failure string"
 SCHEMA = pa.schema([("batch", pa.int32()), ("call", pa.int32()), ("response", pa.string()), ("done", pa.bool_()), ("done_reason", pa.string()), ("failure", pa.string())])
 COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, In: lambda x, values: x in values}
@@ -44,8 +44,8 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[File]:
         system, root = fs.FileSystem.from_uri(self.folder)
-        found = [(m, x.path) for x in system.get_file_info(fs.FileSelector(root)) if (m := FILE.search(x.path))]
-        files = sorted((File(path, int(m[1])) for m, path in found), key=lambda f: f.batch)
+        found = [(m, x.path) for x in system.get_file_info(fs.FileSelector(root, recursive=True)) if (m := FILE.search(x.path))]
+        files = sorted((File(path, int(m[1] or m[2])) for m, path in found), key=lambda f: (f.batch, f.path))
         return [f for f in files if all(value is not None and COMPARE[kind](f.batch, value) for kind, value in self.tests)]
 
     def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from gatewright.plans import catalog, json_catalog  # noqa: F401
+from gatewright.plans import catalog, front_catalog, json_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "nation customer part orders lineitem events documents labels conversations".split()
