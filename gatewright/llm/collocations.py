@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +34,7 @@ from .common import drop, mix, stored, whole
 from .packing import deal, part_keys
 
 MIN_COUNT, TOP, COVERED_PERCENT = 10, 2000, 50
-SLOTS, CHUNK_WORDS, MAX_WORDS, FRAGMENTS_PER_PART = 1 << 21, 500_000, 1 << 19, 1_000_000
+SLOTS, CHUNK_WORDS, MAX_WORDS, FRAGMENTS_PER_PART = 1 << 21, 1_000_000, 1 << 19, 1_000_000
 #: Phrases of a part are packed as three word numbers of 21 bits.
 WORD_BITS = 21
 SALTS = 64
@@ -141,12 +142,12 @@ def fragments(text: np.ndarray, core: np.ndarray, place: np.ndarray) -> tuple[np
     right2 = right1 & (rank[4 : n + 4] >= own)
     pivot = np.flatnonzero(core & (own >= 0) & (left1 | right1))
     sides = [np.where(ok[pivot], word[pivot + at], 0) for at, ok in ((0, left2), (1, left1), (3, right1), (4, right2))]
-    near = triple(sides[1], word[pivot + 2], sides[2])
+    near = triple(word[pivot + 2], sides[1], sides[2])
     far = triple(0, sides[0], sides[3])
     by = np.lexsort((far, near))
     near, far = near[by], far[by]
     start = np.flatnonzero(np.concatenate([np.ones(min(1, len(near)), bool), (np.diff(near) != 0) | (np.diff(far) != 0)]))
-    (left1, own, right1), (_, left2, right2) = parts_of(near[start]), parts_of(far[start])
+    (own, left1, right1), (_, left2, right2) = parts_of(near[start]), parts_of(far[start])
     return np.stack([left2, left1, own, right1, right2], 1), np.diff(np.concatenate([start, [len(by)]]))
 
 
@@ -182,7 +183,7 @@ def _send(counts: np.ndarray, keys: list[int], per_part: int, chunk_words: int):
                 at = {lang: i for i, lang in enumerate(langs)}
                 row = {
                     "part": keys[part[lo]], "langs": langs, "lang_of": np.array([at[lang] for lang, _ in words], np.uint32).tobytes(), "words": [w for _, w in words],
-                    "numbers": local.reshape(-1, 5).T.astype(width(len(used))).tobytes(), "times": times[lo:hi].astype(np.uint32).tobytes(), "dealt": np.packbits(split[lo:hi] > 1).tobytes(),
+                    "numbers": zstandard.compress(local.reshape(-1, 5).T.astype(width(len(used))).tobytes(), 1), "times": times[lo:hi].astype(np.uint32).tobytes(), "dealt": np.packbits(split[lo:hi] > 1).tobytes(),
                 }
                 yield pa.RecordBatch.from_pylist([row], schema=MESSAGE)
 
@@ -234,7 +235,7 @@ class Counts:
     def add(self, row: dict) -> None:
         langs = [row["langs"][i] for i in np.frombuffer(row["lang_of"], np.uint32).tolist()]
         mine = np.array([self.number(lang, w) if w != b"!" else 0 for lang, w in zip(langs, row["words"])], np.int64)
-        left2, left1, own, right1, right2 = mine[np.frombuffer(row["numbers"], width(len(mine))).reshape(5, -1)]
+        left2, left1, own, right1, right2 = mine[np.frombuffer(zstandard.decompress(row["numbers"]), width(len(mine))).reshape(5, -1)]
         times = np.frombuffer(row["times"], np.uint32).astype(np.int64)
         dealt = np.unpackbits(np.frombuffer(row["dealt"], np.uint8), count=len(times)).astype(bool)
         for partial in np.unique(dealt).tolist():

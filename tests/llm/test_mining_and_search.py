@@ -9,6 +9,7 @@ from itertools import groupby
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from gatewright.llm import collocations, line_dedup, ranked_search
@@ -151,7 +152,7 @@ def test_counts_pass_64_bits(spark):
 def test_partial_counts_where_numbers_run_out():
     counts = collocations.Counts()
     row = {"langs": ["en", ""], "lang_of": np.array([1, 0, 0], np.uint32).tobytes(), "words": [b"!", b"a", b"b"], "times": np.array([4], np.uint32).tobytes(), "dealt": b"\0"}
-    row["numbers"] = np.array([[0], [1], [2], [1], [0]], np.uint16).tobytes()
+    row["numbers"] = zstandard.compress(np.array([[0], [1], [2], [1], [0]], np.uint16).tobytes())
     seen = Counter()
     for last in (False, False, True):
         counts.add(row)
