@@ -194,17 +194,15 @@ def _send(counts: np.ndarray, keys: list[int], per_part: int, chunk_words: int):
                 words = tokens(raw.as_py())
                 for lo in range(0, len(words), chunk_words):  # longer texts come in pieces, with two neighbours on each side
                     piece = words[max(0, lo - 2) : lo + chunk_words + 2]
-                    text.append(np.fromiter(map(d.of(lang).__getitem__, piece), np.int32, len(piece)))
-                    at = np.arange(len(piece)) + max(0, lo - 2)
-                    core.append((at >= lo) & (at < lo + chunk_words))
-                    text.append(np.zeros(1, np.int32))
-                    core.append(np.zeros(1, bool))
-                    n += len(piece)
-                    if n >= chunk_words:
+                    if n + len(piece) > chunk_words and text:  # so MAX_WORDS and a chunk's words are fewer than numbers
                         yield from packed(d, text, core)
                         text, core, n = [], [], 0
                         if len(d.words) > MAX_WORDS:
                             d = Dictionary(counts)
+                    at = np.arange(len(piece)) + max(0, lo - 2)
+                    text += [np.fromiter(map(d.of(lang).__getitem__, piece), np.int32, len(piece)), np.zeros(1, np.int32)]
+                    core += [(at >= lo) & (at < lo + chunk_words), np.zeros(1, bool)]
+                    n += len(piece)
         if text:
             yield from packed(d, text, core)
 
