@@ -132,6 +132,14 @@ def evolving(judged: DataFrame) -> DataFrame:
     return rows.select("set_id", "ord", "quest_id", "signature", "registered").join(sums, ["set_id", "ord"])
 
 
+def first_wins(rows: DataFrame, id_: str, *order: str) -> DataFrame:
+    """rows without those whose id came before, in the order given; rows whose id is blank or null all stay."""
+    name = F.trim(F.coalesce(F.col(id_).cast("string"), F.lit("")))
+    nth = F.row_number().over(Window.partitionBy(name).orderBy(*order))
+    blank = rows.where(name == "")
+    return rows.where(name != "").withColumn("_nth", nth).where("_nth = 1").drop("_nth").unionByName(blank)
+
+
 def already_used(sigs: DataFrame) -> DataFrame:
     """Whether an earlier artifact has the signature."""
     w = Window.partitionBy("signature").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)

@@ -73,10 +73,10 @@ def usable_review(v: Column, criteria: tuple[str, ...]) -> Column:
 
 
 def reviews(artifacts: DataFrame, answers: DataFrame, criteria: tuple[str, ...], attempts: int = 3) -> DataFrame:
-    """quest_id, review, attempt, available: the first usable answer (quest_id, attempt, v) of each artifact; where there is none,
-    the review is null, and the gate only warns (see unavailable)."""
+    """quest_id, review, attempt, available: the first usable answer (quest_id, attempt, v) of each artifact, of several of one attempt
+    the first as JSON; where there is none, the review is null, and the gate only warns (see unavailable)."""
     good = answers.where((F.col("attempt") <= attempts) & usable_review(F.col("v"), criteria))
-    first = good.groupBy("quest_id").agg(F.min("attempt").alias("attempt")).join(good, ["quest_id", "attempt"]).dropDuplicates(["quest_id"])
+    first = good.groupBy("quest_id").agg(F.min(F.struct("attempt", F.to_json("v").alias("json"))).alias("s")).select("quest_id", "s.attempt", F.parse_json("s.json").alias("v"))
     return artifacts.select("quest_id").join(first, "quest_id", "left").select("quest_id", F.col("v").alias("review"), "attempt", F.col("attempt").isNotNull().alias("available"))
 
 
@@ -96,19 +96,6 @@ def compact_catalog(entity: DataFrame) -> DataFrame:
     return entity.groupBy("entity_type").agg(F.array_sort(F.collect_set("entity_id")).alias("ids"))
 
 
-def review_prompt(artifacts: DataFrame, facts: str, codes: tuple[str, ...], rules: str) -> DataFrame:
-    """quest_id, prompt: what a reviewer is asked about each artifact."""
-    text = F.concat(F.lit("Allowed issue codes: " + ", ".join(codes) + "\n" + rules + "\nWorld:\n" + facts + "\nQuest:\n"), F.to_json("v"))
-    return artifacts.select("quest_id", text.alias("prompt"))
-
-
-def repair_prompt(artifacts: DataFrame, issues: DataFrame, facts: str) -> DataFrame:
-    """quest_id, prompt: the artifact, and its errors and warnings, to be repaired."""
-    told = issues.where(F.col("severity").isin("warning", "error")).groupBy("quest_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("validator", "code", "severity", "path", "detail")))).alias("told"))
-    text = F.concat(F.lit("Issues:\n"), F.coalesce("told", F.lit("[]")), F.lit("\nWorld:\n" + facts + "\nQuest:\n"), F.to_json("v"))
-    return artifacts.join(told, "quest_id", "left").select("quest_id", text.alias("prompt"))
-
-
 def set_review_rows(artifacts: DataFrame) -> DataFrame:
     """What a review of the whole set reads of each artifact."""
     v = lambda k: F.try_variant_get("v", f"$.{k}", "variant")

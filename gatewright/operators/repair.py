@@ -89,9 +89,9 @@ def enumeration(schema: dict[str, Any], *path: str) -> list[str]:
 
 
 def said(text: str, about: Column) -> Column:
-    """A text of the tables above about a column."""
-    before, _, after = text.partition("{0}")
-    return F.concat(F.lit(before), about, F.lit(after))
+    """A text of the tables above about a column; a text about nothing is as it is."""
+    before, mark, after = text.partition("{0}")
+    return F.concat(F.lit(before), about, F.lit(after)) if mark else F.lit(text)
 
 
 def table(values: dict[str, Any]) -> Column:

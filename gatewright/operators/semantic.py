@@ -21,6 +21,8 @@ ADVISORY = ("SUMMARY_OBJECTIVE_MISMATCH", "LOW_REUSABILITY", "LOW_MAINTAINABILIT
 CRITERIA = ("narrative_consistency", "gameplay_clarity", "integration_readiness", "reusability", "maintainability", "game_design_quality")
 SUPPORT = {"narrative_consistency": ("NARRATIVE_CONTRADICTION", "QUEST_GIVER_STATE_CONTRADICTION"), "gameplay_clarity": ("UNCLEAR_OBJECTIVE", "UNCLEAR_ITEM_ACQUISITION"), "integration_readiness": ("IMPLICIT_ENTITY", "UNTRACKED_NARRATIVE_ENTITY", "UNMODELLED_COMBAT_DEPENDENCY")}
 LEAST_SCORE = 3
+#: Fixed value: the message of a proposal without an explanation.
+NO_MESSAGE = "Problema semântico."
 COMBAT = ("defeat", "combat", "fight")
 ABSENT = ("sequestrad", "desaparecid", "aprisionad", "capturad", "morto", "morta", "indisponivel", "indisponível")
 EMPTY_CONDITIONS = ("completar o objetivo", "concluir o objetivo", "terminar a missao", "terminar a missão", "resolver o problema", "fazer isso")
@@ -52,7 +54,11 @@ def proposals(raw: DataFrame) -> DataFrame:
     evidence = F.when(is_object(at(r, "evidence")), at(r, "evidence"))
     place = at(evidence, "objective_index")
     whole = kind(place).isin("TINYINT", "SMALLINT", "INT", "BIGINT")
-    return raw.select("quest_id", "n", is_object(r).alias("object"), F.upper(_text(at(r, "code"))).alias("code"), _text(at(evidence, "rule")).alias("rule"), _text(at(evidence, "entity_id")).alias("entity_id"), F.when(whole, place.cast("long")).alias("at"), *[_text(at(r, k)).alias(k) for k in ("message", "path", "suggestion")])
+    told = F.coalesce(F.when(kind(at(r, "explanation")) == "VOID", "None").otherwise(at(r, "explanation").cast("string")), F.lit(NO_MESSAGE))
+    return raw.select(
+        "quest_id", "n", is_object(r).alias("object"), F.upper(_text(at(r, "code"))).alias("code"), _text(at(evidence, "rule")).alias("rule"), _text(at(evidence, "entity_id")).alias("entity_id"),
+        F.when(whole, place.cast("long")).alias("at"), told.alias("message"), *[_text(at(r, k)).alias(k) for k in ("path", "suggestion")],
+    )
 
 
 def _chain(tests: list[tuple[Column, str, str]]) -> Column:

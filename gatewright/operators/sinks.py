@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .experiments import numeric_summary, run_table
 from .gates import union
 
 
@@ -40,3 +41,30 @@ def save_raw(responses: DataFrame, path: str, unit: str) -> None:
     """Raw responses in folders by name: '<id>_attempt_<n>' or 'batch_<nn>'. responses: unit, attempt, response."""
     name = F.format_string("batch_%02d", F.col("batch").cast("int")) if unit == "batch" else F.concat_ws("_attempt_", F.col(unit).cast("string"), F.col("attempt").cast("string"))
     responses.select(name.alias("name"), F.col("response").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+
+
+def save_aggregate(path: str, runs: DataFrame, configurations: DataFrame, diversity: DataFrame, metrics: dict[str, list[str]]) -> None:
+    """The results of several runs: two CSV tables with fixed headers (run, run_seed, configuration, and the metrics of each table) and a summary.
+
+    runs: run, run_seed, c2_hash, c5_hash; configurations and diversity: run, configuration, metric, value. A metric that a run lacks is empty, and
+    so is a table without rows but for its header. The summary is one JSON line: runs, seeds, whether seeds and files are all different, and
+    count, mean, standard deviation, least and most of each metric of each configuration."""
+    parts = {}
+    for name, values in (("configuration", configurations), ("diversity", diversity)):
+        wide = run_table(values, metrics[name]).join(runs.select("run", "run_seed"), "run").select("run", "run_seed", "configuration", *metrics[name])
+        wide.coalesce(1).sortWithinPartitions("run", "configuration").write.mode("overwrite").option("header", True).csv(f"{path}/{name}_metrics")  # a row for each run and configuration
+        known = values.where(F.col("metric").isin(metrics[name])).withColumn("ord", F.col("run"))
+        stats = numeric_summary(known, ["configuration", "metric"]).drop("values")
+        parts[name] = stats.agg(F.array_sort(F.collect_list(F.struct(*stats.columns))).alias(f"{name}_metrics"))
+    unique = lambda c: (F.count_distinct(c) == F.count(c)).alias(f"all_{c}_unique")
+    told = runs.agg(F.count("*").alias("run_count"), F.array_sort(F.collect_list(F.struct("run", "run_seed", "c2_hash", "c5_hash"))).alias("records"), unique("run_seed"), unique("c2_hash"), unique("c5_hash"))
+    told.crossJoin(parts["configuration"]).crossJoin(parts["diversity"]).coalesce(1).write.mode("overwrite").json(f"{path}/summary")  # one row each
+
+
+def console(summary: DataFrame, by: DataFrame, labels: dict[str, str]) -> str:
+    """A summary as lines of text: labels with the one row's values (rates as percentages), and a line for each row of by (validator, passed,
+    failed, errors, warnings), which are as many as there are gates."""
+    row = summary.first()
+    shown = lambda x: f"{x:.2%}" if isinstance(x, float) else str(x)
+    lines = [f"{label}: {shown(row[c])}" for c, label in labels.items()]
+    return "\n".join(lines + [f"- {r.validator}: {r.passed} PASS, {r.failed} FAIL, {r.errors} errors, {r.warnings} warnings" for r in by.orderBy("validator").collect()])

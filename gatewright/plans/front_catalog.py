@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import recover
-from ..operators import diversity, experiments, gates, generation, json_faults
+from ..operators import diversity, experiments, gates, generation, json_faults, repair, review
 from ..sources import replay, runs
 from ..sources.artifacts import from_json
 from ..sources.scratch import keep, scratch
@@ -124,7 +124,7 @@ CUSTOMERS = f"""{BASE}, cs AS (SELECT 'c' || c_custkey AS quest_id, c_mktsegment
 
 
 def json_set_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = diversity.set_metrics(from_json(customer_artifacts(spark, sf_dir), entities(spark, sf_dir), experiments.repair.ACTION_TYPES))
+    m = diversity.set_metrics(from_json(customer_artifacts(spark, sf_dir), entities(spark, sf_dir), repair.ACTION_TYPES))
     return m.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in m.dtypes])
 
 
@@ -138,7 +138,7 @@ SQL["q_json_set_metrics"] = f"""{CUSTOMERS}, rf AS (SELECT r.ref FROM (SELECT gi
 
 def blocked_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean over all pairs of customers' sets of tags and steps, in blocks of 300 distinct sets."""
-    v = from_json(customer_artifacts(spark, sf_dir), entities(spark, sf_dir), experiments.repair.ACTION_TYPES)
+    v = from_json(customer_artifacts(spark, sf_dir), entities(spark, sf_dir), repair.ACTION_TYPES)
     return diversity.pairwise_similarity(diversity.feature_sets(diversity.signatures(v)), 300).select(F.round("similarity", 6).alias("similarity"))
 
 
@@ -147,7 +147,7 @@ QUERIES["q_blocked_similarity"], SQL["q_blocked_similarity"] = blocked_similarit
 
 # All gates over JSON artifacts
 
-KNOWN = ", ".join(f"'{a}'" for a in experiments.repair.ACTION_TYPES)
+KNOWN = ", ".join(f"'{a}'" for a in repair.ACTION_TYPES)
 GATES = f"""{BASE}, typed AS (SELECT s.*, e.entity_type AS ty FROM step s LEFT JOIN ent e ON e.entity_id = s.target),
     dep AS (SELECT quest_id, pos, 'step_00' || dep AS src, step_id AS dst FROM step WHERE dep <> 0), edge AS (SELECT DISTINCT quest_id, src, dst FROM dep),
     reach(quest_id, src, dst) AS (SELECT quest_id, src, dst FROM edge UNION SELECT r.quest_id, r.src, e.dst FROM reach r JOIN edge e ON e.quest_id = r.quest_id AND e.src = r.dst),
@@ -259,3 +259,121 @@ def recovered_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = o.groupBy("o_custkey").agg(listed.alias("listed"))
     rows = recover.recovered(responses.select(F.col("o_custkey").alias("batch"), text.alias("response")), "response")
     return rows.select("batch", "pos", F.get_json_object("json", "$.title").alias("title"))
+
+
+# The semantic gate over recorded reviews
+
+
+def recorded_reviews(artifacts: DataFrame) -> DataFrame:
+    """quest_id, attempt, v: reviews of orders as artifacts, made of their numbers: some unusable at first, some missing."""
+    k = F.col("ord")
+    issue = lambda code, evidence: F.concat(F.lit(f'{{"code": "{code}", "explanation": "said", "evidence": {{'), evidence, F.lit("}}"))
+    rule = lambda name, more="": F.lit(f'"rule": "{name}"{more}')
+    entity = F.concat(F.lit('"rule": "untracked_entity_id", "entity_id": "part_'), (k % 2500).cast("string"), F.lit('"'))
+    place = F.concat(F.lit('"rule": "unclear_objective_at_index", "objective_index": '), (k % 3).cast("string"))
+    lists = [
+        F.lit(""), issue("untracked_narrative_entity", entity), issue("UNCLEAR_OBJECTIVE", place), issue("UNCLEAR_ITEM_ACQUISITION", rule("unclear_item_acquisition_at_index", ', "objective_index": 0')),
+        issue("UNMODELLED_COMBAT_DEPENDENCY", rule("combat_target_not_modelled", ', "objective_index": 0')), F.concat(issue("LOW_REUSABILITY", rule("taste")), F.lit(", "), issue("NO_SUCH_CODE", rule("taste"))),
+        issue("NARRATIVE_CONTRADICTION", rule("giver_is_defeat_target")), F.concat(F.lit('"text", '), issue("UNTRACKED_NARRATIVE_ENTITY", F.lit(""))),
+    ]
+    issues = F.concat(F.lit("["), F.element_at(F.array(*lists), (k % 8 + 1).cast("int")), F.lit("]"))
+    numbers = {"narrative_consistency": k % 7, "gameplay_clarity": F.expr("ord div 7 % 7 - 1"), "integration_readiness": F.expr("ord div 11 % 6"), "reusability": F.lit(4), "maintainability": F.lit(2.5), "game_design_quality": F.lit(5)}
+    scores = F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": '), x.cast("string")) for c, x in numbers.items()])
+    answer = F.concat(F.lit('{"semantic_scores": {'), scores, F.lit('}, "issues": '), issues, F.lit(', "short_review": "short"}'))
+    unusable = F.lit('{"semantic_scores": {}, "issues": []}')
+    tried = F.when(k % 10 == 9, F.array(unusable, unusable, unusable, answer)).when(k % 10 == 8, F.array(unusable, answer)).otherwise(F.array(answer, unusable))
+    rows = artifacts.select("quest_id", F.posexplode(tried).alias("pos", "text"))
+    return rows.select("quest_id", (F.col("pos") + 1).alias("attempt"), F.parse_json("text").alias("v"))
+
+
+REVIEWS = f"""{BASE}, one AS (SELECT s.quest_id, s.action, e.entity_type AS ty FROM step s LEFT JOIN ent e ON e.entity_id = s.target WHERE s.pos = 1),
+    many AS (SELECT quest_id, count(*) AS n FROM step GROUP BY quest_id),
+    rv AS (SELECT q.quest_id, q.k, q.k % 10 <> 9 AS there, q.k % 8 AS kind, least(5, q.k % 7) AS narrative, greatest(0, least(5, q.k // 7 % 7 - 1)) AS clarity, q.k // 11 % 6 AS integration,
+        CASE q.k % 8 WHEN 1 THEN 'UNTRACKED_NARRATIVE_ENTITY' WHEN 3 THEN 'UNCLEAR_ITEM_ACQUISITION' WHEN 4 THEN 'UNMODELLED_COMBAT_DEPENDENCY' END AS code,
+        CASE q.k % 8 WHEN 1 THEN e.entity_id IS NULL WHEN 3 THEN coalesce(o.action = 'collect' AND coalesce(o.ty, '') <> 'item', false) WHEN 4 THEN coalesce(o.action = 'defeat' AND coalesce(o.ty, '') <> 'enemy', false) ELSE false END AS holds
+        FROM quest q LEFT JOIN ent e ON e.entity_id = 'part_' || (q.k % 2500) LEFT JOIN one o ON o.quest_id = q.quest_id)"""
+
+
+def semantic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = json_artifacts(spark, sf_dir)
+    records = review.semantic_gate(a, recorded_reviews(a), entities(spark, sf_dir))[1]
+    return records.select("quest_id", "status", "attempts", *[F.round(c, 6).alias(c) for c in ("overall_score", "discarded_rate")], "short_review", "raw", "accepted", "advisory", "discarded")
+
+
+def semantic_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = json_artifacts(spark, sf_dir)
+    return review.semantic_gate(a, recorded_reviews(a), entities(spark, sf_dir))[0].select("quest_id", "code", "severity")
+
+
+QUERIES |= {"q_semantic_records": semantic_records, "q_semantic_issues": semantic_issues}
+SQL["q_semantic_records"] = f"""{REVIEWS}, n AS (SELECT *, CASE WHEN NOT there OR kind = 0 THEN 0 WHEN kind IN (5, 7) THEN 2 ELSE 1 END AS raw, CASE WHEN there AND holds THEN 1 ELSE 0 END AS accepted, CASE WHEN there AND kind = 5 THEN 1 ELSE 0 END AS advisory FROM rv)
+    SELECT quest_id, CASE WHEN there THEN 'completed' ELSE 'unavailable' END AS status, CAST(CASE WHEN NOT there THEN 3 WHEN k % 10 = 8 THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN there THEN round((narrative + clarity + integration + 11.5) / 6.0, 6) END AS overall_score,
+    round(CASE WHEN raw = 0 THEN 0 ELSE (raw - accepted - advisory) / CAST(raw AS DOUBLE) END, 6) AS discarded_rate, CASE WHEN there THEN 'short' ELSE '' END AS short_review,
+    CAST(raw AS BIGINT) AS raw, CAST(accepted AS BIGINT) AS accepted, CAST(advisory AS BIGINT) AS advisory, CAST(raw - accepted - advisory AS BIGINT) AS discarded FROM n"""
+SQL["q_semantic_issues"] = f"""{REVIEWS} SELECT quest_id, 'SEMANTIC_VALIDATION_UNAVAILABLE' AS code, 'warning' AS severity FROM rv WHERE NOT there
+    UNION ALL SELECT quest_id, code, CASE WHEN kind = 3 THEN 'warning' ELSE 'error' END FROM rv WHERE there AND holds
+    UNION ALL SELECT quest_id, 'LOW_INTEGRATION_READINESS', 'error' FROM rv WHERE there AND holds AND kind IN (1, 4) AND integration < 3
+    UNION ALL SELECT quest_id, 'LOW_GAMEPLAY_CLARITY', 'error' FROM rv WHERE there AND holds AND kind = 3 AND clarity < 3"""
+
+
+# Values of repaired lists
+
+
+def repair_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the repair leaves of preconditions, completion conditions, rewards, tags and notes."""
+    r = repair.repair(json_artifacts(spark, sf_dir), entities(spark, sf_dir), SCHEMA)
+    texts = lambda k: F.array_join(F.try_variant_get("r", f"$.{k}", "array<string>"), "|").alias(k)
+    one = lambda path, name: F.try_variant_get("r", f"$.{path}", "string").alias(name)
+    notes = [one(f"design_notes.{k}", k) for k in repair.NOTES]
+    return r.select("quest_id", texts("preconditions"), texts("completion_conditions"), texts("reusable_tags"), one("rewards[0].type", "reward_type"), one("rewards[0].value", "reward"), *notes)
+
+
+QUERIES["q_repair_values"] = repair_values
+SQL["q_repair_values"] = f"""{BASE} SELECT q.quest_id, CASE WHEN status = 'O' THEN 'A torre está disponível' ELSE 'the order is placed' END AS preconditions,
+    CASE WHEN status = 'P' THEN 'Completar todos os objetivos' ELSE 'the order is done' END AS completion_conditions, lower(status) || '|' || CASE kind WHEN 1 THEN 'dialogue' WHEN 2 THEN 'rescue' ELSE 'delivery' END AS reusable_tags,
+    CASE WHEN status = 'F' THEN 'item' ELSE 'currency' END AS reward_type, CASE WHEN status <> 'F' THEN CAST(q.k AS VARCHAR) WHEN i.entity_type = 'item' THEN i.entity_id ELSE (SELECT min(entity_id) FROM ent WHERE entity_type = 'item') END AS reward,
+    {", ".join("'" + t.replace("{0}", "' || title || '") + f"' AS {k}" for k, t in repair.NOTES.items())} FROM quest q LEFT JOIN ent i ON i.entity_id = 'part_' || (q.k % 2500)"""
+
+
+# Reports as published, and first wins
+
+
+@over_views("""SELECT p.quest_id, p.passed, CAST(p.errors AS BIGINT) AS error_count, CAST(p.warnings AS BIGINT) AS warning_count, 'referential,graph' AS validators, coalesce(i.n, 0) AS issues, coalesce(i.codes, '') AS codes
+    FROM passes p LEFT JOIN (SELECT quest_id, count(*) AS n, string_agg(code, ',' ORDER BY CASE validator WHEN 'referential' THEN 1 ELSE 2 END, code) AS codes FROM issues GROUP BY quest_id) i ON i.quest_id = p.quest_id""")
+def combined_reports(v: Views) -> DataFrame:
+    names = ("referential", "graph")
+    rows = gates.combined(gates.report_rows(v, gates.union([gates.referential(v), gates.graph(v)]), names), names)
+    codes = F.array_join(F.transform("issues", lambda s: s["code"]), ",").alias("codes")
+    return rows.select("quest_id", "passed", "error_count", "warning_count", F.array_join("validators", ",").alias("validators"), F.size("issues").cast("long").alias("issues"), codes)
+
+
+@over_views("""SELECT quest_id, name FROM (SELECT quest_id, name, row_number() OVER (PARTITION BY name ORDER BY ord) AS k FROM (SELECT quest_id, ord, CASE WHEN quest_id % 5 = 0 THEN ' ' WHEN quest_id % 7 = 0 THEN NULL ELSE giver END AS name FROM artifact)) WHERE k = 1 OR name IS NULL OR trim(name) = ''""")
+def first_wins_blank_stays(v: Views) -> DataFrame:
+    name = F.when(F.col("quest_id") % 5 == 0, " ").when(F.col("quest_id") % 7 != 0, F.col("giver"))
+    return diversity.first_wins(v.artifact.select("quest_id", "ord", name.alias("name")), "name", "ord").select("quest_id", "name")
+
+
+# SQL of queries that had none: similarity by pairs that share a feature, and detection over mutated rows
+
+SQL["q_pairwise_similarity"] = f"""WITH RECURSIVE {PRELUDE}, ds AS (SELECT fs, count(*) AS m, row_number() OVER (ORDER BY fs) AS i FROM (SELECT list_sort(list_distinct(string_split(signature, ' -> '))) AS fs FROM sigs) GROUP BY fs),
+    dx AS (SELECT i, m, len(fs) AS n, unnest(fs) AS f FROM ds),
+    met AS (SELECT any_value(a.m) * CAST(any_value(b.m) AS DOUBLE) AS w, count(*) AS k, any_value(a.n + b.n) AS n FROM dx a JOIN dx b ON a.f = b.f AND a.i < b.i GROUP BY a.i, b.i)
+    SELECT round((coalesce((SELECT sum(w * k / (n - k)) FROM met), 0) + sum(m * (m - 1) / 2.0)) / (sum(m) * (sum(m) - 1) / 2.0), 6) AS similarity FROM ds"""
+SQL["q_set_metrics"] = SQL["q_pairwise_similarity"].replace("SELECT round((coalesce((SELECT sum(w", ", sim AS (SELECT round((coalesce((SELECT sum(w").replace("GROUP BY a.i, b.i)\n    ,", "GROUP BY a.i, b.i),\n   ") + """)
+    SELECT (SELECT count(*) FROM artifact) AS quest_count, (SELECT round(-sum(p * ln(p)) / ln(count(*)), 6) FROM (SELECT CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM artifact) AS p FROM artifact GROUP BY quest_type)) AS entropy,
+        (SELECT count(DISTINCT signature) FROM sigs) AS unique_signatures, (SELECT round(CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS DOUBLE) / sum(n), 6) FROM (SELECT count(*) AS n FROM sigs GROUP BY signature)) AS duplicate_rate,
+        (SELECT round(CAST(count(DISTINCT ref) AS DOUBLE) / (SELECT count(*) FROM entity), 6) FROM refs) AS coverage, (SELECT round(CAST(max(n) AS DOUBLE) / sum(n), 6) FROM (SELECT count(*) AS n FROM refs GROUP BY ref)) AS concentration, (SELECT similarity FROM sim) AS similarity"""
+MUTATED = f"""WITH RECURSIVE {PRELUDE}, ends_ AS (SELECT quest_id, min(CASE WHEN pos = 0 THEN step_no END) AS one, min(CASE WHEN pos = 1 THEN step_no END) AS two FROM objective GROUP BY quest_id),
+    cut AS (SELECT o.quest_id, o.pos, o.step_no, CASE WHEN pos = 0 AND two IS NOT NULL THEN two WHEN pos = 1 THEN one ELSE dep_no END AS dep_no FROM objective o JOIN ends_ USING (quest_id)),
+    me AS (SELECT DISTINCT quest_id, dep_no AS src, step_no AS dst FROM cut WHERE dep_no <> 0),
+    mreach(quest_id, src, dst) AS (SELECT quest_id, src, dst FROM me UNION SELECT r.quest_id, r.src, e.dst FROM mreach r JOIN me e ON e.quest_id = r.quest_id AND e.src = r.dst),
+    caught AS (
+        SELECT DISTINCT t.quest_id, 'unknown_target' AS fault_type, 'referential' AS validator FROM (SELECT quest_id, CASE WHEN pos = 0 THEN 'entity_not_in_world' ELSE target END AS target FROM objective) t LEFT JOIN entity e ON e.entity_id = t.target WHERE e.entity_id IS NULL
+        UNION ALL SELECT quest_id, 'wrong_giver_type', 'referential' FROM artifact WHERE (SELECT entity_type FROM entity WHERE entity_id = 'nation_1') <> 'customer'
+        UNION ALL SELECT DISTINCT quest_id, 'duplicate_step_id', 'referential' FROM (SELECT o.quest_id, CASE WHEN pos = 1 THEN one ELSE step_no END AS s FROM objective o JOIN ends_ USING (quest_id)) GROUP BY quest_id, s HAVING count(*) > 1
+        UNION ALL SELECT DISTINCT t.quest_id, 'missing_dependency', 'graph' FROM (SELECT quest_id, CASE WHEN pos = 0 THEN 999 ELSE dep_no END AS dep_no FROM objective) t LEFT JOIN objective s ON s.quest_id = t.quest_id AND s.step_no = t.dep_no WHERE t.dep_no <> 0 AND s.quest_id IS NULL
+        UNION ALL SELECT DISTINCT quest_id, 'cyclic_dependency', 'graph' FROM mreach WHERE src = dst)"""
+SQL["q_fault_detection_all_by_fault"] = f"{MUTATED} SELECT f.fault_type, (SELECT count(*) FROM artifact) AS total, (SELECT count(*) FROM caught c WHERE c.fault_type = f.fault_type) AS detected FROM (VALUES ('unknown_target'), ('wrong_giver_type'), ('duplicate_step_id'), ('missing_dependency'), ('cyclic_dependency')) f(fault_type)"
+SQL["q_fault_detection_all_by_validator"] = f"{MUTATED} SELECT validator, count(*) AS tp FROM caught GROUP BY validator"
+SQL["q_fault_detection_by_fault"] = f"{MUTATED} SELECT f.fault_type, (SELECT count(*) FROM artifact) AS total, (SELECT count(*) FROM caught c WHERE c.fault_type = f.fault_type) AS detected FROM (VALUES ('unknown_target'), ('wrong_giver_type'), ('missing_dependency')) f(fault_type)"
+SQL["q_fault_detection_by_validator"] = f"{MUTATED} SELECT validator, count(*) AS tp FROM caught WHERE fault_type IN ('unknown_target', 'wrong_giver_type', 'missing_dependency') GROUP BY validator"
