@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import py_strip
 from ..sources.views import Views
+from . import long_graphs
+from .long_graphs import LONG
 
 VALIDATORS = ("referential", "graph", "content")
 #: How many cycles the issue of a cyclic graph names.
@@ -44,19 +46,32 @@ def resolve(df: DataFrame, v: Views, ref: str) -> DataFrame:
     return df.where(py_strip(F.col(ref)) != "").join(e, py_strip(F.col(ref)) == F.col("_id"), "left").drop("_id")
 
 
-def referential(v: Views) -> DataFrame:
+def reference_issues(v: Views) -> DataFrame:
+    """Issues of references outside objectives."""
     known = resolve(references(v), v, "ref")
     wrong = {"giver_npc": "INVALID_QUEST_GIVER_TYPE", "start_location": "INVALID_START_LOCATION_TYPE"}
-    code = F.when(F.col("entity_type").isNull(), "UNKNOWN_ENTITY").when(~F.array_contains("want", F.col("entity_type")), reduce(lambda c, x: c.when(F.col("path") == x[0], x[1]), wrong.items(), F.when(F.lit(False), "")).otherwise("INVALID_REWARD_ITEM_TYPE"))
-    refs = known.select("quest_id", F.lit("referential").alias("validator"), code.alias("code"), F.lit("error").alias("severity"), "path", F.col("ref").alias("detail")).where("code is not null")
+    of_path = reduce(lambda c, x: c.when(F.col("path") == x[0], x[1]), wrong.items(), F.when(F.lit(False), "")).otherwise("INVALID_REWARD_ITEM_TYPE")
+    code = F.when(F.col("entity_type").isNull(), "UNKNOWN_ENTITY").when(~F.array_contains("want", F.col("entity_type")), of_path)
+    return known.select("quest_id", F.lit("referential").alias("validator"), code.alias("code"), F.lit("error").alias("severity"), "path", F.col("ref").alias("detail")).where("code is not null")
+
+
+def judged_targets(v: Views) -> DataFrame:
+    """v.objective with found: the code of what is wrong with an objective's target, or null; blank targets are not judged."""
+    e = v.entity.select(F.col("entity_id").alias("_id"), "entity_type")
+    actions = v.compat.groupBy(F.lower("action").alias("_action")).agg(F.collect_set("entity_type").alias("allowed"))
+    target, action = py_strip(F.col("target")), F.lower(py_strip(F.col("action")))
+    rows = v.objective.join(e, target == F.col("_id"), "left").withColumn("_action", action).join(actions, "_action", "left")
+    unknown, unfit = F.col("entity_type").isNull(), F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("entity_type"))
+    found = F.when(target == "", None).when(unknown, "INVALID_OR_IMPLICIT_TARGET").when(unfit, "INCOMPATIBLE_ACTION_TARGET")
+    return rows.withColumn("found", F.when(F.col("target").isNotNull(), found)).drop("_id", "_action", "entity_type", "allowed")
+
+
+def referential(v: Views) -> DataFrame:
     duplicate = stated_steps(v).groupBy("quest_id", "step_no").count().where("count > 1")
-    target = resolve(v.objective, v, "target")
-    actions = v.compat.groupBy("action").agg(F.collect_set("entity_type").alias("allowed"))
-    action = F.lower(py_strip(F.col("action")))
-    judged = target.withColumn("_action", action).join(actions.select(F.lower("action").alias("_action"), "allowed"), "_action", "left")
-    found = F.when(F.col("entity_type").isNull(), "INVALID_OR_IMPLICIT_TARGET").when(F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("entity_type")), "INCOMPATIBLE_ACTION_TARGET")
-    targets = judged.select("quest_id", F.lit("referential").alias("validator"), found.alias("code"), F.lit("error").alias("severity"), F.format_string("objectives[%d].target", "pos").alias("path"), F.col("target").alias("detail")).where("code is not null")
-    return union([refs, _issue(duplicate, "referential", "DUPLICATE_STEP_ID", "error", F.lit("objectives"), F.col("step_no")), targets])
+    targets = judged_targets(v).where("found is not null")
+    path = F.format_string("objectives[%d].target", "pos")
+    told = targets.select("quest_id", F.lit("referential").alias("validator"), F.col("found").alias("code"), F.lit("error").alias("severity"), path.alias("path"), F.col("target").alias("detail"))
+    return union([reference_issues(v), _issue(duplicate, "referential", "DUPLICATE_STEP_ID", "error", F.lit("objectives"), F.col("step_no")), told])
 
 
 def dependencies(v: Views) -> DataFrame:
@@ -98,20 +113,25 @@ def edge_arrays(v: Views) -> DataFrame:
     return g.select("quest_id", "edges", F.array_distinct(F.concat("steps", F.transform("edges", lambda e: e["src"]))).alias("nodes"))
 
 
+def _walked(edges: Column, nodes: Column, src: str, dst: str) -> Column:
+    """Nodes where a walk of as many edges as there are nodes ends: none unless it has been round a cycle."""
+    step = lambda at, _: F.array_distinct(F.transform(F.filter(edges, lambda e: F.array_contains(at, e[src])), lambda e: e[dst]))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(nodes))), nodes, step)
+
+
 def cyclic(edges: Column, nodes: Column) -> Column:
-    """Whether edges have a cycle: what is left after peeling edges whose source nothing leads to, once for each node."""
-    peel = lambda acc, _: F.filter(acc, lambda e: F.exists(acc, lambda f: f["dst"] == e["src"]))
-    return F.size(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(nodes))), edges, peel)) > 0
+    """Whether edges have a cycle."""
+    return F.size(_walked(edges, nodes, "src", "dst")) > 0
 
 
 def first_cycles(edges: Column, nodes: Column, most: int = CYCLES) -> Column:
     """The first simple cycles, shorter ones first, then by their nodes; each starts at its least node.
 
     Paths grow by one node a round, from each node to greater ones only, in order; there are no more rounds of paths once
-    enough cycles are closed. Edges that are on no way from a cycle to a cycle are peeled off first, on both sides."""
+    enough cycles are closed. Edges that are on no way from a cycle to a cycle are left out first."""
     n = F.greatest(F.lit(1), F.size(nodes))
-    peel = lambda acc, _: F.filter(acc, lambda e: F.exists(acc, lambda f: f["dst"] == e["src"]) & F.exists(acc, lambda f: f["src"] == e["dst"]))
-    core = F.array_sort(F.aggregate(F.sequence(F.lit(1), n), edges, peel))
+    between = F.array_intersect(_walked(edges, nodes, "src", "dst"), _walked(edges, nodes, "dst", "src"))
+    core = F.array_sort(F.filter(edges, lambda e: F.array_contains(between, e["src"]) & F.array_contains(between, e["dst"])))
     start = F.array_sort(F.array_distinct(F.transform(core, lambda e: e["src"])))
     begin = F.struct(core.alias("edges"), F.transform(start, lambda x: F.array(x)).alias("paths"), F.slice(F.array(start), 1, 0).alias("cycles"))
 
@@ -133,12 +153,16 @@ def shown_cycles(cycles: Column, quoted: bool) -> Column:
     return inside(cycles, lambda c: inside(c, node))
 
 
-def graph_facts(v: Views) -> DataFrame:
-    """quest_id, cyclic, n_nodes, n_edges, roots, terminals (arrays; null for cyclic graphs)."""
-    g = edge_arrays(v).withColumn("cyclic", cyclic(F.col("edges"), F.col("nodes")))
+def graph_facts(v: Views, long: int = LONG) -> DataFrame:
+    """quest_id, cyclic, n_nodes, n_edges, roots, terminals (arrays; null for cyclic graphs), nodes, edges.
+
+    Graphs of JSON artifacts of more than long nodes go through long_graphs; objectives of tables are few."""
+    every = edge_arrays(v)
+    g = (every if v.dependency is None else every.where(F.size("nodes") <= long)).withColumn("cyclic", cyclic(F.col("edges"), F.col("nodes")))
     roots = F.array_sort(F.array_except("nodes", F.transform("edges", lambda e: e["dst"])))
     ends = F.array_sort(F.array_except("nodes", F.transform("edges", lambda e: e["src"])))
-    return g.select("quest_id", "cyclic", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), F.when(~F.col("cyclic"), roots).alias("roots"), F.when(~F.col("cyclic"), ends).alias("terminals"), "nodes", "edges")
+    out = g.select("quest_id", "cyclic", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), F.when(~F.col("cyclic"), roots).alias("roots"), F.when(~F.col("cyclic"), ends).alias("terminals"), "nodes", "edges")
+    return out if v.dependency is None else out.unionByName(long_graphs.applied(every.where(F.size("nodes") > long), out.schema, long_graphs.facts))
 
 
 def reachable(nodes: Column, edges: Column, roots: Column) -> Column:
@@ -151,24 +175,71 @@ def graph(v: Views) -> DataFrame:
     """Issues of dependency graphs; those of the graph as a whole come out of one pass over the artifacts' arrays."""
     missing = missing_dependencies(v)
     dependency = F.format_string("objectives[%d].depends_on", "pos")
-    one = lambda code, severity, detail: F.struct(F.lit("graph").alias("validator"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit("objectives").alias("path"), detail.cast("string").alias("detail"))
-    none = F.expr("cast(array() as array<struct<validator: string, code: string, severity: string, path: string, detail: string>>)")
-    cycles = shown_cycles(first_cycles(F.col("edges"), F.col("nodes")), v.dependency is not None)
-    lost = F.array_except("nodes", reachable(F.col("nodes"), F.col("edges"), F.col("roots")))
-    whole = F.concat(
-        F.when(F.col("cyclic"), F.array(one("CYCLIC_OBJECTIVE_DEPENDENCY", "error", cycles))).otherwise(none),
-        F.when(F.size("roots") > 1, F.array(one("MULTIPLE_OBJECTIVE_ROOTS", "warning", F.size("roots")))).otherwise(none),
-        F.when(~F.col("cyclic"), F.transform(lost, lambda node: one("UNREACHABLE_OBJECTIVE", "error", node))).otherwise(none),
-    )
-    frames = [_issue(missing, "graph", "MISSING_STEP_DEPENDENCY", "error", dependency, F.col("dep_no")), graph_facts(v).select("quest_id", F.inline(whole))]
+    named = v.dependency is not None
+    cycles = shown_cycles(first_cycles(F.col("edges"), F.col("nodes")), named)
+    facts = graph_facts(v)
+    frames = [_issue(missing, "graph", "MISSING_STEP_DEPENDENCY", "error", dependency, F.col("dep_no"))]
+    if named:
+        few = facts.where(F.size("nodes") <= LONG)
+        many = facts.where((F.size("nodes") > LONG) & F.col("cyclic")).select("quest_id", "nodes", "edges")
+        found = long_graphs.applied(many, many.withColumn("cycles", F.array("nodes")).schema, lambda g: {"cycles": g.shortest_cycles(CYCLES)})
+        told = found.select("quest_id", F.col("cycles").alias("_cycles"))
+        rest = facts.where(F.size("nodes") > LONG).join(told, "quest_id", "left")
+        frames += [few.select("quest_id", F.inline(whole_graph(cycles))), rest.select("quest_id", F.inline(whole_graph(shown_cycles(F.col("_cycles"), named), reach=False)))]
+    else:
+        frames.append(facts.select("quest_id", F.inline(whole_graph(cycles))))
     if v.unlisted is not None:
         frames.append(_issue(v.unlisted, "graph", "INVALID_DEPENDENCY_LIST", "error", dependency, F.lit("")))
     return union(frames)
 
 
-def graph_metrics(v: Views) -> DataFrame:
+def _one(validator: str, code: Column | str, severity: str, path: Column | str, detail: Column) -> Column:
+    literal = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(F.lit(validator).alias("validator"), literal(code).alias("code"), F.lit(severity).alias("severity"), literal(path).alias("path"), detail.cast("string").alias("detail"))
+
+
+def whole_graph(cycles: Column, reach: bool = True) -> Column:
+    """Issues of graphs as a whole (cyclic, roots, nodes, edges: see graph_facts), as an array; cycles: their text.
+
+    reach: whether nodes that no root leads to are looked for. A graph without cycles has none: going back from a node ends at a root."""
+    none = F.expr("cast(array() as array<struct<validator: string, code: string, severity: string, path: string, detail: string>>)")
+    issue = lambda code, severity, detail: _one("graph", code, severity, "objectives", detail)
+    parts = [
+        F.when(F.col("cyclic"), F.array(issue("CYCLIC_OBJECTIVE_DEPENDENCY", "error", cycles))).otherwise(none),
+        F.when(F.size("roots") > 1, F.array(issue("MULTIPLE_OBJECTIVE_ROOTS", "warning", F.size("roots")))).otherwise(none),
+    ]
+    if reach:
+        lost = F.array_except("nodes", reachable(F.col("nodes"), F.col("edges"), F.col("roots")))
+        parts.append(F.when(~F.col("cyclic"), F.transform(lost, lambda node: issue("UNREACHABLE_OBJECTIVE", "error", node))).otherwise(none))
+    return F.concat(*parts)
+
+
+def structural(v: Views) -> DataFrame:
+    """Issues of the referential and the graph gate together, without the text of cycles.
+
+    Views of tables give each artifact's objectives as one array, with their targets looked up on the way: one pass over the objectives for
+    both gates. Other views have arrays of their own, and are judged by both gates apart."""
+    if v.dependency is not None or "named" in v.objective.columns:
+        return union([referential(v), graph(v)])
+    steps = judged_targets(v).groupBy("quest_id").agg(F.collect_list(F.struct("pos", "step_no", "dep_no", "target", "found")).alias("steps"))
+    edges = F.array_distinct(F.transform(F.filter("steps", lambda s: s["dep_no"] != 0), lambda s: F.struct(s["dep_no"].alias("src"), s["step_no"].alias("dst"))))
+    numbers = F.transform("steps", lambda s: s["step_no"])
+    rows = steps.select("quest_id", "steps", numbers.alias("numbers"), edges.alias("edges"))
+    rows = rows.withColumn("nodes", F.array_distinct(F.concat("numbers", F.transform("edges", lambda e: e["src"]))))
+    rows = rows.withColumn("cyclic", cyclic(F.col("edges"), F.col("nodes")))
+    rows = rows.withColumn("roots", F.when(~F.col("cyclic"), F.array_except("nodes", F.transform("edges", lambda e: e["dst"]))))
+    targets = F.transform(F.filter("steps", lambda s: s["found"].isNotNull()), lambda s: _one("referential", s["found"], "error", F.format_string("objectives[%d].target", s["pos"]), s["target"]))
+    repeated = F.filter(F.array_distinct("numbers"), lambda n: F.size(F.filter("numbers", lambda m: m == n)) > 1)
+    twice = F.transform(repeated, lambda n: _one("referential", "DUPLICATE_STEP_ID", "error", "objectives", n))
+    gone = F.filter("steps", lambda s: (s["dep_no"] != 0) & ~F.array_contains("numbers", s["dep_no"]))
+    missing = F.transform(gone, lambda s: _one("graph", "MISSING_STEP_DEPENDENCY", "error", F.format_string("objectives[%d].depends_on", s["pos"]), s["dep_no"]))
+    return union([reference_issues(v), rows.select("quest_id", F.inline(F.concat(targets, twice, missing, whole_graph(F.lit(""), reach=False))))])
+
+
+def graph_metrics(v: Views, long: int = LONG) -> DataFrame:
     """Node and edge counts, density, greatest shortest distance from a root, weak components and degree centrality."""
-    f = graph_facts(v)
+    every = edge_arrays(v).withColumns({"n_nodes": F.size("nodes").cast("long"), "n_edges": F.size("edges").cast("long")})
+    f = every if v.dependency is None else every.where(F.size("nodes") <= long)
     n, m = F.col("n_nodes"), F.col("n_edges")
     roots = F.array_except("nodes", F.transform("edges", lambda e: e["dst"]))
     grow = lambda acc, _: F.struct(F.array_union(acc["seen"], F.transform(F.filter(F.col("edges"), lambda e: F.array_contains(acc["seen"], e["src"])), lambda e: e["dst"])).alias("seen"), (acc["depth"] + F.when(F.size(F.array_except(F.transform(F.filter(F.col("edges"), lambda e: F.array_contains(acc["seen"], e["src"])), lambda e: e["dst"]), acc["seen"])) > 0, 1).otherwise(0)).alias("depth"))
@@ -177,7 +248,8 @@ def graph_metrics(v: Views) -> DataFrame:
     spread = lambda acc, _: F.transform_values(acc, lambda k, x: F.least(x, F.coalesce(F.array_min(F.transform(F.filter(both, lambda e: e["dst"] == k), lambda e: F.element_at(acc, e["src"]))), x)))
     labels = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.map_from_arrays("nodes", "nodes"), spread)
     degree = F.array_max(F.transform("nodes", lambda x: F.size(F.filter("edges", lambda e: e["src"] == x)) + F.size(F.filter("edges", lambda e: e["dst"] == x))))
-    return f.select("quest_id", "n_nodes", "n_edges", F.when(n > 1, m / (n * (n - 1))).otherwise(0.0).alias("density"), F.size(F.array_distinct(F.map_values(labels))).cast("long").alias("components"), depth.cast("long").alias("max_depth"), F.when(n > 1, degree / (n - 1)).otherwise(0.0).alias("max_degree_centrality"))
+    out = f.select("quest_id", "n_nodes", "n_edges", F.when(n > 1, m / (n * (n - 1))).otherwise(0.0).alias("density"), F.size(F.array_distinct(F.map_values(labels))).cast("long").alias("components"), depth.cast("long").alias("max_depth"), F.when(n > 1, degree / (n - 1)).otherwise(0.0).alias("max_degree_centrality"))
+    return out if v.dependency is None else out.unionByName(long_graphs.applied(every.where(F.size("nodes") > long), out.schema, long_graphs.measures))
 
 
 def report(v: Views, issues: DataFrame, validators: tuple[str, ...] = VALIDATORS) -> DataFrame:

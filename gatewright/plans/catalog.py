@@ -260,7 +260,7 @@ def schema_variant_types(d: DataFrame) -> DataFrame:
 
 
 def _rows(v: Views) -> DataFrame:
-    return gates.report(v, gates.union([gates.referential(v), gates.graph(v)]), ("referential", "graph"))
+    return gates.report(v, gates.structural(v), ("referential", "graph"))
 
 
 @over_views("SELECT quest_id, validator, errors, warnings, passed FROM grid")
@@ -367,26 +367,26 @@ def mutants(v: Views) -> DataFrame:
     UNION ALL SELECT 'missing_dependency', (SELECT count(*) FROM artifact), count(DISTINCT quest_id) FROM objective""")
 def fault_detection_by_fault(v: Views) -> DataFrame:
     m, ids = faults.mutants(v, F.lit(WRONG), ("unknown_target", "wrong_giver_type", "missing_dependency"))
-    return faults.detection(ids, gates.union([gates.referential(m), gates.graph(m)]), "fault_type")
+    return faults.detection(ids, gates.structural(m), "fault_type")
 
 
 @over_views("""SELECT 'referential' AS validator, (SELECT count(*) FROM artifact) + (SELECT count(DISTINCT quest_id) FROM objective) AS tp UNION ALL SELECT 'graph', count(DISTINCT quest_id) FROM objective""")
 def fault_detection_by_validator(v: Views) -> DataFrame:
     m, ids = faults.mutants(v, F.lit(WRONG), ("unknown_target", "wrong_giver_type", "missing_dependency"))
-    return faults.detection(ids, gates.union([gates.referential(m), gates.graph(m)]), "validator")
+    return faults.detection(ids, gates.structural(m), "validator")
 
 
 # All faults of FAULTS; the mutants' own gates hold them, on small views, against hand-made cases (tests/test_faults.py).
 @over_views()
 def fault_detection_all_by_fault(v: Views) -> DataFrame:
     m, ids = faults.mutants(v, F.lit(WRONG))
-    return faults.detection(ids, gates.union([gates.referential(m), gates.graph(m)]), "fault_type")
+    return faults.detection(ids, gates.structural(m), "fault_type")
 
 
 @over_views()
 def fault_detection_all_by_validator(v: Views) -> DataFrame:
     m, ids = faults.mutants(v, F.lit(WRONG))
-    return faults.detection(ids, gates.union([gates.referential(m), gates.graph(m)]), "validator")
+    return faults.detection(ids, gates.structural(m), "validator")
 
 
 @query("""SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round(CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn), 6) AS accuracy

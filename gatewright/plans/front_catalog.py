@@ -342,7 +342,7 @@ SQL["q_repair_values"] = f"""{BASE} SELECT q.quest_id, CASE WHEN status = 'O' TH
     FROM passes p LEFT JOIN (SELECT quest_id, count(*) AS n, string_agg(code, ',' ORDER BY CASE validator WHEN 'referential' THEN 1 ELSE 2 END, code) AS codes FROM issues GROUP BY quest_id) i ON i.quest_id = p.quest_id""")
 def combined_reports(v: Views) -> DataFrame:
     names = ("referential", "graph")
-    rows = gates.combined(gates.report_rows(v, gates.union([gates.referential(v), gates.graph(v)]), names), names)
+    rows = gates.combined(gates.report_rows(v, gates.structural(v), names), names)
     codes = F.array_join(F.transform("issues", lambda s: s["code"]), ",").alias("codes")
     return rows.select("quest_id", "passed", "error_count", "warning_count", F.array_join("validators", ",").alias("validators"), F.size("issues").cast("long").alias("issues"), codes)
 
