@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_slug, clean, slugs
 from ..sources.artifacts import at, elements, is_object, kind, numbered
+from ..sources.scratch import keep as stored
 from .gates import union
 
 #: Entity types that each action's target may have.
@@ -272,8 +273,9 @@ def repair(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any], fold
 
     fold: from these rows to their quest_id, ord, free_npc, first_location, first_item and chosen objectives, where choices are
     to depend on other artifacts (see diversity_repair)."""
-    rows = with_types(parsed(artifacts, schema), entity)
-    most = rows.agg(F.max(F.size("p.rescued"))).first()[0] or 0
+    read = stored(parsed(artifacts, schema), "parsed")  # read three times: for names that are ruled out, for references, and for the rules
+    most = read.agg(F.max(F.size("p.rescued"))).first()[0] or 0
+    rows = with_types(read, entity)
     f = firsts(entity, most)
     kinds, title_of = scalars(schema)["quest_type"], scalars(schema)["title"]
     rows = rows.withColumn("kind", F.when(kinds[1], kinds[2]).otherwise(F.col("p.quest_type")))
