@@ -8,8 +8,9 @@ probability times the chance that a text goes on, so the probabilities of all te
 
 Scores of the file give the pieces' first weights: log probabilities as they are where the file is a unigram vocabulary; the file at hand is a merge
 vocabulary, whose scores are negative ranks, so a piece weighs 1 / (ZIPF - score), by Zipf's law. The training rows then adapt
-the weights: expected counts of pieces over all words of the corpus (forward-backward, each word as often as it occurs) are added to PRIOR
-counts dealt by the file's weights, for EM_STEPS rounds. A piece table (at most MAX_PIECES entries) is what is broadcast of it.
+the weights, for EM_STEPS rounds: expected counts of pieces over all words of the corpus (forward-backward, each word as often as it
+occurs) are added to SHARE times as many counts dealt by the file's weights, so the file's scores keep SHARE / (1 + SHARE) of the weight
+however large the corpus is. A piece table (at most MAX_PIECES entries) is what is broadcast of it.
 
 The base score needs the counts of all words. They grow with the corpus and are never broadcast as a whole: the HEAD most
 frequent words are, and every other word of a document is joined with the table of counts.
@@ -36,7 +37,7 @@ from .common import fold, stored, whole, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD, CHUNK_TOKENS, CACHE = 200_000, 2_000_000, 400_000
-EM_STEPS, PRIOR, ZIPF, MAX_PIECES, MARK = 2, 10_000.0, 10.0, 300_000, "▁"
+EM_STEPS, SHARE, ZIPF, MAX_PIECES, MARK = 2, 1.0, 10.0, 300_000, "▁"
 CELLS, CHARACTERS, LONG = 60_000, 1_114_112, 2048
 
 
@@ -207,11 +208,13 @@ def first_weights(pieces: list[str], log_weights: np.ndarray) -> tuple[np.ndarra
     return w, begins
 
 
-def fit(counts: DataFrame, pieces: list[str], log_weights: np.ndarray, steps: int = EM_STEPS) -> np.ndarray:
-    """Log weights of pieces, the unknown piece and the stop, adapted to the words of counts (word, n)."""
+def fit(counts: DataFrame, pieces: list[str], log_weights: np.ndarray, steps: int = EM_STEPS, share: float = SHARE) -> np.ndarray:
+    """Log weights of pieces, the unknown piece and the stop, adapted to the words of counts (word, n).
+
+    Pieces that begin a word, and all others, each have share times their uses in the corpus dealt by the file's weights."""
     first, begins = first_weights(pieces, log_weights)
     logs = normalised(first, begins)
-    prior = PRIOR * np.exp(logs)
+    own = np.exp(logs)
     for _ in range(steps):
 
         def expect(batches, weights=logs):
@@ -226,9 +229,12 @@ def fit(counts: DataFrame, pieces: list[str], log_weights: np.ndarray, steps: in
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=("piece", "n"))
 
         got = counts.mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        total = prior.copy()
-        total[got["piece"].to_numpy(int)] += got["n"].to_numpy(float)
-        logs = normalised(total, begins)
+        if got.empty:
+            break
+        uses = np.zeros(len(own))
+        uses[got["piece"].to_numpy(int)] = got["n"].to_numpy(float)
+        dealt = share * np.where(begins, uses[begins].sum(), uses[~begins].sum())
+        logs = normalised(uses + dealt * own, begins)
     return logs
 
 

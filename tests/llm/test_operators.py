@@ -345,6 +345,40 @@ def test_scores_are_marginals_of_all_segmentations(spark, docs, monkeypatch):
         assert got[i].score == pytest.approx(want)
 
 
+def test_fit_adds_expected_uses_to_the_files_share(spark):
+    """Against all segmentations written out; the file's scores weigh the same however often the corpus is repeated."""
+    pieces, log_weights = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"], -np.log(10.0 + np.arange(7))
+    times = {"abab": 3, "b": 2, "xab": 1}
+    begins = np.array([p.startswith("▁") for p in pieces] + [False, False])
+
+    def every(s):
+        if not s:
+            yield ()
+        for k in range(1, len(s) + 1):
+            i = pieces.index(s[:k]) if s[:k] in pieces else len(pieces) if k == 1 else None
+            if i is not None:
+                yield from ((i, *rest) for rest in every(s[k:]))
+
+    def shares(w):
+        return w / np.where(begins, w[begins].sum(), w[~begins].sum())
+
+    own = shares(lm_scoring.first_weights(pieces, log_weights)[0])
+    for share in (1.0, 0.25):
+        w = own
+        for _ in range(2):
+            uses = np.zeros(len(own))
+            for word, n in times.items():
+                ways = list(every("▁" + word))
+                p = [math.prod(w[i] / (lm_scoring.CHARACTERS if i == len(pieces) else 1) for i in way) for way in ways]
+                for way, x in zip(ways, p):
+                    np.add.at(uses, list(way), n * x / sum(p))
+                uses[-1] += n
+            w = shares(uses + share * np.where(begins, uses[begins].sum(), uses[~begins].sum()) * own)
+        for m in (1, 1000):
+            counts = spark.createDataFrame([(x.encode(), n * m) for x, n in times.items()], "word binary, n long")
+            assert np.exp(lm_scoring.fit(counts, pieces, log_weights, share=share)) == pytest.approx(w)
+
+
 def test_long_words_are_scored_in_blocks(monkeypatch):
     pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "bab", "é"]
     lattice = lm_scoring.Lattice(pieces, np.log(np.array([5, 4, 9, 8, 7, 3, 6, 2, 1, 4]) / 49))
