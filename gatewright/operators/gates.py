@@ -153,16 +153,23 @@ def shown_cycles(cycles: Column, quoted: bool) -> Column:
     return inside(cycles, lambda c: inside(c, node))
 
 
+def _facts(arrays: DataFrame) -> DataFrame:
+    """See graph_facts; arrays: quest_id, nodes, edges."""
+    g = arrays.withColumn("cyclic", cyclic(F.col("edges"), F.col("nodes")))
+    roots = F.array_sort(F.array_except("nodes", F.transform("edges", lambda e: e["dst"])))
+    ends = F.array_sort(F.array_except("nodes", F.transform("edges", lambda e: e["src"])))
+    return g.select("quest_id", "cyclic", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), F.when(~F.col("cyclic"), roots).alias("roots"), F.when(~F.col("cyclic"), ends).alias("terminals"), "nodes", "edges")
+
+
 def graph_facts(v: Views, long: int = LONG) -> DataFrame:
     """quest_id, cyclic, n_nodes, n_edges, roots, terminals (arrays; null for cyclic graphs), nodes, edges.
 
     Graphs of JSON artifacts of more than long nodes go through long_graphs; objectives of tables are few."""
     every = edge_arrays(v)
-    g = (every if v.dependency is None else every.where(F.size("nodes") <= long)).withColumn("cyclic", cyclic(F.col("edges"), F.col("nodes")))
-    roots = F.array_sort(F.array_except("nodes", F.transform("edges", lambda e: e["dst"])))
-    ends = F.array_sort(F.array_except("nodes", F.transform("edges", lambda e: e["src"])))
-    out = g.select("quest_id", "cyclic", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), F.when(~F.col("cyclic"), roots).alias("roots"), F.when(~F.col("cyclic"), ends).alias("terminals"), "nodes", "edges")
-    return out if v.dependency is None else out.unionByName(long_graphs.applied(every.where(F.size("nodes") > long), out.schema, long_graphs.facts))
+    if v.dependency is None:
+        return _facts(every)
+    out = _facts(every.where(F.size("nodes") <= long))
+    return out.unionByName(long_graphs.applied(every.where(F.size("nodes") > long), out.schema, long_graphs.facts))
 
 
 def reachable(nodes: Column, edges: Column, roots: Column) -> Column:
@@ -177,17 +184,14 @@ def graph(v: Views) -> DataFrame:
     dependency = F.format_string("objectives[%d].depends_on", "pos")
     named = v.dependency is not None
     cycles = shown_cycles(first_cycles(F.col("edges"), F.col("nodes")), named)
-    facts = graph_facts(v)
     frames = [_issue(missing, "graph", "MISSING_STEP_DEPENDENCY", "error", dependency, F.col("dep_no"))]
+    every = edge_arrays(v)
+    few = _facts(every.where(F.size("nodes") <= LONG) if named else every)
+    frames.append(few.select("quest_id", F.inline(whole_graph(cycles))))
     if named:
-        few = facts.where(F.size("nodes") <= LONG)
-        many = facts.where((F.size("nodes") > LONG) & F.col("cyclic")).select("quest_id", "nodes", "edges")
-        found = long_graphs.applied(many, many.withColumn("cycles", F.array("nodes")).schema, lambda g: {"cycles": g.shortest_cycles(CYCLES)})
-        told = found.select("quest_id", F.col("cycles").alias("_cycles"))
-        rest = facts.where(F.size("nodes") > LONG).join(told, "quest_id", "left")
-        frames += [few.select("quest_id", F.inline(whole_graph(cycles))), rest.select("quest_id", F.inline(whole_graph(shown_cycles(F.col("_cycles"), named), reach=False)))]
-    else:
-        frames.append(facts.select("quest_id", F.inline(whole_graph(cycles))))
+        judged = lambda g: {**long_graphs.facts(g), "cycles": g.shortest_cycles(CYCLES)}
+        many = long_graphs.applied(every.where(F.size("nodes") > LONG), few.withColumn("cycles", F.array("nodes")).schema, judged)
+        frames.append(many.select("quest_id", F.inline(whole_graph(shown_cycles(F.col("cycles"), named), reach=False))))
     if v.unlisted is not None:
         frames.append(_issue(v.unlisted, "graph", "INVALID_DEPENDENCY_LIST", "error", dependency, F.lit("")))
     return union(frames)

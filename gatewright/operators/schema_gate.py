@@ -10,12 +10,14 @@ enum and uniqueItems by their JSON text.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.artifacts import elements, kind
+from ..sources.artifacts import is_object, is_string, items_of, kind, members
 
 NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples"}
 KEYWORDS = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "minItems", "maxItems", "uniqueItems", "minLength", "maxLength", "pattern", "minimum", "maximum"}
@@ -28,13 +30,16 @@ def _issue(parts: Column, keyword: str, detail: Column) -> Column:
 
 
 def _is(v: Column, wanted: str) -> Column:
-    k = kind(v)
-    if wanted == "integer":
-        x = F.try_variant_get(v, "$", "double")
-        return k.isin(*NUMBERS) & (x == F.floor(x))
-    if wanted == "number":
-        return k.isin(*NUMBERS)
-    return k == {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[wanted]
+    if wanted == "object":
+        return is_object(v)
+    if wanted == "array":
+        return items_of(v).isNotNull()
+    if wanted == "string":
+        return is_string(v)
+    if wanted in ("integer", "number"):
+        x, number = F.try_variant_get(v, "$", "double"), kind(v).isin(*NUMBERS)
+        return number & (x == F.floor(x)) if wanted == "integer" else number
+    return F.schema_of_variant(v) == {"boolean": "BOOLEAN", "null": "VOID"}[wanted]
 
 
 def _token(v: Column) -> Column:
@@ -55,6 +60,47 @@ def _one_of(v: Column, values: list[Any]) -> Column:
     return found | (_is(v, "number") & F.try_variant_get(v, "$", "double").isin(numbers)) if numbers else found
 
 
+def _with(x: Column, issues: Callable[[Column], Column]) -> Column:
+    """issues(x), with x evaluated once however often it is named in there."""
+    return F.flatten(F.transform(F.array(x), issues))
+
+
+def _told(tests: list[tuple[Column, str, Column]], parts: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), _issue(parts, k, shown)) for bad, k, shown in tests]))
+
+
+def _list_issues(xs: Column, schema: dict[str, Any], parts: Column) -> Column:
+    """Issues of a list's keywords; xs: its elements, null if the value is no list."""
+    tests, n = [], F.size(xs)
+    if "minItems" in schema:
+        tests.append((xs.isNotNull() & (n < schema["minItems"]), "minItems", n.cast("string")))
+    if "maxItems" in schema:
+        tests.append((xs.isNotNull() & (n > schema["maxItems"]), "maxItems", n.cast("string")))
+    if schema.get("uniqueItems"):
+        tokens = F.transform(xs, _token)
+        tests.append((xs.isNotNull() & (F.size(F.array_distinct(tokens)) < F.size(tokens)), "uniqueItems", F.lit("")))
+    found = [_told(tests, parts)] if tests else []
+    if "items" in schema:
+        each = F.flatten(F.transform(xs, lambda y, i: issues_of(y, schema["items"], F.array_append(parts, i.cast("string")))))
+        found.append(F.coalesce(each, F.expr(NONE)))
+    return F.concat(*found)
+
+
+def _object_issues(m: Column, schema: dict[str, Any], parts: Column) -> Column:
+    """Issues of an object's keywords; m: its members by key, null if the value is no object."""
+    keys, known, found = F.coalesce(F.map_keys(m), F.expr("cast(array() as array<string>)")), schema.get("properties", {}), []
+    if schema.get("additionalProperties") is False:
+        extra = F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>")))
+        found.append(_told([(F.size(extra) > 0, "additionalProperties", F.array_join(extra, ", "))], parts))
+    if schema.get("required"):
+        lacking = F.array_except(F.array(*map(F.lit, schema["required"])), keys)
+        found.append(F.when(m.isNotNull(), F.transform(lacking, lambda k: _issue(parts, "required", k))).otherwise(F.expr(NONE)))
+    for name, sub in known.items():
+        inner = partial(issues_of, schema=sub, parts=F.array_append(parts, F.lit(name)))
+        found.append(F.when(F.array_contains(keys, name), _with(F.try_element_at(m, F.lit(name)), lambda x: inner(x))).otherwise(F.expr(NONE)))  # noqa: B023
+    return F.concat(*found)
+
+
 def issues_of(v: Column, schema: dict[str, Any], parts: Column | None = None) -> Column:
     """array<struct<parts, keyword, detail>> of the value v, which is there."""
     parts = F.expr("cast(array() as array<string>)") if parts is None else parts
@@ -63,8 +109,8 @@ def issues_of(v: Column, schema: dict[str, Any], parts: Column | None = None) ->
     if not isinstance(schema.get("additionalProperties", False), bool):
         raise ValueError("additionalProperties can be true or false")
     tests: list[tuple[Column, str, Column]] = []
-    string, array, number, obj = (_is(v, t) for t in ("string", "array", "number", "object"))
-    s, xs, x = F.try_variant_get(v, "$", "string"), elements(v), F.try_variant_get(v, "$", "double")
+    string, number = _is(v, "string"), _is(v, "number")
+    s, x = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
     if "type" in schema:
         wanted = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
         fits = F.lit(False)
@@ -79,30 +125,16 @@ def issues_of(v: Column, schema: dict[str, Any], parts: Column | None = None) ->
         ("minLength", string, lambda n: F.length(s) < n, s),
         ("maxLength", string, lambda n: F.length(s) > n, s),
         ("pattern", string, lambda p: ~s.rlike(p), s),
-        ("minItems", array, lambda n: F.size(xs) < n, F.size(xs).cast("string")),
-        ("maxItems", array, lambda n: F.size(xs) > n, F.size(xs).cast("string")),
         ("minimum", number, lambda n: x < n, x.cast("string")),
         ("maximum", number, lambda n: x > n, x.cast("string")),
     ):
         if key in schema:
             tests.append((guard & bad(schema[key]), key, shown))
-    if schema.get("uniqueItems"):
-        tokens = F.transform(xs, _token)
-        tests.append((array & (F.size(F.array_distinct(tokens)) < F.size(tokens)), "uniqueItems", F.lit("")))
-    keys = F.coalesce(F.when(obj, F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))), F.expr("cast(array() as array<string>)"))
-    known = schema.get("properties", {})
-    if schema.get("additionalProperties") is False:
-        extra = F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>")))
-        tests.append((F.size(extra) > 0, "additionalProperties", F.array_join(extra, ", ")))
-    found = [F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), _issue(parts, k, shown)) for bad, k, shown in tests]))] if tests else []
-    if schema.get("required"):
-        lacking = F.array_except(F.array(*map(F.lit, schema["required"])), keys)
-        found.append(F.when(obj, F.transform(lacking, lambda k: _issue(parts, "required", k))).otherwise(F.expr(NONE)))
-    for name, sub in known.items():
-        child = F.try_variant_get(v, f"$['{name}']", "variant")
-        found.append(F.when(F.array_contains(keys, name), issues_of(child, sub, F.array_append(parts, F.lit(name)))).otherwise(F.expr(NONE)))
-    if "items" in schema:
-        found.append(F.flatten(F.transform(xs, lambda y, i: issues_of(y, schema["items"], F.array_append(parts, i.cast("string"))))))
+    found = [_told(tests, parts)] if tests else []
+    if {"minItems", "maxItems", "items"} & set(schema) or schema.get("uniqueItems"):
+        found.append(_with(items_of(v), lambda xs: _list_issues(xs, schema, parts)))
+    if schema.get("properties") or schema.get("required") or schema.get("additionalProperties") is False:
+        found.append(_with(members(v), lambda m: _object_issues(m, schema, parts)))
     return F.concat(*found) if found else F.expr(NONE)
 
 

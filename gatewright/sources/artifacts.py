@@ -22,7 +22,12 @@ def kind(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+    """Whether the value is an object; its members are not read, as they are for its kind."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
+
+
+def is_string(v: Column) -> Column:
+    return F.schema_of_variant(v) == "STRING"
 
 
 def at(v: Column, key: str) -> Column:
@@ -31,17 +36,27 @@ def at(v: Column, key: str) -> Column:
 
 def text(v: Column) -> Column:
     """The value if it is a string."""
-    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.when(is_string(v), F.try_variant_get(v, "$", "string"))
 
 
 def shown(v: Column) -> Column:
     """The value as text: JSON null is None; null if it is missing."""
-    return F.when(kind(v) == "VOID", "None").otherwise(v.cast("string"))
+    return F.when(F.schema_of_variant(v) == "VOID", "None").otherwise(v.cast("string"))
+
+
+def items_of(v: Column) -> Column:
+    """A list's elements; null if the value is no list."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def members(v: Column) -> Column:
+    """An object's members by key; null if the value is no object."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def elements(v: Column) -> Column:
     """A list's elements; none if the value is no list."""
-    return F.coalesce(F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")), F.expr("cast(array() as array<variant>)"))
+    return F.coalesce(items_of(v), F.expr("cast(array() as array<variant>)"))
 
 
 def numbered(v: Column) -> Column:
