@@ -83,6 +83,21 @@ def test_similarity_with_a_feature_that_all_share(spark, block):
     assert diversity.pairwise_similarity(df.limit(0), block).first().similarity == 0
 
 
+@pytest.mark.parametrize("few", [0, 2, 3, 16])
+def test_similarity_by_subsets_and_by_blocks(spark, few):
+    r = random.Random(4)
+    sets = [r.sample("abcdefgh", r.randint(0, 6)) for _ in range(70)] + [[], ["a"], ["a"]]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "quest_id long, features array<string>").repartition(3)
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = [share(set(a), set(b)) for a, b in combinations(sets, 2)]
+    assert diversity.pairwise_similarity(df, 5, few).first().similarity == pytest.approx(sum(want) / len(want))
+
+
+def test_similarity_of_small_sets_makes_no_pairs_of_blocks(spark):
+    df = spark.range(300).selectExpr("id AS quest_id", "array(concat('a', id % 50), concat('b', id % 70)) AS features")
+    assert "InArrow" not in diversity.pairwise_similarity(df, 10)._jdf.queryExecution().toString()
+
+
 def simple_cycles(edges):
     out = []
 
