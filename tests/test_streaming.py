@@ -55,6 +55,18 @@ def test_state_across_restarts_is_the_batch(spark, tmp_path):
     assert any(x[5] for x in want) and any(x[4] != r[5] for x, r in zip(want, rows))
 
 
+def test_state_of_rows_with_shared_or_missing_places(spark, tmp_path):
+    rows = [("s", None, "b", "talk:npc", ["e"], True), ("s", None, "a", "talk:npc", ["e"], True), ("s", 1, "d", "talk:npc", None, True), ("s", 1, "c", "talk:npc", ["e"], None)]
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    spark.createDataFrame(rows, state.JUDGED).coalesce(1).write.parquet(folder)
+    state.run_evolving(spark, folder, out, checkpoint)
+    found = {r.quest_id: (r.ord, r.registered, r.signature_uses, r.entity_uses) for r in spark.read.parquet(out).collect()}
+    assert found == {"a": (None, True, 0, 0), "b": (None, True, 1, 1), "c": (1, False, 2, 2), "d": (1, True, 2, 0)}
+    # A micro-batch that runs again writes what it wrote, and none of its rows goes through Python.
+    state.take_batch(spark.read.schema(state.JUDGED).parquet(folder), 0, out, f"{checkpoint}/memory")
+    assert found == {r.quest_id: (r.ord, r.registered, r.signature_uses, r.entity_uses) for r in spark.read.parquet(out).collect()}
+
+
 def test_evolving_of_nothing(spark):
     assert diversity.evolving(spark.createDataFrame([], state.JUDGED)).isEmpty()
 
