@@ -21,6 +21,13 @@ from .diversity_repair import folded
 from .schema_gate import schema_gate
 
 Gate = Callable[[DataFrame], DataFrame]
+#: What each of the four gates may raise.
+CODES = {
+    "schema": ("SCHEMA_VIOLATION",),
+    "referential": ("UNKNOWN_ENTITY", "INVALID_QUEST_GIVER_TYPE", "INVALID_START_LOCATION_TYPE", "INVALID_REWARD_ITEM_TYPE", "DUPLICATE_STEP_ID", "INVALID_OR_IMPLICIT_TARGET", "INCOMPATIBLE_ACTION_TARGET"),
+    "graph": ("MISSING_STEP_DEPENDENCY", "CYCLIC_OBJECTIVE_DEPENDENCY", "MULTIPLE_OBJECTIVE_ROOTS", "UNREACHABLE_OBJECTIVE", "INVALID_DEPENDENCY_LIST"),
+    "content": ("UNCLEAR_SUCCESS_CONDITION", "GENERIC_COMPLETION_CONDITION", "WEAK_PRECONDITION"),
+}
 ISSUE = ("quest_id", "validator", "code", "severity", "path", "detail")
 
 
@@ -36,6 +43,14 @@ class Application:
         """Issue rows of all gates."""
         return gates.union([g(artifacts).select(*ISSUE) for g in self.gates.values()])
 
+    def expected(self, made: DataFrame) -> DataFrame:
+        """Issue rows of mutants (quest_id, v, expected_code) that can count: each gate judges those whose expected code it may raise; a gate
+        whose codes are not known judges all."""
+        def judged(name: str) -> DataFrame:
+            return made.where(F.col("expected_code").isin(list(CODES[name]))) if name in CODES else made
+
+        return gates.union([g(judged(name).select("quest_id", "v")).select(*ISSUE) for name, g in self.gates.items()])
+
     def report(self, artifacts: DataFrame) -> DataFrame:
         """A row for each artifact and gate, clean ones included."""
         issues = self.validate(artifacts)
