@@ -48,7 +48,7 @@ def caught(v: Views, wrong_giver: Column, faults: tuple[str, ...] = tuple(FAULTS
 
     As detection of the mutants' issues, but a mutant is judged for its expected code only: issues of other codes never count. The mutants of an
     artifact are made of the array of its steps, which is gathered once, and are judged in its row; values that all mutants share are looked up once."""
-    steps = v.objective.where("quest_id is not null").groupBy("quest_id").agg(F.array_sort(F.collect_list(F.struct("pos", "step_no", "dep_no"))).alias("steps"))
+    steps = v.objective.where("quest_id is not null").groupBy("quest_id").agg(F.sort_array(F.collect_list(F.struct("pos", "step_no", "dep_no"))).alias("steps"))
     g = steps.withColumns({"numbers": F.transform("steps", lambda s: s["step_no"]), "needs": F.transform("steps", lambda s: s["dep_no"])})
     n = {f: F.lit(False) for f in faults}
     two, own = F.size("steps") > 1, lambda xs, k: F.try_element_at(xs, F.lit(k))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_slug, clean, slugs
-from ..sources.artifacts import at, elements, is_object, kind, numbered
+from ..sources.artifacts import at, elements, is_object, kind, numbered, objects
 from ..sources.scratch import keep as stored
 from .gates import union
 
@@ -132,8 +132,8 @@ def parsed(artifacts: DataFrame, schema: dict[str, Any]) -> DataFrame:
     """quest_id, ord, v, and the fields that rules read: p (a struct)."""
     v = F.col("v")
     field = lambda k: clean(at(v, k)).alias(k)
-    step = lambda s: F.struct(F.lower(clean(at(s["v"], "action"))).alias("action"), clean(at(s["v"], "target")).alias("target"), clean(at(s["v"], "success_condition")).alias("success"))
-    every = F.transform(numbered(at(v, "objectives")), step)
+    step = lambda s: F.struct(F.lower(clean(s["action"])).alias("action"), clean(s["target"]).alias("target"), clean(s["success_condition"]).alias("success"))
+    every = F.transform(objects(at(v, "objectives"), ("action", "target", "success_condition")), step)
     most = constraint(schema, ("properties", "objectives"), "maxItems", None)
     reward = lambda s: F.struct(clean(at(s["v"], "type")).alias("type"), clean(at(s["v"], "value")).alias("ref"), at(s["v"], "value").alias("value"))
     rescued = F.array_distinct(F.transform(F.filter(every, lambda s: s["action"] == "rescue"), lambda s: s["target"]))
