@@ -47,3 +47,8 @@ def test_codes_asked_for_are_those_of_the_whole_gate(spark):
     every = sorted(map(str, gates.graph(v).collect()))
     apart = [str(r) for c in ("MISSING_STEP_DEPENDENCY", *gates.WHOLE) for r in gates.graph(v, (c,)).collect()]
     assert sorted(apart) == every and every
+
+
+def test_published_reports_gather_issues_once(spark):
+    plan = catalog.QUERIES["q_combined_reports"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
