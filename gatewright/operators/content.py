@@ -19,10 +19,14 @@ def _shown(v: Column) -> Column:
     return F.when(kind(v) == "VOID", "None").otherwise(F.coalesce(v.cast("string"), F.lit("")))
 
 
+def says(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether a condition's text matches one of the patterns."""
+    return F.lower(py_strip(text)).rlike("|".join(f"(?Ud:{p})" for p in patterns))
+
+
 def _matching(artifacts: DataFrame, key: str, patterns: tuple[str, ...], code: str, severity: str) -> DataFrame:
     rows = artifacts.select("quest_id", F.posexplode(F.transform(elements(at(F.col("v"), key)), _shown)).alias("pos", "detail"))
-    hit = F.lower(py_strip(F.col("detail"))).rlike("|".join(f"(?Ud:{p})" for p in patterns))
-    return rows.where(hit).select("quest_id", F.lit("content").alias("validator"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.format_string(f"{key}[%d]", "pos").alias("path"), "detail")
+    return rows.where(says(F.col("detail"), patterns)).select("quest_id", F.lit("content").alias("validator"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.format_string(f"{key}[%d]", "pos").alias("path"), "detail")
 
 
 def content_gate(artifacts: DataFrame) -> DataFrame:

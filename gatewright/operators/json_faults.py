@@ -6,11 +6,18 @@ have some; those that need two are made of all these, and change nothing where t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.artifacts import at, elements
+from ..functions.text import SPACE
+from ..sources.artifacts import at, elements, is_object
+from . import json_gates
+from .content import GENERIC as PATTERNS
+from .content import WEAK, says
 from .faults import scores
+from .schema_gate import count_of
 
 #: Fault types and the code that each must raise; what mutations write.
 FAULTS = {
@@ -24,6 +31,9 @@ FAULTS = {
 }
 WRONG_GIVER, NO_ENTITY, NO_STEP = "item_mapa_antigo", "entity_not_in_world", "step_inexistente"
 GENERIC = "Completar todos os objetivos da quest."
+#: The gates in their order, and the one that raises each fault's code.
+GATES = ("schema", "referential", "graph", "content")
+GATES_OF = {"missing_required_field": "schema", "unknown_target": "referential", "wrong_giver_type": "referential", "duplicate_step_id": "referential", "missing_dependency": "graph", "cyclic_dependency": "graph", "generic_completion": "content"}
 NEED_STEPS = ("unknown_target", "duplicate_step_id", "missing_dependency", "cyclic_dependency")
 
 
@@ -86,10 +96,14 @@ def evaluate(made: DataFrame, issues: DataFrame, validators: tuple[str, ...], co
         hits = F.when(F.col("validator") == "", F.size("by") > 0).otherwise(F.array_contains("by", F.col("validator")))
         return rows.select("fault_type", "validator", F.lit(control).alias("control"), F.coalesce(hits, F.lit(False)).alias("hit"))
 
-    rows = judged(made, False, hit).unionByName(judged(controls, True, flagged))
+    return outcomes(judged(made, False, hit).unionByName(judged(controls, True, flagged)).withColumn("n", F.lit(1).cast("long")))
+
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    """See evaluate; rows: fault_type (null for controls), validator ('' for all of them), control, hit, and n: how many there are of these."""
     any_, hits, control = F.col("validator") == "", F.col("hit"), F.col("control")
     outcome = {"tp": ~control & hits, "fn": ~control & ~hits, "fp": control & hits, "tn": control & ~hits}
-    counts = [F.count_if(c & ok).alias(f"{kind}_{n}") for n, c in outcome.items() for kind, ok in (("each", ~any_), ("any", any_))]
+    counts = [F.sum(F.when(c & ok, F.col("n")).otherwise(0)).alias(f"{kind}_{n}") for n, c in outcome.items() for kind, ok in (("each", ~any_), ("any", any_))]
     # Rows are kept apart by a copy of the columns that are grouped, for the grouped ones are null where a set has not got them.
     keyed = rows.withColumns({"gate": F.col("validator"), "fault": F.col("fault_type")})
     sums = keyed.groupingSets([[F.col("gate")], [F.col("fault")], []], F.col("gate"), F.col("fault")).agg(F.grouping_id().alias("g"), *counts)
@@ -98,3 +112,63 @@ def evaluate(made: DataFrame, issues: DataFrame, validators: tuple[str, ...], co
     picked = [F.when(F.col("g") == 1, F.col(f"each_{n}")).otherwise(F.col(f"any_{n}")).alias(n) for n in outcome]
     told = sums.select(level.alias("scope"), name.alias("name"), *picked).where("name is not null and name != ''")
     return told.select("scope", "name", "tp", "fp", "fn", "tn", *scores(*map(F.col, ("tp", "fp", "fn", "tn"))))
+
+
+def detected(artifacts: DataFrame, entity: DataFrame, schema: dict, compat: dict[str, tuple[str, ...]], wrong_giver: str = WRONG_GIVER) -> DataFrame:
+    """evaluate of all mutants and of the artifacts as controls, with the four gates (json_gates).
+
+    Mutations are made in their artifact's row, to the fields that the gate of the expected code reads, and judged there for that code. Only
+    references go to the catalog, and only those of artifacts that are not decided without them."""
+    wanted, v, o = json_gates.Wanted(compat), F.col("v"), F.col("o")
+    known = {x: [r.entity_type for r in entity.where(F.col("entity_id") == x).collect()] for x in (wrong_giver.strip(SPACE), NO_ENTITY)}
+    giver = [t for t in known[wrong_giver.strip(SPACE)] if t is not None and t not in wanted.CORE["giver_npc"]]
+    no_entity = not known[NO_ENTITY] or None in known[NO_ENTITY]
+
+    rows = json_gates.with_edges(json_gates.read(artifacts))
+    step = lambda i: F.get(F.filter(o, lambda s: s["pos"] == i), F.lit(0))
+    name = lambda i: F.coalesce(step(i)["own"], F.lit(f"step_{i + 1:03d}"))
+    first, two = F.coalesce(step(0)["pos"] == 0, F.lit(False)), F.size("raw") > 1
+
+    def put(s: Column, field: str, value: Column) -> Column:
+        return s.withField(field, value)
+
+    def ring(s: Column) -> Column:
+        other = F.when(s["pos"] == 0, F.array("name1")).when(s["pos"] == 1, F.array("name0")).otherwise(s["deps"])
+        return put(s, "deps", other)
+
+    rows = rows.withColumns({"name0": name(0), "name1": name(1), "first": first})
+    rows = rows.withColumn("ring", F.when(two, F.transform(o, ring)).otherwise(o))
+    twice = json_gates.own_names(F.transform(o, lambda s: F.when(two & (s["pos"] == 1), put(s, "own", F.col("name0"))).otherwise(s)))
+    gone = json_gates.stated(F.transform(o, lambda s: F.when(s["pos"] == 0, put(s, "deps", F.array(F.lit(NO_STEP)))).otherwise(s)))
+    unlisted = lambda deps: F.size(F.array_except(deps, F.col("names"))) > 0
+    issues = lambda x: F.coalesce(F.get(F.transform(F.array(x), lambda y: F.when(y.isNotNull(), count_of(y, schema)).otherwise(0)), F.lit(0)), F.lit(0)) > 0
+    object_, some = is_object(v), F.size("raw") > 0
+    rows = json_gates.settled(rows, around=json_gates.edges(F.col("ring"))).select(
+        "quest_id", json_gates.references(wanted).alias("refs"), "edges", "around", some.alias("some"),
+        issues(with_key(v, "title", None)).alias("missing_required_field"), F.lit(no_entity).__and__(F.col("first")).alias("unknown_target"), (object_ & F.lit(bool(giver))).alias("wrong_giver_type"),
+        (F.size(F.array_distinct(twice)) < F.size(twice)).alias("duplicate_step_id"), unlisted(gone).alias("missing_dependency"), (object_ & says(F.lit(GENERIC), PATTERNS)).alias("generic_completion"),
+        issues(v).alias("schema"), (F.size(F.array_distinct("names")) < F.size("names")).alias("referential"), (unlisted(F.col("stated")) | (json_gates.odd_lists() > 0)).alias("graph"), (json_gates.roots(o, F.col("edges")) > 1).alias("rooted"),
+        (json_gates.hits(F.col("x.completion_conditions"), PATTERNS) + json_gates.hits(F.col("x.preconditions"), WEAK) + json_gates.unclear() > 0).alias("content"),
+    )
+    rows = json_gates.with_cyclic(rows, cyclic="edges", cyclic_dependency="around")
+    rows = rows.withColumn("graph", F.col("graph") | F.col("cyclic") | F.col("rooted"))
+    bits = ("some", *FAULTS, *GATES)
+    bit = {k: 1 << i for i, k in enumerate(bits)}
+    told = lambda k: F.col(k) & F.col("some") if k in NEED_STEPS else F.col(k)
+    alone = reduce(Column.__add__, [F.when(F.coalesce(told(k), F.lit(False)), b).otherwise(0) for k, b in bit.items()])
+    decided = F.col("referential") & (F.col("unknown_target") | ~F.col("some"))
+    rows = rows.select("quest_id", F.when(decided, F.slice("refs", 1, 0)).otherwise(F.col("refs")).alias("refs"), alone.alias("alone"))
+
+    known_refs = json_gates.looked_up(rows, wanted, entity)
+    lost = F.col("want").isNotNull() & F.col("type").isNull()
+    wrong = lost | F.coalesce(F.col("want").isNotNull() & wanted.unfit(F.col("want"), F.col("type")), F.lit(False))
+    own = known_refs.select("quest_id", "alone", F.when(lost & (F.col("at") > 0), bit["unknown_target"] + bit["referential"]).when(wrong, bit["referential"]).alias("more")).where("alone is not null or more is not null")
+    by = own.groupBy("quest_id").agg(F.count("alone").alias("n"), F.count_if(F.col("alone").bitwiseAND(bit["some"]) > 0).alias("n_some"), F.bit_or(F.coalesce("alone", "more")).alias("bits"))
+    # A mutant without a name cannot be told to be caught.
+    hits = sum(bit[k] for k in FAULTS)
+    small = by.groupBy(F.when(F.col("quest_id").isNull(), F.col("bits").bitwiseAND(~hits)).otherwise(F.col("bits")).alias("bits")).agg(F.sum("n").alias("n"), F.sum("n_some").alias("n_some"))
+    row = lambda fault, gate, control, hit, n: F.struct(F.lit(fault).cast("string").alias("fault_type"), F.lit(gate).alias("validator"), F.lit(control).alias("control"), hit.alias("hit"), F.col(n).alias("n"))
+    is_ = lambda k: F.col("bits").bitwiseAND(bit[k]) > 0
+    made = [row(f, g, False, is_(f) if g in ("", GATES_OF[f]) else F.lit(False), "n_some" if f in NEED_STEPS else "n") for f in FAULTS for g in (*GATES, "")]
+    controls = [row(None, g, True, is_(g) if g else reduce(Column.__or__, map(is_, GATES)), "n") for g in (*GATES, "")]
+    return outcomes(small.select(F.inline(F.array(*made, *controls))))

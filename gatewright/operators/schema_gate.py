@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +54,8 @@ def _constant(x: Any) -> str:
 
 
 def _one_of(v: Column, values: list[Any]) -> Column:
+    if all(isinstance(x, str) for x in values):
+        return is_string(v) & F.try_variant_get(v, "$", "string").isin(values)
     plain = [x for x in values if not isinstance(x, (int, float)) or isinstance(x, bool)]
     numbers = [float(x) for x in values if isinstance(x, (int, float)) and not isinstance(x, bool)]
     found = _token(v).isin([_constant(x) for x in plain]) if plain else F.lit(False)
@@ -71,6 +73,15 @@ def _told(tests: list[tuple[Column, str, Column]], parts: Column) -> Column:
 
 def _list_issues(xs: Column, schema: dict[str, Any], parts: Column) -> Column:
     """Issues of a list's keywords; xs: its elements, null if the value is no list."""
+    tests = _list_tests(xs, schema)
+    found = [_told(tests, parts)] if tests else []
+    if "items" in schema:
+        each = F.flatten(F.transform(xs, lambda y, i: issues_of(y, schema["items"], F.array_append(parts, i.cast("string")))))
+        found.append(F.coalesce(each, F.expr(NONE)))
+    return F.concat(*found)
+
+
+def _list_tests(xs: Column, schema: dict[str, Any]) -> list[tuple[Column, str, Column]]:
     tests, n = [], F.size(xs)
     if "minItems" in schema:
         tests.append((xs.isNotNull() & (n < schema["minItems"]), "minItems", n.cast("string")))
@@ -79,11 +90,7 @@ def _list_issues(xs: Column, schema: dict[str, Any], parts: Column) -> Column:
     if schema.get("uniqueItems"):
         tokens = F.transform(xs, _token)
         tests.append((xs.isNotNull() & (F.size(F.array_distinct(tokens)) < F.size(tokens)), "uniqueItems", F.lit("")))
-    found = [_told(tests, parts)] if tests else []
-    if "items" in schema:
-        each = F.flatten(F.transform(xs, lambda y, i: issues_of(y, schema["items"], F.array_append(parts, i.cast("string")))))
-        found.append(F.coalesce(each, F.expr(NONE)))
-    return F.concat(*found)
+    return tests
 
 
 def _object_issues(m: Column, schema: dict[str, Any], parts: Column) -> Column:
@@ -101,13 +108,28 @@ def _object_issues(m: Column, schema: dict[str, Any], parts: Column) -> Column:
     return F.concat(*found)
 
 
-def issues_of(v: Column, schema: dict[str, Any], parts: Column | None = None) -> Column:
-    """array<struct<parts, keyword, detail>> of the value v, which is there."""
-    parts = F.expr("cast(array() as array<string>)") if parts is None else parts
+def _check(schema: dict[str, Any]) -> None:
     if unknown := set(schema) - KEYWORDS - NOTES:
         raise ValueError(f"keywords that the schema gate does not know: {', '.join(sorted(unknown))}")
     if not isinstance(schema.get("additionalProperties", False), bool):
         raise ValueError("additionalProperties can be true or false")
+
+
+def issues_of(v: Column, schema: dict[str, Any], parts: Column | None = None) -> Column:
+    """array<struct<parts, keyword, detail>> of the value v, which is there."""
+    parts = F.expr("cast(array() as array<string>)") if parts is None else parts
+    _check(schema)
+    tests = _own_tests(v, schema)
+    found = [_told(tests, parts)] if tests else []
+    if {"minItems", "maxItems", "items"} & set(schema) or schema.get("uniqueItems"):
+        found.append(_with(items_of(v), lambda xs: _list_issues(xs, schema, parts)))
+    if schema.get("properties") or schema.get("required") or schema.get("additionalProperties") is False:
+        found.append(_with(members(v), lambda m: _object_issues(m, schema, parts)))
+    return F.concat(*found) if found else F.expr(NONE)
+
+
+def _own_tests(v: Column, schema: dict[str, Any]) -> list[tuple[Column, str, Column]]:
+    """Tests of keywords that look at the value alone: whether it fails, the keyword, and what is shown of the value."""
     tests: list[tuple[Column, str, Column]] = []
     string, number = _is(v, "string"), _is(v, "number")
     s, x = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
@@ -130,12 +152,83 @@ def issues_of(v: Column, schema: dict[str, Any], parts: Column | None = None) ->
     ):
         if key in schema:
             tests.append((guard & bad(schema[key]), key, shown))
-    found = [_told(tests, parts)] if tests else []
-    if {"minItems", "maxItems", "items"} & set(schema) or schema.get("uniqueItems"):
-        found.append(_with(items_of(v), lambda xs: _list_issues(xs, schema, parts)))
-    if schema.get("properties") or schema.get("required") or schema.get("additionalProperties") is False:
-        found.append(_with(members(v), lambda m: _object_issues(m, schema, parts)))
-    return F.concat(*found) if found else F.expr(NONE)
+    return tests
+
+
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once however often it is named in there."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _sum(xs: list[Column]) -> Column:
+    return reduce(Column.__add__, xs) if xs else F.lit(0)
+
+
+def _fields(v: Column, types: dict[str, str]) -> Column:
+    """An object's members of these names, read in one go as these types; null if v is no object."""
+    return F.try_variant_get(v, "$", _struct(types))
+
+
+def _struct(types: dict[str, str]) -> str:
+    return "struct<" + ", ".join(f"`{n.replace('`', '``')}`: {t}" for n, t in types.items()) + ">"
+
+
+def _plain(schema: dict[str, Any]) -> bool:
+    """Whether all keywords are about strings: of such values no variant is made, for a member that reads as binary is a string."""
+    return set(schema) <= {"type", "enum", "minLength", "maxLength", "pattern"} | NOTES and schema.get("type", "string") == "string" and all(isinstance(x, str) for x in schema.get("enum", ()))
+
+
+def _text_issues(text: Column, schema: dict[str, Any]) -> Column:
+    s = text.cast("string")
+    tests = {"enum": lambda xs: ~s.isin(xs), "minLength": lambda n: F.length(s) < n, "maxLength": lambda n: F.length(s) > n, "pattern": lambda p: ~s.rlike(p)}
+    return _sum([F.when(tests[k](schema[k]), 1).otherwise(0) for k in tests if k in schema])
+
+
+def _items_count(v: Column, schema: dict[str, Any]) -> Column:
+    """Issues of a list's elements. Objects whose members are all there, and strings, are read as texts; lists with others as variants."""
+    slow = F.coalesce(F.aggregate(F.transform(items_of(v), lambda x: count_of(x, schema)), F.lit(0), lambda n, x: n + x), F.lit(0))
+    known = schema.get("properties", {})
+    names = sorted({*known, *schema.get("required", ())})
+    if not names or len({n.lower() for n in names}) < len(names) or not set(schema) <= {"type", "required", "properties"} | NOTES or schema.get("type", "object") != "object" or not all(map(_plain, known.values())):
+        return slow
+    there = lambda s: reduce(Column.__and__, [s.getField(n).isNotNull() for n in names])
+    each = lambda n, s: n + _sum([_text_issues(s.getField(k), sub) for k, sub in known.items()])
+    read = F.try_variant_get(v, "$", f"array<{_struct(dict.fromkeys(names, 'binary'))}>")
+    return _let(read, lambda xs: F.when(xs.isNull(), 0).when(F.forall(xs, lambda s: s.isNotNull() & there(s)), F.aggregate(xs, F.lit(0), each)).otherwise(slow))
+
+
+def count_of(v: Column, schema: dict[str, Any]) -> Column:
+    """How many issues issues_of has of v (an int), without the issues: no paths, no details, no lists of them."""
+    _check(schema)
+    bad = lambda c: F.when(F.coalesce(c, F.lit(True)), 1).otherwise(0)
+    inner = lambda sub: lambda x: count_of(x, sub)
+    found = [bad(c) for c, _, _ in _own_tests(v, schema)]
+    if {"minItems", "maxItems"} & set(schema) or schema.get("uniqueItems"):
+        xs = items_of(v) if schema.get("uniqueItems") else F.try_variant_get(v, "$", "array<struct<>>")
+        found.append(_let(xs, lambda xs: _sum([bad(c) for c, _, _ in _list_tests(xs, schema)])))
+    if "items" in schema:
+        found.append(_items_count(v, schema["items"]))
+    known, needed = schema.get("properties", {}), set(schema.get("required", ()))
+    if known or needed:
+        names = sorted({*known, *needed})
+        one = lambda k: _fields(v, {k: "variant"}).getField(k)
+        texts = [k for k in names if _plain(known.get(k, {}))]
+        if len({n.lower() for n in texts}) < len(texts):
+            texts = []
+
+        def held(m: Column) -> Column:
+            text = lambda k: m.getField(k).isNotNull() if k in texts else F.lit(False)
+            parts = [F.when(text(k), 0).when(is_object(v) & one(k).isNull(), 1).otherwise(0) for k in sorted(needed)]
+            for k, sub in known.items():
+                other = F.when(one(k).isNotNull(), _let(one(k), inner(sub))).otherwise(0)
+                parts.append(F.when(text(k), _text_issues(m.getField(k), sub)).otherwise(other) if k in texts else other)
+            return _sum(parts)
+
+        found.append(_let(_fields(v, dict.fromkeys(texts, "binary")), held))
+    if schema.get("additionalProperties") is False:
+        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,struct<>>"))
+        found.append(F.when(F.size(F.array_except(keys, F.array(*map(F.lit, known)).cast("array<string>"))) > 0, 1).otherwise(0))
+    return _sum(found)
 
 
 def schema_gate(artifacts: DataFrame, schema: dict[str, Any]) -> DataFrame:
