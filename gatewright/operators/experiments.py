@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.artifacts import from_json
 from ..sources.views import Views
-from . import diversity, gates, repair
+from . import diversity, gates, json_gates, repair
 from .content import content_gate
 from .diversity_repair import folded
 from .schema_gate import schema_gate
@@ -38,6 +38,8 @@ class Application:
     entity: DataFrame
     schema: dict[str, Any]
     gates: dict[str, Gate]
+    #: Fitting types by action, where the four gates are this module's own.
+    compat: dict[str, tuple[str, ...]] | None = None
 
     def validate(self, artifacts: DataFrame) -> DataFrame:
         """Issue rows of all gates."""
@@ -53,11 +55,18 @@ class Application:
 
     def report(self, artifacts: DataFrame) -> DataFrame:
         """A row for each artifact and gate, clean ones included."""
-        issues = self.validate(artifacts)
-        counts = issues.groupBy("quest_id", "validator").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-        grid = artifacts.select("quest_id", F.explode(F.array(*map(F.lit, self.gates))).alias("validator"))
+        counted: list[DataFrame] = []
+        others = self.gates
+        if self.compat is not None:
+            counted.append(json_gates.report(artifacts, self.entity, self.schema, self.compat))
+            others = {name: g for name, g in self.gates.items() if name not in CODES}
+        if others:
+            issues = gates.union([g(artifacts).select(*ISSUE) for g in others.values()])
+            counts = issues.groupBy("quest_id", "validator").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+            grid = artifacts.select("quest_id", F.explode(F.array(*map(F.lit, others))).alias("validator"))
+            counted.append(grid.join(counts, ["quest_id", "validator"], "left"))
         zero = F.lit(0).cast("long")
-        return grid.join(counts, ["quest_id", "validator"], "left").select("quest_id", "validator", F.coalesce("errors", zero).alias("errors"), F.coalesce("warnings", zero).alias("warnings"), (F.coalesce("errors", zero) == 0).alias("passed"))
+        return gates.union(counted).select("quest_id", "validator", F.coalesce("errors", zero).alias("errors"), F.coalesce("warnings", zero).alias("warnings"), (F.coalesce("errors", zero) == 0).alias("passed"))
 
 
 def views(artifacts: DataFrame, entity: DataFrame, compat: dict[str, tuple[str, ...]] = repair.ACTION_TYPES) -> Views:
@@ -72,7 +81,8 @@ def build_application(entity: DataFrame, schema: dict[str, Any], compat: dict[st
         "graph": lambda a: gates.graph(views(a, entity, compat)),
         "content": content_gate,
     }
-    return Application(entity, schema, own | (more or {}))
+    more = more or {}
+    return Application(entity, schema, own | more, None if set(own) & set(more) else compat)
 
 
 def summary(app: Application, artifacts: DataFrame, passes: DataFrame) -> DataFrame:

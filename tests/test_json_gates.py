@@ -53,6 +53,17 @@ def test_schema_issues_are_counted(odd):
         count_of(F.col("v"), {"items": {"oneOf": []}})
 
 
+def test_report_counts_issue_rows(spark, odd, app):
+    rows = odd.unionByName(odd.limit(1).withColumn("quest_id", F.lit(None).cast("string")))
+    own = {(r.quest_id, r.validator): (r.errors, r.warnings) for r in app.report(rows).collect()}
+    count = lambda s: F.count_if(F.col("severity") == s)
+    told = {(r.quest_id, r.validator): (r.e, r.w) for r in app.validate(odd).groupBy("quest_id", "validator").agg(count("error").alias("e"), count("warning").alias("w")).collect()}
+    assert len(own) == (odd.count() + 1) * 4 and {k: x for k, x in own.items() if x != (0, 0)} == told
+    other = experiments.build_application(app.entity, SCHEMA, more={"mine": lambda a: a.where("ord = 1").select("quest_id", F.lit("mine").alias("validator"), *[F.lit("error").alias(c) for c in ("code", "severity", "path", "detail")])})
+    mine = {r.quest_id: r.errors for r in other.report(odd).where("validator = 'mine'").collect()}
+    assert len(mine) == odd.count() and sum(mine.values()) == mine["n1"] == 1
+
+
 @pytest.mark.parametrize("wrong", ["nation_1", "ana", "nobody", "key", " "])
 def test_detected_is_evaluate_of_mutants(odd, app, wrong):
     made = json_faults.mutants(odd, wrong)
@@ -61,7 +72,7 @@ def test_detected_is_evaluate_of_mutants(odd, app, wrong):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["q_json_fault_detection"])
+@pytest.mark.parametrize("name", ["q_all_gates", "q_json_fault_detection"])
 def test_artifacts_are_built_once(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list(") == 1 and plan.count("/orders.parquet") <= 1
