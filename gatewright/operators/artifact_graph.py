@@ -7,11 +7,14 @@ components grow by whole frontiers, as often as the artifact has nodes at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
 from ..sources.artifacts import at, elements, numbered, shown, text
+from .json_gates import settled
 
 NODE, EDGE = "array<struct<node: string, type: string, label: string>>", "array<struct<src: string, dst: string, relation: string>>"
 
@@ -67,6 +70,67 @@ def artifact_graph(artifacts: DataFrame, entity: DataFrame) -> tuple[DataFrame,
     return nodes, last(p.where("src IS NOT NULL"), ["src", "dst"], "relation")
 
 
+#: What counting reads: strings as binary, which takes strings only; given tells a step_id that is null from one that is missing.
+STEP = "struct<step_id: string, action: binary, target: binary, depends_on: array<string>>"
+READ = f"struct<giver_npc: binary, start_location: binary, objectives: array<{STEP}>, rewards: array<struct<value: binary>>, reusable_tags: array<binary>>"
+GIVEN = "array<struct<step_id: variant>>"
+#: Types of entities that the catalog does not know.
+FALLBACK = ("implicit", "reward_value")
+
+
+def typed_nodes(artifacts: DataFrame) -> DataFrame:
+    """quest_id, nodes: node and type (null: an entity, whose type the catalog knows) of each node of an artifact, the last that it is given.
+
+    As artifact_graph has them, but in each artifact's row: its nodes are its own, so that nothing is grouped."""
+    q = F.col("quest_id")
+    of = lambda node, type_: F.struct(node.alias("node"), F.lit(type_).cast("string").alias("type"))
+    none = lambda x, type_: F.coalesce(x, F.expr(f"cast(array() as {type_})"))
+
+    def name(x: Column) -> Column:
+        s = py_strip(x.cast("string"))
+        return F.when(s != "", s)
+
+    def objective(s: Column, i: Column) -> Column:
+        given = F.get(F.col("given"), i)["step_id"]
+        step = F.coalesce(s["step_id"], F.when(given.isNotNull(), "None"), F.format_string("step_%03d", i + 1))
+        node = F.concat_ws("::", q, step)
+        own = F.array(of(node, "objective"), of(F.concat(F.lit("action::"), name(s["action"])), "action"), of(name(s["target"]), None), of(F.concat(node, F.lit("::success")), "success_condition"))
+        # A dependency makes the step and the one before it objectives once more; a null is shown as None.
+        before = F.flatten(F.transform(none(s["depends_on"], "array<string>"), lambda d: F.array(of(node, "objective"), of(F.concat_ws("::", q, F.coalesce(d, F.lit("None"))), "objective"))))
+        return F.when(s.isNotNull(), F.concat(own, before)).otherwise(F.expr("cast(array() as array<struct<node: string, type: string>>)"))
+
+    rewards = F.transform(none(F.col("x.rewards"), "array<struct<value: binary>>"), lambda r, i: F.when(r.isNotNull(), F.array(of(F.concat(q, F.lit("::reward_"), (i + 1).cast("string")), "reward"), of(name(r["value"]), None))))
+    tags = F.transform(none(F.col("x.reusable_tags"), "array<binary>"), lambda t: of(F.concat(F.lit("tag::"), name(t)), "tag"))
+    core = F.array(of(q, "quest"), *[of(name(F.col(f"x.{k}")), None) for k in ("giver_npc", "start_location")])
+    made = F.concat(core, F.flatten(F.transform(none(F.col("x.objectives"), f"array<{STEP}>"), objective)), F.flatten(F.array_compact(rewards)), tags)
+    there = F.transform(F.filter(made, lambda n: n["node"].isNotNull()), lambda n, i: F.struct(n["node"].alias("node"), i.alias("seq"), n["type"].alias("type")))
+    rows = settled(artifacts.select("quest_id", "v"), x=F.try_variant_get("v", "$", READ), given=F.try_variant_get("v", "$.objectives", GIVEN))
+    rows = settled(rows, every=F.array_sort(there))
+    last = F.transform("every", lambda n, i: F.when(~n["node"].eqNullSafe(F.get(F.col("every"), i + 1)["node"]), F.struct(n["node"].alias("node"), n["type"].alias("type"))))
+    return settled(rows, nodes=F.array_compact(last)).select("quest_id", "nodes")
+
+
+def type_counts(artifacts: DataFrame, entity: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """quest_id and <type>_count of each type: how many nodes of an artifact have it.
+
+    Entities go to the catalog only where it has some of these types, and then only to those; other entities' nodes count nowhere."""
+    if set(types) & set(FALLBACK):
+        nodes, _ = artifact_graph(artifacts, entity)
+        return nodes.groupBy("quest_id").agg(*[F.count_if(F.col("type") == t).alias(f"{t}_count") for t in types])
+    rows = typed_nodes(artifacts)
+    own = [F.size(F.filter("nodes", _has(t))).cast("long").alias(f"{t}_count") for t in types]
+    kinds = entity.where(F.col("entity_type").isin(*types)).select(F.col("entity_id").alias("node"), "entity_type")
+    if kinds.isEmpty():
+        return rows.select("quest_id", *own)
+    open_ = rows.select("quest_id", F.explode(F.transform(F.filter("nodes", lambda n: n["type"].isNull()), lambda n: n["node"])).alias("node"))
+    more = open_.join(kinds, "node").groupBy("quest_id").agg(*[F.count_if(F.col("entity_type") == t).alias(f"more_{t}") for t in types])
+    return rows.select("quest_id", *own).join(more, "quest_id", "left").select("quest_id", *[(F.col(f"{t}_count") + F.coalesce(f"more_{t}", F.lit(0).cast("long"))).alias(f"{t}_count") for t in types])
+
+
+def _has(type_: str) -> Callable[[Column], Column]:
+    return lambda n: n["type"] == type_
+
+
 def graph_metrics(artifacts: DataFrame, entity: DataFrame) -> DataFrame:
     """Counts, density, weak components, depth from the artifact, counts by type, references and centrality of each artifact."""
     nodes, edges = artifact_graph(artifacts, entity)
