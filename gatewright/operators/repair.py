@@ -273,6 +273,18 @@ def repair(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any], fold
 
     fold: from these rows to their quest_id, ord, free_npc, first_location, first_item and chosen objectives, where choices are
     to depend on other artifacts (see diversity_repair)."""
+    return _repaired(artifacts, entity, schema, fold).select("quest_id", "ord", "v", "r", "changes")
+
+
+def change_codes(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any], codes: tuple[str, ...]) -> DataFrame:
+    """quest_id, code of repair's changes with one of these codes. Rules of other codes are not evaluated unless these read what they give, and no
+    change is written as text."""
+    rows = _repaired(artifacts, entity, schema, None, codes).select("quest_id", F.explode_outer("codes").alias("code"))  # explode would have a filter that makes the codes once more
+    return rows.where(F.col("code").isin(*codes))
+
+
+def _repaired(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any], fold: Callable[[DataFrame], DataFrame] | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """See repair; with codes: the codes of changes alone (of those in only, as far as a rule has one code)."""
     read = stored(parsed(artifacts, schema), "parsed")  # read three times: for names that are ruled out, for references, and for the rules
     most = read.agg(F.max(F.size("p.rescued"))).first()[0] or 0
     rows = with_types(read, entity)
@@ -284,15 +296,19 @@ def repair(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any], fold
         rows = rows.select("*", free.alias("free_npc"), F.lit(f.first.get("location")).alias("first_location"), F.lit(f.first.get("item")).alias("first_item"))
     else:
         rows = rows.join(fold(rows), ["quest_id", "ord"])
-    v, changes = F.col("v"), []
+    v, changes, codes = F.col("v"), [], []
+    asked = lambda code: only is None or code in only
     change = lambda code, path, before, after: F.struct(code.alias("code"), F.lit(path).alias("path"), F.to_json(before).alias("before"), F.to_json(after).alias("after"))
     new: dict[str, Column] = {}
     for key, (code, changed, text) in scalars(schema).items():
         new[key] = F.when(changed, text.cast("variant")).otherwise(at(v, key))
         changes.append(F.when(changed, change(F.lit(code), key, at(v, key), text.cast("variant"))))
+        if asked(code):
+            codes.append(F.when(changed, F.lit(code)))
     for key, (code, changed, text) in core_references().items():
         new[key] = F.when(changed, text.cast("variant")).otherwise(at(v, key))
         changes.append(F.when(changed, change(code, key, at(v, key), text.cast("variant"))))
+        codes.append(F.when(changed, code))
     refs = core_references()
     pick = lambda k, t: F.when(refs[k][1], t[0]).otherwise(t[1])
     giver, start = (pick(k, (refs[k][2], F.col(f"p.{k}"))) for k in ("giver_npc", "start_location"))
@@ -326,10 +342,12 @@ def repair(artifacts: DataFrame, entity: DataFrame, schema: dict[str, Any], fold
         new[key] = F.col(f"new_{key}")
         changed = ~F.to_json(at(v, key)).eqNullSafe(F.to_json(new[key]))
         changes.append(F.when(changed, change(F.lit(code), key, at(v, key), new[key])))
+        if asked(code):
+            codes.append(F.when(changed, F.lit(code)))
     entries = F.create_map(*[x for k, c in new.items() for x in (F.lit(k), c)])
     others = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(list(new)))
     merged = F.map_filter(F.map_concat(others, entries), lambda _, x: x.isNotNull())
-    return rows.select("quest_id", "ord", "v", F.to_variant_object(merged).alias("r"), F.array_compact(F.array(*changes)).alias("changes"))
+    return rows.select("quest_id", "ord", "v", F.to_variant_object(merged).alias("r"), F.array_compact(F.array(*changes)).alias("changes"), F.array_compact(F.array(*codes)).alias("codes"))
 
 
 def preserving(original: Column, repaired: Column) -> Column:
